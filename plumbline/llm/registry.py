@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import contamination, lines, mixing
+from . import contamination, lines, mixing, suffixes
 
 QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
     "op7_benchmark_decontamination": contamination.op7_benchmark_decontamination,
+    "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLE = {

@@ -155,7 +155,8 @@ def shingle_sets(h: np.ndarray, by_text: np.ndarray, k: int):
     grams = windows(h, k)
     for a, b in zip(by_text[:-1].tolist(), by_text[1:].tolist()):
         if b - a >= k:
-            yield np.unique(grams[a : b - k + 1])
+            s = np.sort(grams[a : b - k + 1])
+            yield s[np.r_[True, s[1:] != s[:-1]]]
         elif b > a:
             n = b - a
             yield mix(windows(h[a:b], n) ^ U(n))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import contamination, lines, mixing, suffixes
+from . import contamination, jaccard, lines, mixing, suffixes
 
 QUERIES = {
     "op4_line_dedup": lines.op4_line_dedup,
+    "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
     "op7_benchmark_decontamination": contamination.op7_benchmark_decontamination,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op10_source_mixing": mixing.op10_source_mixing,

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import contamination, jaccard, lines, mixing, suffixes
+from . import contamination, jaccard, lines, mixing, secrets, suffixes, toxicity, urls
 
 QUERIES = {
+    "op3_secret_scan": secrets.op3_secret_scan,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
+    "op6_url_rules": urls.op6_url_rules,
     "op7_benchmark_decontamination": contamination.op7_benchmark_decontamination,
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLE = {

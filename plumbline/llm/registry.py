@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import contamination, jaccard, lines, mixing, secrets, suffixes, toxicity, urls
+from . import contamination, jaccard, licenses, lines, mixing, quality, secrets, suffixes, toxicity, urls
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_quality_divergence": quality.op2_quality_divergence,
     "op3_secret_scan": secrets.op3_secret_scan,
     "op4_line_dedup": lines.op4_line_dedup,
     "op5_ngram_jaccard_join": jaccard.op5_ngram_jaccard_join,
@@ -15,6 +17,7 @@ QUERIES = {
     "op10_source_mixing": mixing.op10_source_mixing,
 }
 ORACLE = {
+    "op2_quality_divergence": quality.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
     "op7_benchmark_decontamination": contamination.OP7_SQL,
 }

@@ -2,7 +2,8 @@
 
 Two first-order Markov chains over characters are trained from labelled samples, one of random strings (keys,
 digests, base64) and one of ordinary identifiers. A token of at least ``min_chars`` characters whose log-likelihood
-ratio is at least ``min_ratio`` in all and ``min_mean`` per character is a secret, of kind markov. Three kinds of
+ratio is at least ``min_ratio`` in all and ``min_mean`` per character, with 8 or more different characters, is a
+secret, of kind markov. Three kinds of
 patterns (assign, access, hex) always count. All positions are code points, ends exclusive; markov tokens that
 overlap a pattern's span are not reported again.
 
@@ -85,7 +86,7 @@ def find(text: bytes, model: Markov | None, min_ratio: float = 12.0, min_mean: f
         for m in TOKEN.finditer(text):
             if not any(a < m.end() and m.start() < b for a, _, b in base):
                 r = model.score(m[0])
-                if r >= min_ratio and r >= min_mean * len(m[0]):
+                if r >= min_ratio and r >= min_mean * len(m[0]) and len(set(m[0])) >= 8:
                     out.append((m.start(), 3, m.end()))
     return sorted(out)
 

@@ -252,7 +252,8 @@ class Join:
         large = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
         large = large.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
         placed = large.select("rep", "k1", "k2", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-        texts = docs.join(placed, F.col("doc_id") == F.col("rep")).select("label", "x", "y", "own", "rep", "k1", "k2", "text")
+        # the members grow with the documents: their texts are always found by a merge join
+        texts = docs.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("label", "x", "y", "own", "rep", "k1", "k2", "text")
         dealt = texts.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
 
         def run(batches):

@@ -12,14 +12,13 @@ joined by its row. Matching is by 64-bit word hashes.
 
 Defined cases: null or empty texts have no words and no hits; an item without words or with a null text never
 occurs; repeated items are found under their item_ids alike; repeated documents are judged one by one; empty
-tables give empty results or no hits; other columns pass through in ``decontaminate``.
+tables give empty results or no hits; other columns, of any name, pass through ``decontaminate``.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -137,14 +136,13 @@ def _digest(names) -> str:
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
 
-def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """All columns of docs and the verdict: n_words, n_hit, n_items, items_sha256, contaminated."""
+def _verdicts(spark: SparkSession, packed: DataFrame, benchmark: DataFrame, width: int, block_words: int) -> DataFrame:
+    """packed (_row, _text) with the columns of REPORT. _row is any struct, _text the text as binary."""
     tests = blocks(benchmark, width, block_words)
     first = next(tests, TestSuffixes([], width))
     more = next(tests, None)
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), F.col("text").cast("binary").alias("_text"))
     row_type = packed.schema["_row"].dataType.simpleString()
+    names = [x.split()[0] for x in REPORT.split(", ")]
 
     def scan(test):
         shared = spark.sparkContext.broadcast(test)
@@ -152,56 +150,54 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: in
         def run(batches):
             test = shared.value
             for b in batches:
-                raw, off = buffers(b.column(1))
-                h, at = words(raw, off, ALNUM)
+                h, at = words(*buffers(b.column(1)), ALNUM)
                 hit, found = _hits(h, at, test)
-                total = np.r_[0, np.cumsum(hit)]
-                yield b.column(0), h, at, hit, total, [sorted({test.names[i] for i in x}) for x in found]
+                yield b, at, hit, [sorted({test.names[i] for i in x}) for x in found]
 
         return run
 
     def whole(batches, run=scan(first)):
-        for row, _, at, _, total, found in run(batches):
+        for b, at, hit, found in run(batches):
+            total = np.r_[0, np.cumsum(hit)]
             n_hit = total[at[1:]] - total[at[:-1]]
-            yield pa.RecordBatch.from_arrays(
-                [row, pa.array(np.diff(at)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found]), pa.array(n_hit > 0)],
-                ["_row", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-            )
+            cols = [pa.array(np.diff(at)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found], pa.string()), pa.array(n_hit > 0)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_row", "_text", *names])
 
     if more is None:
-        out = packed.mapInArrow(whole, f"_row {row_type}, {REPORT}")
-        return out.select(*[F.col("_row").getField(c).alias(c) for c in names], *[x.split()[0] for x in REPORT.split(", ")])
+        return packed.mapInArrow(whole, f"_row {row_type}, _text binary, {REPORT}")
 
-    # more blocks: each row's hits of every block, as bits and item ids, joined by the row's number
-    packed = packed.withColumn("_key", F.struct(F.xxhash64("_row"), F.xxhash64(F.lit(1), "_row")))
+    # more blocks: each row's hits of every block, as bits and item ids, joined by two hashes of the row
+    packed = packed.withColumn("_key", F.struct(F.xxhash64("_row", "_text"), F.xxhash64(F.lit(1), "_row", "_text")))
+    key_type = packed.schema["_key"].dataType.simpleString()
     parts = None
     for test in [first, more, *tests]:
 
         def part(batches, run=scan(test)):
-            for b in batches:
-                for _, _, at, hit, _, found in run([b.select([0, 1])]):
-                    bits = [np.packbits(hit[x:y]).tobytes() for x, y in zip(at[:-1], at[1:])]
-                    yield pa.RecordBatch.from_arrays([b.column(2), pa.array(np.diff(at)), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["_key", "n_words", "bits", "items"])
+            for b, at, hit, found in run(batches):
+                bits = [np.packbits(hit[x:y]).tobytes() for x, y in zip(at[:-1], at[1:])]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["_key", "n_words", "bits", "items"])
 
-        key_type = packed.schema["_key"].dataType.simpleString()
-        one = packed.mapInArrow(part, f"_key {key_type}, n_words long, bits binary, items array<string>").where("size(items) > 0").dropDuplicates(["_key"])
+        one = packed.select("_key", "_text").mapInArrow(part, f"_key {key_type}, n_words long, bits binary, items array<string>")
+        one = one.where("size(items) > 0").dropDuplicates(["_key"])
         parts = one if parts is None else parts.unionByName(one)
 
     def merge(t: pa.Table) -> pa.Table:
-        bits = None
-        for x in t["bits"].to_pylist():
-            x = np.frombuffer(x, np.uint8)
-            bits = x if bits is None else bits | x
-        names_ = {y for x in t["items"].to_pylist() for y in x}
+        bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
+        found = {y for x in t["items"].to_pylist() for y in x}
         n = int(np.unpackbits(bits)[: t["n_words"][0].as_py()].sum())
-        return pa.table({"_key": t["_key"].slice(0, 1), "n_hit": [n], "n_items": [len(names_)], "items_sha256": [_digest(names_)]})
+        return pa.table({"_key": t["_key"].slice(0, 1), "n_hit": [n], "n_items": [len(found)], "items_sha256": [_digest(found)]})
 
-    key_type = packed.schema["_key"].dataType.simpleString()
     merged = parts.groupBy("_key").applyInArrow(merge, f"_key {key_type}, n_hit long, n_items long, items_sha256 string")
-    counted = packed.select("_row", "_key", F.coalesce(F.regexp_count(F.col("_row.text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long").alias("n_words"))
-    out = counted.join(merged, "_key", "left")
+    n_words = F.coalesce(F.regexp_count(F.col("_text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
+    out = packed.withColumn("n_words", n_words).join(merged, "_key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select(*[F.col("_row").getField(c).alias(c) for c in names], "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select("_row", "_text", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+
+
+def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 2_000_000) -> DataFrame:
+    """doc_id and the verdict: n_words, n_hit, n_items, items_sha256, contaminated."""
+    packed = docs.select(F.struct("doc_id").alias("_row"), F.col("text").cast("binary").alias("_text"))
+    return _verdicts(spark, packed, benchmark, width, block_words).select("_row.doc_id", *[x.split()[0] for x in REPORT.split(", ")])
 
 
 def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
@@ -231,16 +227,15 @@ def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width:
     return out if out is not None else spark.createDataFrame([], "item_id string, item_word long, doc_id long, doc_word long, n_words long")
 
 
-def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
+def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 2_000_000) -> DataFrame:
     """The documents without a hit, with their own columns."""
-    judged = docs.select(F.struct(*docs.columns).alias("_own"), "text")
-    out = report(spark, judged, benchmark, **settings).where(~F.col("contaminated"))
-    return out.select("_own.*")
+    packed = docs.select(F.struct(*[c for c in docs.columns if c != "text"]).alias("_row"), F.col("text").cast("binary").alias("_text"))
+    clean = _verdicts(spark, packed, benchmark, width, block_words).where(~F.col("contaminated"))
+    return clean.select(*[F.col("_text").cast("string").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns])
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return report(spark, docs, table(spark, sf_dir, "benchmark")).drop("text")
+    return report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 OP7_SQL = r"""

@@ -81,7 +81,7 @@ def repeat_words() -> dict[str, Column]:
 
 
 def measure(docs: DataFrame) -> DataFrame:
-    """All columns of docs, the basic counts, and the two distances (null where a text is too short or not judged)."""
+    """All columns of docs, the basic counts, the two distances, and a running number _n."""
     own = docs.select(F.struct(*docs.columns).alias("_row"), F.coalesce("text", F.lit("")).alias("_text"), (F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")).alias("_lang"))
     rest = F.regexp_replace("_text", "[a-z]+", "")
     own = own.withColumns({"_words": F.array_remove(F.split("_text", SPACE + "+"), ""), "_rest": rest, "_chars": F.char_length("_text")})
@@ -102,7 +102,7 @@ def measure(docs: DataFrame) -> DataFrame:
     by_class = F.transform("_refs", lambda r: js_distance(F.col("_classes"), F.col("_chars"), r["classes"]))
     by_word = F.transform("_refs", lambda r: js_distance(word_counts(F.col("_common"), r["words"], F.col("n_words")), F.col("n_words"), r["shares"]))
     kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in COUNTS]
-    return own.select(*kept, *COUNTS, F.array_min(by_class).alias("class_distance"), F.array_min(by_word).alias("word_distance"))
+    return own.select(*kept, *COUNTS, F.array_min(by_class).alias("class_distance"), F.array_min(by_word).alias("word_distance"), F.monotonically_increasing_id().alias("_n"))
 
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -119,7 +119,9 @@ def verdict(class_words: int = CLASS_WORDS, class_most: float = CLASS_MOST, word
 
 def judge(docs: DataFrame, **limits) -> DataFrame:
     failed, kept = verdict(**limits)
-    return measure(docs).withColumns({"base_failed": failed, "kept": kept})
+    # a filter on kept must not be pushed below the projection, where each step would be worked out anew wherever it is
+    # used; the optimiser does not push a predicate through a running number
+    return measure(docs).withColumns({"base_failed": failed, "kept": kept & (F.col("_n") >= 0)}).drop("_n")
 
 
 def keep_good(docs: DataFrame, **limits) -> DataFrame:

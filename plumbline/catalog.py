@@ -1,4 +1,6 @@
 """Registered queries of the spatial engine and their SQL."""
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from .plans.queries import PAIRS
+
+QUERIES = {name: query for name, (query, _) in PAIRS.items()}
+ORACLE = {name: sql for name, (_, sql) in PAIRS.items()}

@@ -10,10 +10,11 @@ import struct
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.geometry import POLYGONS, rings
+from ..functions.geometry import POLYGONS, bbox, rings
 
 #: Fixed values of the formats.
 LAYER_MAGIC, LAYER_VERSION, GRID_MAGIC, GRID_VERSIONS, EMPTY = 0x46424A47, 4, 0x44495247, (1, 2), 0xFFFFFFFF
@@ -179,8 +180,6 @@ def read_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _decoded(spark: SparkSession, path: str, decode, schema: str) -> DataFrame:
-    import pandas as pd
-
     names = spark.createDataFrame([], schema).columns
 
     def run(batches):
@@ -200,8 +199,6 @@ def dequantised(layer: DataFrame) -> DataFrame:
 
 def layer_bytes(features: DataFrame, keys: list[str]) -> bytes:
     """The layer file of features. A layer file is one object that its readers hold whole, so it is made on the driver."""
-    from ..functions.geometry import bbox
-
     rows = features.select("fi", "props", bbox(F.col("polygons")).alias("b"), rings(F.col("polygons")).alias("parts")).orderBy("fi").collect()
     boxes = lambda b: [float("inf"), float("inf"), float("-inf"), float("-inf")] if b[0] is None else list(b)
     return encode_layer([(r["props"], boxes(r["b"]), [[(x["xs"], x["ys"]) for x in part] for part in r["parts"]]) for r in rows], keys)
@@ -242,8 +239,6 @@ def decode_wkb(data: bytes) -> list | None:
 
 def wkb_polygons(df: DataFrame, column: str, out: str = "polygons") -> DataFrame:
     """A WKB column decoded into polygons; other geometries become null."""
-    import pandas as pd
-
     @F.pandas_udf(f"struct<p:{POLYGONS}>")
     def decode(s: pd.Series) -> pd.DataFrame:
         point = lambda ring: [{"lon": x, "lat": y} for x, y in ring]
@@ -255,8 +250,6 @@ def wkb_polygons(df: DataFrame, column: str, out: str = "polygons") -> DataFrame
 
 def read_wkb_parquet(spark: SparkSession, path: str, geometry: str, props: list[str]) -> DataFrame:
     """fi, props, polygons of a Parquet table with WKB geometries; only the columns named are read."""
-    from pyspark.sql import Window
-
     rows = wkb_polygons(spark.read.parquet(path).select(*props, geometry), geometry).where("polygons is not null")
     texts = F.map_from_arrays(F.array(*map(F.lit, props)), F.array(*[F.trim(F.coalesce(F.col(p).cast("string"), F.lit(""))) for p in props]))
     return rows.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("int").alias("fi"), texts.alias("props"), "polygons")

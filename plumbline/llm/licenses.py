@@ -15,6 +15,7 @@ empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -95,23 +96,33 @@ def _rules() -> list[tuple]:
 
 
 RULES = _rules()
-GATE = r"(?i)(?:licen[cs]e|spdx|public domain|rights reserved|proprietary and|odbl|cc0|creative commons|cc[ -]by|bsd [23t])"
+GATE = ("licens", "licenc", "spdx", "public domain", "rights reserved", "proprietary and", "odbl", "cc0", "creative commons", "cc-by", "cc by", "bsd 2", "bsd 3", "bsd t")
+GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words, before lower-casing
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
 
-def _detections(low: Column) -> Column:
-    """array<struct<a, b, priority, label, confidence>> of all matches of all rules whose keyword occurs."""
+def _keywords(low: Column) -> Column:
+    return F.filter(F.array(*[F.lit(k) for k in sorted({r[3] for r in RULES})]), lambda k: F.contains(low, k))
+
+
+def _matches(low: Column, keywords: Column) -> Column:
+    """array<struct<label, priority, confidence, found, gaps>> of the rules that match, among those whose keyword
+    occurs: their matches and what lies between them."""
     rules = F.array(*[F.struct(F.lit(x).alias("label"), F.lit(p).alias("priority"), F.lit(c).alias("confidence"), F.lit(k).alias("keyword"), F.lit(r).alias("pattern")) for x, p, c, k, r in RULES])
-    keys = F.filter(F.array(*[F.lit(k) for k in sorted({r[3] for r in RULES})]), lambda k: F.contains(low, k))
-    run = F.filter(rules, lambda r: F.array_contains(keys, r["keyword"]) & F.regexp_like(low, r["pattern"]))
+    run = F.filter(F.filter(rules, lambda r: F.array_contains(keywords, r["keyword"])), lambda r: F.regexp_like(low, r["pattern"]))
+    return F.transform(run, lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), F.regexp_extract_all(low, r["pattern"], F.lit(0)).alias("found"), F.split(low, r["pattern"], -1).alias("gaps")))
+
+
+def _detections(matches: Column) -> Column:
+    """array<struct<a, b, priority, label, confidence>> of all matches."""
 
     def places(r: Column) -> Column:
-        found, gaps = F.regexp_extract_all(low, r["pattern"], F.lit(0)), F.split(low, r["pattern"], -1)
         length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.char_length(x))
-        start = lambda i: length(F.slice(gaps, F.lit(1), i + 1)) + length(F.slice(found, F.lit(1), i))
-        return F.transform(found, lambda x, i: F.struct(start(i).alias("a"), (start(i) + F.char_length(x)).alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
+        start = lambda i: length(F.slice(r["gaps"], F.lit(1), i + 1)) + length(F.slice(r["found"], F.lit(1), i))
+        at = F.transform(r["found"], lambda x, i: F.struct(start(i).alias("a"), F.char_length(x).alias("n")))
+        return F.transform(at, lambda x: F.struct(x["a"].alias("a"), (x["a"] + x["n"]).alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
 
-    return F.flatten(F.transform(run, places))
+    return F.flatten(F.transform(matches, places))
 
 
 def _surviving(d: Column) -> Column:
@@ -131,11 +142,14 @@ def scan(docs: DataFrame) -> DataFrame:
     """doc_id, the counts, base_labels, labels, score, and detections: array<struct<a, b, priority, label, confidence>>,
     positions in characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    own = docs.select("doc_id", text.alias("_text")).withColumn("_gated", F.col("_text").rlike(GATE))
+    own = docs.select("doc_id", text.alias("_text")).withColumn("_any", F.lower("_text"))
+    own = own.withColumns({"_gated": _or(F.contains(F.col("_any"), F.lit(k)) for k in GATE), "_split": F.split("_text", GAPS)}).drop("_any")
+    # what splits at gaps are words, but for an empty piece before a leading and after a trailing gap
+    outer = [F.when(F.element_at("_split", i) == "", 1).otherwise(0) for i in (1, -1)]
     own = own.withColumns({
-        "n_words": F.regexp_count("_text", F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long"),
+        "n_words": F.greatest(F.size("_split") - outer[0] - outer[1], F.lit(0)).cast("long"),
         "_low": F.when(F.col("_gated"), ascii_lower(F.col("_text"))),
-    }).drop("_text")
+    }).drop("_text", "_split")
     own = own.withColumn("_words", F.when(F.col("_gated"), F.regexp_extract_all("_low", F.lit(ALNUM_WORD), F.lit(0))))
     own = own.withColumn("_at", F.filter(F.transform("_words", lambda w, i: F.when(w == "license", i).otherwise(F.lit(-1))), lambda i: i >= 0))
     word = lambda i: F.when(i >= 0, F.get(F.col("_words"), i))
@@ -150,7 +164,9 @@ def scan(docs: DataFrame) -> DataFrame:
     every = F.concat(*[F.col(f"_p_{label}") for label, _ in BASE])
     base = F.filter(F.array(*[F.when(F.size(f"_p_{label}") > 0, F.lit(label)) for label, _ in BASE]), lambda x: x.isNotNull())
     empty = F.array().cast("array<struct<a:int,b:int,priority:int,label:string,confidence:double>>")
-    own = own.withColumns({"_every": every, "_base": base, "_found": F.when(F.col("_gated"), _detections(F.col("_low"))).otherwise(empty)})
+    own = own.withColumns({"_every": every, "_base": base, "_keys": F.when(F.col("_gated"), _keywords(F.col("_low")))})
+    own = own.withColumn("_matches", F.when(F.size("_keys") > 0, _matches(F.col("_low"), F.col("_keys"))))
+    own = own.withColumn("_found", F.coalesce(_detections(F.col("_matches")), empty))
     own = own.withColumn("detections", _surviving(F.col("_found")))
     labels = F.array_sort(F.array_distinct(F.concat("_base", F.transform("detections", lambda x: x["label"]))))
     best = F.coalesce(F.array_max(F.transform("detections", lambda x: x["confidence"])), F.lit(0.0))
@@ -162,10 +178,11 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def _all(conditions) -> Column:
-    out = None
-    for c in conditions:
-        out = c if out is None else out & c
-    return out
+    return reduce(lambda a, b: a & b, conditions)
+
+
+def _or(conditions) -> Column:
+    return reduce(lambda a, b: a | b, conditions)
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

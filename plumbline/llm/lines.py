@@ -136,7 +136,7 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
                     ids += [i] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(ks, pa.binary()), pa.array(ids, pa.int64())], ["k", "doc_id"])
 
-    return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(scan, "k binary, doc_id long")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(scan, "k binary, doc_id long")
 
 
 class LineIndex:
@@ -212,40 +212,43 @@ class LineIndex:
 
         return posted.select("k", "doc_id", (F.crc32("k") % shards).alias("shard")).mapInArrow(probe, "k binary, doc_id long")
 
-    def apply(self, docs: DataFrame, posted: DataFrame | None = None) -> DataFrame:
+    def apply(self, docs: DataFrame, posted: DataFrame | None = None, counts: bool = True) -> DataFrame:
         """docs without their boilerplate lines, except in each line's largest holder: all columns of docs with the new
-        text, and n_lines, n_dropped. posted: the postings of docs, if they are known."""
+        text and, with counts, n_lines and n_dropped (input columns of these names give way). posted: the postings of
+        docs, if they are known."""
         posted = postings(docs, self.min_chars).distinct() if posted is None else posted
         drops = self.candidates(posted).join(self.hot(), "k").where("doc_id < largest")
         drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("k").alias("_drop"))
-        names = [c for c in docs.columns if c != "text"]
-        joined = docs.join(drops, docs["doc_id"] == drops["_id"], "left").select(F.struct(*names).alias("_row"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"), F.col("text").isNull().alias("_null"), "_drop")
+        rest = [c for c in docs.columns if c != "text"]
+        packed = docs.select(F.struct(*rest).alias("_row"), F.col("text").cast("binary").alias("_text"), F.col("doc_id").cast("long").alias("_own"))
+        # the postings grow with the documents: their lines are always found by a merge join
+        joined = packed.join(drops.hint("merge"), F.col("_own") == F.col("_id"), "left").select("_row", "_text", "_drop")
         row_type = joined.schema["_row"].dataType.simpleString()
         min_chars = self.min_chars
 
         def rewrite(batches):
             for b in batches:
                 texts, n_lines, n_dropped = [], [], []
-                for text, drop in zip(b.column(1).to_pylist(), b.column(3).to_pylist()):
-                    n_lines.append(text.count(b"\n") + 1)
-                    if drop:
+                for text, drop in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+                    n_lines.append(text.count(b"\n") + 1 if text else 1)
+                    n_dropped.append(0)
+                    if drop and text:
                         drop = set(drop)
                         kept = [x for x in text.split(b"\n") if len(x) < min_chars or line_key(x, min_chars) not in drop]
-                        n_dropped.append(n_lines[-1] - len(kept))
+                        n_dropped[-1] = n_lines[-1] - len(kept)
                         text = b"\n".join(kept)
-                    else:
-                        n_dropped.append(0)
                     texts.append(text)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), b.column(2), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["_row", "_text", "_null", "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.binary()), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64())], ["_row", "_text", "n_lines", "n_dropped"])
 
-        out = joined.mapInArrow(rewrite, f"_row {row_type}, _text binary, _null boolean, n_lines long, n_dropped long")
-        text = F.when(F.col("_null"), F.lit(None)).otherwise(F.col("_text").cast("string"))
-        return out.select(*[text.alias("text") if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns], "n_lines", "n_dropped")
+        out = joined.mapInArrow(rewrite, f"_row {row_type}, _text binary, n_lines long, n_dropped long")
+        names = [c for c in docs.columns if not (counts and c in ("n_lines", "n_dropped"))]
+        own = [F.col("_text").cast("string").alias(c) if c == "text" else F.col("_row").getField(c).alias(c) for c in names]
+        return out.select(*own, *(["n_lines", "n_dropped"] if counts else []))
 
 
-def drop_repeated_lines(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
+def drop_repeated_lines(spark: SparkSession, docs: DataFrame, counts: bool = True, **settings) -> DataFrame:
     index = LineIndex(spark, **settings).insert(docs)
-    return index.apply(docs, index.postings)
+    return index.apply(docs, index.postings, counts)
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,7 +101,7 @@ def measure(docs: DataFrame) -> DataFrame:
     own = own.withColumn("_refs", references(F.col("_lang")))
     by_class = F.transform("_refs", lambda r: js_distance(F.col("_classes"), F.col("_chars"), r["classes"]))
     by_word = F.transform("_refs", lambda r: js_distance(word_counts(F.col("_common"), r["words"], F.col("n_words")), F.col("n_words"), r["shares"]))
-    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in COUNTS]
+    kept = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in (*COUNTS, "class_distance", "word_distance", "base_failed", "kept", "_n")]
     return own.select(*kept, *COUNTS, F.array_min(by_class).alias("class_distance"), F.array_min(by_word).alias("word_distance"), F.monotonically_increasing_id().alias("_n"))
 
 

@@ -136,11 +136,11 @@ def _pack(batch, cols, rows) -> pa.RecordBatch:
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    """docs with two hashes of the row (r1, r2), by which later passes find its text again."""
-    names = docs.columns
+    """_row (all but the text), two hashes of the row (r1, r2), by which later passes find its text again, and _bytes."""
+    rest = [c for c in docs.columns if c != "text"]
     text = F.coalesce(F.col("text"), F.lit(""))
-    ids = [F.col(c) for c in names if c == "doc_id"]
-    return docs.select(*names, F.xxhash64(*ids, text).alias("r1"), F.xxhash64(F.lit(1), text, *ids).alias("r2"), text.cast("binary").alias("_bytes"))
+    ids = [c for c in rest if c == "doc_id"]
+    return docs.select(F.struct(*rest).alias("_row"), F.xxhash64(*ids, text).alias("r1"), F.xxhash64(F.lit(1), text, *ids).alias("r2"), text.cast("binary").alias("_bytes"))
 
 
 def repeated_windows(docs: DataFrame, work: Work, depth: int = 400, passes=(128, 352)) -> DataFrame:
@@ -148,7 +148,7 @@ def repeated_windows(docs: DataFrame, work: Work, depth: int = 400, passes=(128,
     texts = docs.where(F.octet_length("_bytes") >= depth).select("r1", "r2", F.col("_bytes").alias("text"))
     settled, open_ = [], None
     for k in (*passes, depth):
-        source = texts if open_ is None else texts.join(open_, ["r1", "r2"]).select("r1", "r2", "text", "spans")
+        source = texts if open_ is None else texts.join(open_.hint("merge"), ["r1", "r2"]).select("r1", "r2", "text", "spans")
         all_ = work.save(source.mapInArrow(_scan(k, depth), RECORD), f"pass{k}")
         groups = all_.groupBy("h").agg(F.count("*").alias("n"), (F.min("g") == F.max("g")).alias("alike")).where("n > 1")
         shared = work.save(all_.join(groups.select("h", "alike"), "h"), f"shared{k}")
@@ -173,13 +173,13 @@ OUT = "n_bytes long, n_removed long, n_spans long, _kept binary"
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = 400, passes=(128, 352)) -> DataFrame:
-    """All columns of docs but text, n_bytes, n_removed, n_spans and kept: the bytes that remain (they may end inside
-    a character, so they are binary)."""
+    """All columns of docs but text, and n_bytes, n_removed, n_spans and kept: the bytes that remain (they may end
+    inside a character, so they are binary). Input columns of these names give way."""
     work = Work(spark, "suffixes")
     keyed = _keyed(docs)
     spans = repeated_windows(keyed, work, depth, passes)
-    names = [c for c in docs.columns if c != "text"]
-    joined = keyed.join(spans, ["r1", "r2"], "left").select(F.struct(*names).alias("_row"), "_bytes", "spans")
+    names = [c for c in docs.columns if c not in ("text", "n_bytes", "n_removed", "n_spans", "kept")]
+    joined = keyed.join(spans.hint("merge"), ["r1", "r2"], "left").select("_row", "_bytes", "spans")
     row_type = joined.schema["_row"].dataType.simpleString()
 
     def cut(batches):

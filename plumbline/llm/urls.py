@@ -50,7 +50,7 @@ def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_ro
     are those of quality 0 or toxic 1."""
     bad = (F.coalesce(F.max("toxic"), F.lit(0)) == 1) | (F.coalesce(F.min("quality"), F.lit(1)) == 0)
     classes = labels.groupBy("doc_id").agg(F.when(bad, "=block").otherwise("=allow").alias("class"))
-    baskets = pages.join(classes, pages["page_id"] == classes["doc_id"]).select(F.array_append(tokens(F.col("url")), F.col("class")).alias("items"))
+    baskets = pages.select("page_id", "url").join(classes, F.col("page_id") == F.col("doc_id")).select(F.array_append(tokens(F.col("url")), F.col("class")).alias("items"))
     n = baskets.count()
     if not n:
         return pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")

@@ -27,7 +27,8 @@ class Mode(str, Enum):
 def with_coordinates(rows: DataFrame, lat: str, lon: str, blank_as_zero: bool = True) -> DataFrame:
     """rows with _lat, _lon, _valid and the cell keys. Missing cells become empty texts."""
     texts = {c: F.coalesce(F.col(c), F.lit("")) for c, t in rows.dtypes if t == "string"}
-    number = lambda c: js_number(F.col(c).cast("string"), blank_as_zero)
+    kinds = dict(rows.dtypes)
+    number = lambda c: js_number(F.col(c), blank_as_zero) if kinds[c] == "string" else F.coalesce(F.col(c).cast("double"), F.lit(float("nan")))
     out = rows.withColumns(texts).withColumns({"_lat": number(lat), "_lon": number(lon)})
     ok = valid_coord(F.col("_lat"), F.col("_lon"))
     out = out.withColumns({"_valid": ok, "_plat": F.when(ok, F.col("_lat")), "_plon": F.when(ok, F.col("_lon"))})

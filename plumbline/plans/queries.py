@@ -181,6 +181,17 @@ def pip_edge_points(spark: SparkSession, d: str) -> DataFrame:
 PIP_EDGE = """SELECT n_nationkey, to_json([n_name]) AS "Nation" FROM nation"""
 
 
+def pip_bulk(spark: SparkSession, d: str) -> DataFrame:
+    """Many rows with numeric coordinates."""
+    at = lambda a, b, n, o: f"CAST((l_orderkey * {a} + l_linenumber * {b}) % {n} AS DOUBLE) / 10 - {o}"
+    rows = _t(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.expr(at(7919, 31, 3600, 180)).alias("lon"), F.expr(at(104729, 17, 1800, 90)).alias("lat"))
+    return enrich(rows, [tessellation(spark, d)], mode="first").select("l_orderkey", "l_linenumber", "Nation")
+
+
+PIP_BULK = """WITH p AS (SELECT l_orderkey, l_linenumber, ((l_orderkey * 7919 + l_linenumber * 31) % 3600) // 10 AS x, ((l_orderkey * 104729 + l_linenumber * 17) % 1800) // 10 AS y FROM lineitem)
+SELECT l_orderkey, l_linenumber, n_name AS "Nation" FROM p JOIN nation ON n_nationkey = (y // 36) * 5 + x // 72"""
+
+
 # coordinates
 
 RAW = ("45.5", " 45.5 ", "+45.5", ".5", "5.", "1e1", "", "   ", "0x10", "0b11", "0o17", "90", "-90", "90.0001", "Infinity", "abc", "1.0d", "inf", "12abc", "1_000", "-0x10")
@@ -499,7 +510,7 @@ _STATS, _STATS_ALL = _stats("join"), _stats("all")
 PAIRS = {
     "pip_first": _FIRST, "pip_join": _JOIN, "pip_all": _ALL, "pip_holes_xor_parts": (pip_joined, _JOIN[1]), "pip_multi_output": (pip_multi_output, PIP_MULTI_OUTPUT),
     "pip_multi_layer": (pip_multi_layer, PIP_MULTI_LAYER), "pip_overwrite_column": (pip_overwrite_column, PIP_OVERWRITE), "pip_unknown_property": (pip_unknown_property, PIP_UNKNOWN),
-    "pip_edge_points": (pip_edge_points, PIP_EDGE), "pip_refined": (pip_refined, PIP_REFINED), "coord_coerce": (coord_coerce, COORD_COERCE), "coord_validity": (coord_validity, COORD_VALIDITY),
+    "pip_edge_points": (pip_edge_points, PIP_EDGE), "pip_refined": (pip_refined, PIP_REFINED), "pip_bulk": (pip_bulk, PIP_BULK), "coord_coerce": (coord_coerce, COORD_COERCE), "coord_validity": (coord_validity, COORD_VALIDITY),
     "quantize": (quantized, QUANTIZED), "match_stats": _STATS, "match_stats_all_mode": _STATS_ALL, "grid_base_cells": (grid_base_cells, GRID_BASE),
     "grid_refined_cells": (grid_refined_cells, GRID_REFINED), "grid_statistics": (grid_statistics, GRID_STATISTICS), "grid_candidates": (grid_candidates, GRID_CANDIDATES),
     "bbox_features": (bbox_features, BBOX_FEATURES), "bbox_rings": (bbox_rings, BBOX_RINGS), "slug_columns": (slug_columns, SLUG), "auto_color": (auto_colors, AUTO_COLORS),

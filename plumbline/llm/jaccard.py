@@ -12,11 +12,12 @@ Parts without shingles say nothing. A set with more than z of them is sketched a
 under which one of the two has no more than z empty parts, m + 1 - z parts that are not empty agree.
 
 Sets are first reduced to classes of equal sets, so copies are never paired. Sketches travel in packed blocks, a
-few per batch and bucket. In a bucket, groups of up to ``pairs_below`` classes give their pairs with counts;
-larger groups are only strung together. Candidates and strings make clusters (connected components); each
-cluster's texts go to one task, or for large clusters in blocks to one task for two blocks, which links classes:
-by size, then by the Hamming distance of wider bit sketches (which cannot exceed the difference), then exactly,
-leaving out pairs that are already connected. So the links found connect all that any link connects.
+few per batch and bucket. In a bucket, groups of up to ``pairs_below`` classes give their pairs with counts. The
+members of larger groups are compared by wider bit sketches, whose Hamming distance cannot exceed the difference;
+of the pairs within the bound as many are kept as connect the members. Candidates make clusters (connected
+components); a cluster's texts go to one task, which links classes: by size, then by Hamming distance, then exactly,
+leaving out pairs that are already connected. So the links found connect all that any link connects. Groups and
+clusters of more than ``block_rows`` classes are dealt in blocks, a task for every two of them.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component;
 repeated rows are equal sets; a null doc_id is not linked and has a null component; an empty table gives an empty
@@ -100,8 +101,41 @@ def sketch(s: np.ndarray, bands: Bands) -> Iterator[tuple[int, np.ndarray]]:
             yield band, mix(mix(none + tag) + U(99))
 
 
+def wide_sketch(s: np.ndarray, bits: int = 0) -> np.ndarray:
+    """One parity bit for each residue of the shingles' hashes, in words; a power of two, at least twice the set."""
+    bits = bits or max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s >> U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(U)
+
+
+def fold(w: np.ndarray, size: int) -> np.ndarray:
+    """A wide sketch cut to fewer words: the sketch of the same set at that size."""
+    while len(w) > size:
+        w = w[: len(w) // 2] ^ w[len(w) // 2 :]
+    return w
+
+
+def near_pairs(n: np.ndarray, wide: np.ndarray, side: np.ndarray, percent: int, verify=None) -> list[tuple[int, int]]:
+    """Pairs, by position in order of size n, that connect all that near pairs connect: sizes and Hamming distances
+    within the bound, of different sides if there are two, and verify(r, q) where it is given."""
+    comp, out, cross = np.arange(len(n)), [], side.any()
+    for r in range(len(n)):
+        most = n[r] * (100 - percent) // percent
+        end = int(np.searchsorted(n, n[r] * 100 // percent, side="right"))
+        for at in range(r + 1, end, 4096):
+            to = min(end, at + 4096)
+            left = np.flatnonzero((comp[at:to] != comp[r]) & ((side[at:to] != side[r]) | (not cross))) + at
+            near = left[np.bitwise_count(wide[left] ^ wide[r]).sum(axis=1, dtype=np.int64) <= most]
+            for q in near.tolist():
+                if comp[q] != comp[r] and (verify is None or verify(r, q)):
+                    comp[comp == comp[q]] = comp[r]
+                    out.append((r, q))
+    return out
+
+
 def _bucket_groups(t: pa.Table, pairs_below: int):
-    """Candidate pairs with counts and strings of larger groups, from a bucket's packed sketches."""
+    """From a bucket's packed sketches: candidate pairs (u, v) with counts, and of band 255 the members v of larger
+    groups, u naming the group."""
     sig, key, band = [], [], []
     for k, s, i, b in zip(*(t[c].to_pylist() for c in ("keys", "sigs", "at", "bands"))):
         at = np.frombuffer(i, np.uint16)
@@ -127,9 +161,9 @@ def _bucket_groups(t: pa.Table, pairs_below: int):
             for j in range(i + 1, n):
                 a.append(key[start + i]), b.append(key[start + j]), at.append(band[start])
     hot = size > pairs_below
-    hub = np.repeat(first[hot], size[hot] - 1)
-    rest = hub + 1 + (np.arange(len(hub)) - np.repeat(np.cumsum(size[hot] - 1) - (size[hot] - 1), size[hot] - 1))
-    a.append(key[hub]), b.append(key[rest]), at.append(np.full(len(hub), 255, np.uint8))
+    of = np.repeat(np.arange(len(first)), size)
+    many = hot[of]
+    a.append(long(sig[many])), b.append(key[many]), at.append(np.full(int(many.sum()), 255, np.uint8))
     a, b, at = np.concatenate(a), np.concatenate(b), np.concatenate(at)
     order = np.lexsort((at, b, a))
     a, b, at = a[order], b[order], at[order]
@@ -137,48 +171,39 @@ def _bucket_groups(t: pa.Table, pairs_below: int):
     return pa.table({"u": a[start], "v": b[start], "band": at[start].astype(np.int32), "n": np.diff(np.r_[start, len(a)])})
 
 
-class _Forest:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-
 def link_block(ids: list[int], sides: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Links that connect all that any link of the block connects. sides: 0, 1 for a pair of blocks, whose own pairs
     other tasks look at; else all 0."""
-    cross = 1 in sides
     order = sorted(range(len(ids)), key=lambda i: (len(sets[i]), ids[i]))
     n = np.array([len(sets[i]) for i in order])
-    bits = 64
-    while bits < 4 * int(n.max()):
-        bits *= 2
-    sk = np.zeros((len(order), bits), dtype=np.uint8)
-    for r, i in enumerate(order):
-        sk[r] = np.bincount((sets[i] >> U(7)).astype(np.int64) & (bits - 1), minlength=bits) & 1
-    sk = np.packbits(sk, axis=1).view(U)
-    side, forest, links = np.array([sides[i] for i in order]), _Forest(len(order)), []
-    for r in range(len(order)):
-        most = n[r] * (100 - percent) // percent
-        end = int(np.searchsorted(n, n[r] * 100 // percent, side="right"))
-        for at in range(r + 1, end, 4096):
-            to = min(end, at + 4096)
-            near = np.bitwise_count(sk[at:to] ^ sk[r]).sum(axis=1, dtype=np.int64) <= most
-            if cross:
-                near &= side[at:to] != side[r]
-            for q in (np.flatnonzero(near) + at).tolist():
-                x, y = forest.root(r), forest.root(q)
-                if x == y:
-                    continue
-                both = len(np.intersect1d(sets[order[r]], sets[order[q]], assume_unique=True))
-                if 100 * both >= percent * (int(n[r]) + int(n[q]) - both):
-                    forest.up[max(x, y)] = min(x, y)
-                    links.append((ids[order[r]], ids[order[q]]))
-    return links
+    bits = max(64, 1 << (4 * int(n.max()) - 1).bit_length())
+    wide = np.stack([wide_sketch(sets[i], bits) for i in order])
+
+    def same(r: int, q: int) -> bool:
+        both = len(np.intersect1d(sets[order[r]], sets[order[q]], assume_unique=True))
+        return 100 * both >= percent * (int(n[r]) + int(n[q]) - both)
+
+    pairs = near_pairs(n, wide, np.array([sides[i] for i in order]), percent, same)
+    return [(ids[order[r]], ids[order[q]]) for r, q in pairs]
+
+
+def _near_block(keys: list[int], sides: list[int], sizes: list[int], wides: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Of a group's members, pairs that connect all within the bounds of size and Hamming distance."""
+    order = sorted(range(len(keys)), key=lambda i: (sizes[i], keys[i]))
+    own = [np.frombuffer(wides[i], U) for i in order]
+    least = min(map(len, own))
+    wide = np.stack([fold(w, least) for w in own])
+    pairs = near_pairs(np.array([sizes[i] for i in order]), wide, np.array([sides[i] for i in order]), percent)
+    return [(keys[order[r]], keys[order[q]]) for r, q in pairs]
+
+
+def blocked(rows: DataFrame, group: str, member: str, block_rows: int) -> DataFrame:
+    """rows with x, y, own: each member of a group of more than block_rows goes to every two blocks that hold its own."""
+    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    return rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
 
 
 class Join:
@@ -196,10 +221,12 @@ class Join:
 
         def scan(batches):
             for b in batches:
-                n, one, two = set_keys(sets_of(b.column(1)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(long(one)), pa.array(long(two))], ["doc_id", "n_shingles", "k1", "k2"])
+                own = list(sets_of(b.column(1)))
+                n, one, two = set_keys(iter(own))
+                wide = [wide_sketch(s).tobytes() if len(s) >= bands.edges[0] else b"" for s in own]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(long(one)), pa.array(long(two)), pa.array(wide, pa.binary())], ["doc_id", "n_shingles", "k1", "k2", "wide"])
 
-        self.sets = work.save(docs.mapInArrow(scan, "doc_id long, n_shingles long, k1 long, k2 long"), "sets")
+        self.sets = work.save(docs.mapInArrow(scan, "doc_id long, n_shingles long, k1 long, k2 long, wide binary"), "sets")
         total = self.sets.agg(F.sum("n_shingles")).first()[0] or 0
         factor = 2 * (100 - percent) / percent
         buckets = max(shuffle_parts(spark), int(total * factor / bucket_sketches) + 1)
@@ -229,9 +256,10 @@ class Join:
         need = {b: bands.parts(b)[2] for b in range(min(254, len(bands.edges) - 1))}
         enough = F.col("n") >= F.element_at(F.create_map(*[F.lit(x) for kv in need.items() for x in kv]), F.col("band"))
         pairs = found.where("band <> 255").groupBy("u", "v", "band").agg(F.sum("n").alias("n")).where(enough)
-        strings = found.where("band = 255").select("u", "v")
-        cluster = work.save(components(work, pairs.select("u", "v").unionByName(strings)), "clusters")
-        work.drop(found)
+        groups = blocked(found.where("band = 255").select(F.col("u").alias("gid"), F.col("v").alias("key")), "gid", "key", block_rows)
+        near = work.save(self._near(groups, percent), "near")
+        cluster = work.save(components(work, pairs.select("u", "v").unionByName(near)), "clusters")
+        work.drop(found, near)
         classes = self.sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
         self.classes = work.save(classes.where("rep is not null"), "classes")
         members = self.classes.join(cluster, F.col("k1") == F.col("id")).select("rep", "k1", "k2", "label")
@@ -242,16 +270,31 @@ class Join:
         labels = components(work, self.links)
         self.labels = work.save(labels, "labels")
         named = self.classes.join(self.labels, F.col("rep") == F.col("id"), "left").select("k1", "k2", F.coalesce("label", "rep").alias("component_id"))
-        joined = self.sets.join(named, ["k1", "k2"], "left")
+        joined = self.sets.drop("wide").join(named, ["k1", "k2"], "left")
         own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
         self.components = joined.select("doc_id", "n_shingles", own.alias("component_id"))
 
+    def _near(self, groups, percent) -> DataFrame:
+        """Pairs of keys that connect the members of large groups as far as sizes and wide sketches allow."""
+        wide = self.sets.where("n_shingles > 0").groupBy("k1").agg(F.min(F.struct("n_shingles", "wide")).alias("w"))
+        rows = groups.join(wide, F.col("key") == F.col("k1")).select("gid", "x", "y", "own", "key", "w.n_shingles", "w.wide")
+        dealt = rows.repartition("gid", "x", "y").sortWithinPartitions("gid", "x", "y")
+
+        def run(batches):
+            here, own = None, ([], [], [], [])
+            for b in batches:
+                for gid, x, y, o, key, n, w in zip(*(c.to_pylist() for c in b.columns)):
+                    if (gid, x, y) != here:
+                        yield from _pairs(own[0], _near_block, own, percent)
+                        here, own = (gid, x, y), ([], [], [], [])
+                    for c, v in zip(own, (key, int(o != x), n, w)):
+                        c.append(v)
+            yield from _pairs(own[0], _near_block, own, percent)
+
+        return dealt.mapInArrow(run, "u long, v long").distinct()
+
     def _verify(self, docs, members, sets_of, percent, block_rows) -> DataFrame:
-        sizes = members.groupBy("label").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
-        large = members.join(sizes, "label", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
-        large = large.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        large = large.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-        placed = large.select("rep", "k1", "k2", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+        placed = blocked(members, "label", "rep", block_rows)
         # the members grow with the documents: their texts are always found by a merge join
         texts = docs.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("label", "x", "y", "own", "rep", "k1", "k2", "text")
         dealt = texts.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
@@ -263,18 +306,18 @@ class Join:
                 cols = [b.column(i).to_pylist() for i in range(7)]
                 for label, x, y, own, rep, k1, k2, s, o, t in zip(*cols, got, long(one).tolist(), long(two).tolist()):
                     if (label, x, y) != here:
-                        yield from _links(ids, sides, sets, percent)
+                        yield from _pairs(ids, link_block, (ids, sides, sets), percent)
                         here, ids, sides, sets = (label, x, y), [], [], []
                     if (k1, k2) == (o, t):  # else another text of a repeated doc_id
                         ids.append(rep), sides.append(int(own != x)), sets.append(s)
-            yield from _links(ids, sides, sets, percent)
+            yield from _pairs(ids, link_block, (ids, sides, sets), percent)
 
         return dealt.mapInArrow(run, "u long, v long")
 
 
-def _links(ids, sides, sets, percent):
+def _pairs(ids, compare, own, percent):
     if len(ids) > 1:
-        got = link_block(ids, sides, sets, percent)
+        got = compare(*own, percent)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in got], pa.int64()), pa.array([y for _, y in got], pa.int64())], ["u", "v"])
 
 

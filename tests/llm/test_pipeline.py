@@ -1,12 +1,13 @@
 """The corpus pipeline, stage by stage, against brute force and on odd rows."""
 
 import corpus_pipeline as p
-from test_corpus_operators import DATA, brute_components, brute_hits, brute_lines, odd, spark  # noqa: F401
+from conftest import DATA
+from test_corpus_operators import brute_components, brute_hits, brute_lines, odd  # noqa: F401
 
 from plumbline.llm import quality
 
 
-def test_stages(spark):  # noqa: F811
+def test_stages(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     bench = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()]
     table = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}

@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.geometry import POLYGONS, bbox, rings
+from ..functions.geometry import POLYGONS, bbox, from_quantised, rings
+from ..functions.text import clean_space
 
 #: Fixed values of the formats.
 LAYER_MAGIC, LAYER_VERSION, GRID_MAGIC, GRID_VERSIONS, EMPTY = 0x46424A47, 4, 0x44495247, (1, 2), 0xFFFFFFFF
@@ -197,8 +198,16 @@ def dequantised(layer: DataFrame) -> DataFrame:
     return layer.select("fi", "props", polygons.cast(POLYGONS).alias("polygons"))
 
 
-def layer_bytes(features: DataFrame, keys: list[str]) -> bytes:
-    """The layer file of features. A layer file is one object that its readers hold whole, so it is made on the driver."""
+def geometry_texts(layer: DataFrame) -> DataFrame:
+    """fi, props and the GeoJSON geometry of a read layer: a polygon if it has one part, else a multipolygon."""
+    return layer.select("fi", "props", from_quantised(F.col("parts")).alias("geometry"))
+
+
+def layer_bytes(features: DataFrame, keys: list[str], normalize: bool = False) -> bytes:
+    """The layer file of features. A layer file is one object that its readers hold whole, so it is made on the driver.
+    normalize: white space of the values is cleaned, as in built-in layers; uploads stay as they are."""
+    if normalize:
+        features = features.withColumn("props", F.transform_values("props", lambda _, v: clean_space(v)))
     rows = features.select("fi", "props", bbox(F.col("polygons")).alias("b"), rings(F.col("polygons")).alias("parts")).orderBy("fi").collect()
     boxes = lambda b: [float("inf"), float("inf"), float("-inf"), float("-inf")] if b[0] is None else list(b)
     return encode_layer([(r["props"], boxes(r["b"]), [[(x["xs"], x["ys"]) for x in part] for part in r["parts"]]) for r in rows], keys)
@@ -239,13 +248,13 @@ def decode_wkb(data: bytes) -> list | None:
 
 def wkb_polygons(df: DataFrame, column: str, out: str = "polygons") -> DataFrame:
     """A WKB column decoded into polygons; other geometries become null."""
-    @F.pandas_udf(f"struct<p:{POLYGONS}>")
-    def decode(s: pd.Series) -> pd.DataFrame:
-        point = lambda ring: [{"lon": x, "lat": y} for x, y in ring]
-        parts = [decode_wkb(bytes(b)) if b is not None else None for b in s]
-        return pd.DataFrame({"p": [None if x is None else [[point(r) for r in part] for part in x] for x in parts]})
 
-    return df.withColumn(out, decode(F.col(column)).getField("p"))
+    @F.udf(POLYGONS)
+    def decode(b):
+        parts = decode_wkb(bytes(b)) if b is not None else None
+        return None if parts is None else [[[tuple(p) for p in ring] for ring in part] for part in parts]
+
+    return df.withColumn(out, decode(F.col(column)))
 
 
 def read_wkb_parquet(spark: SparkSession, path: str, geometry: str, props: list[str]) -> DataFrame:

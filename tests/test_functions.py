@@ -43,3 +43,30 @@ def test_popups(spark):
     f = spark.createDataFrame([(0, {"k": "v", "n": "", "x": "y"})], "fi int, props map<string,string>")
     assert [tuple(x) for x in display.polygon_popup(f, [("n", "Name"), ("k", "Key")]).first()["popup"]] == [("Key", "v"), ("x", "y")]
     assert display.color_key([], ["a"]) == "a" and display.color_key(["b"], ["a"], "c") == "c"
+
+
+def test_simplify(spark):
+    import numpy as np
+
+    from plumbline.functions.simplify import simplify, simplify_ring
+
+    t = np.linspace(0, 2 * np.pi, 200)
+    ring = np.column_stack([np.cos(t), np.sin(t)])
+    ring[-1] = ring[0]
+    out = simplify_ring(ring, 2000.0)
+    assert 4 <= len(out) < 60 and (out[0] == out[-1]).all()
+    assert len(simplify_ring(ring, 1e9)) == 4
+    geo = [[[{"lon": float(x), "lat": float(y)} for x, y in ring]]]
+    df = spark.createDataFrame([(geo,), (None,)], "p array<array<array<struct<lon:double,lat:double>>>>")
+    rows = df.select(simplify(F.col("p"), 2000.0)).collect()
+    assert len(rows[0][0][0][0]) == len(out) and rows[1][0] is None
+
+
+def test_control(spark):
+    from plumbline.operators.control import cancellable, progress
+
+    with cancellable(spark) as cancel:
+        assert spark.range(10).count() == 10
+        assert cancel() == []
+    seen = []
+    assert progress(spark, seen.append) in range(101) and seen

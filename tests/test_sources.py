@@ -79,6 +79,8 @@ def test_binary_formats(spark, tmp_path):
     (tmp_path / "a.gjbf").write_bytes(binary.layer_bytes(f, ["name"]))
     read = binary.read_gjbf(spark, str(tmp_path / "a.gjbf"))
     assert [r["polygons"] for r in binary.dequantised(read).orderBy("fi").collect()] == [r["polygons"] for r in f.orderBy("fi").collect()]
+    text = binary.geometry_texts(read).where("fi = 0").first()["geometry"]
+    assert json.loads(text) == {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}
     binary.register(spark)
     assert spark.read.format("gjbf").load(str(tmp_path / "a.gjbf")).count() == 22
     own = cells(f.select("fi", bbox(f["polygons"]).alias("bbox")))
@@ -128,3 +130,17 @@ def test_manifest_and_translation(spark, tmp_path):
     t = spark.createDataFrame([("B", 'b "q"', 1), ("A", "a", 0)], "short string, long string, first_fi int")
     tables.write_translation(t, str(tmp_path / "t"))
     assert [tuple(r) for r in tables.read_translation(spark, str(tmp_path / "t")).collect()] == [("A", "a"), ("B", 'b "q"')]
+
+
+def test_cache(spark, tmp_path):
+    from plumbline.plans.cache import LayerCache
+
+    clock = [100.0]
+    cache = LayerCache(spark, str(tmp_path / "c"), now=lambda: clock[0])
+    made = []
+    make = lambda: made.append(1) or spark.range(3)
+    assert cache.get("a/b", "v1") is None and cache.get_or("a/b", "v1", make).count() == 3
+    assert cache.get_or("a/b", "v1", make).count() == 3 and len(made) == 1
+    assert cache.get("a/b", "v2") is None
+    clock[0] += 24 * 3600 + 1
+    assert cache.get("a/b", "v1") is None

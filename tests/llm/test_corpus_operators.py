@@ -415,7 +415,7 @@ def test_isotonic_is_monotone():
     x = rnd.normal(size=(600, toxicity.FEATURES))
     y = (x[:, 0] + rnd.normal(size=600) > 0).astype(float)
     m = toxicity.Boosted(x[:400], y[:400])
-    m.calibrate(x[400:], y[400:])
+    m.calibrate(m.margin(x[400:]), y[400:])
     f, s = m.margin(x), m.score(x)
     assert (np.diff(s[np.argsort(f)]) >= 0).all() and np.mean((s > 0.5) == y) > 0.65
 

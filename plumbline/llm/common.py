@@ -23,8 +23,8 @@ def work_root(spark: SparkSession) -> str:
     setting (a test on one machine) gets a temporary folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        root = tempfile.mkdtemp(prefix="plumbline-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
+        root = spark.sparkContext.getCheckpointDir()
     return root.rstrip("/")
 
 

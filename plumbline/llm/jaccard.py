@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import Work, shuffle_parts, table
 from .graph import components
-from .kernel import VISIBLE, buffers, fixed_randoms, long, mix, shingle_sets, words as find_words
+from .kernel import VISIBLE, buffers, long, mix, shingle_sets, words as find_words
 
 U = np.uint64
 RATIO, SALTS = 1.35, 4

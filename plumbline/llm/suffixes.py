@@ -23,7 +23,6 @@ columns are ignored.
 
 from __future__ import annotations
 
-import hashlib
 
 import numpy as np
 import pyarrow as pa

@@ -1,8 +1,8 @@
 """License scans: ordered signature rules with keyword gates, priorities and interval containment.
 
 Rules are regular expressions over the lower-cased text, made from a catalogue of licences by rule (identifier
-tags, grants, names, addresses): about 280. A text is searched only if it has a gate word; in it, a rule runs only
-if the rule's keyword occurs. Of the detections, one that lies within another's interval gives way if the other has
+tags, grants, names, addresses): about 280. A text is searched only if it has the words of an entry of the gate; in
+it, a rule runs only if the rule's keyword occurs. Both follow from the rules: no match is without them. Of the detections, one that lies within another's interval gives way if the other has
 a higher priority, or the same and a longer interval; of equal intervals and priorities the first label stays.
 
 All is one narrow projection of SQL functions: no shuffle, no Python. Positions come from splitting a text at a
@@ -21,18 +21,20 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import ALNUM_WORD, ascii_lower, table
 
-#: Fixed values: (label, SPDX identifier, name pattern, keyword that any of its names has, address pattern).
+#: Fixed values: (label, SPDX identifier, name pattern, keyword, address pattern). The keyword is in every match of the
+#: name and has no white space, as names may be wrapped. A label's further names have neither identifier nor address.
 CATALOGUE = (
-    ("mit", "mit", r"(?:the )?(?:mit|expat)(?: license)?", "mit", r"opensource\.org/licenses/mit"),
+    ("mit", "mit", r"(?:the )?mit(?: license)?", "mit", r"opensource\.org/licenses/mit"),
+    ("mit", None, r"(?:the )?expat(?: license)?", "expat", None),
     ("apache-2.0", "apache-2.0", r"(?:the )?apache(?: software)? license,? (?:version |v\.? ?)?2(?:\.0)?", "apache", r"apache\.org/licenses/license-2\.0"),
     ("apache-1.1", "apache-1.1", r"(?:the )?apache(?: software)? license,? (?:version |v\.? ?)?1\.1", "apache", r"apache\.org/licenses/license-1\.1"),
     ("apache", "apache", r"(?:the )?apache(?: software)? license", "apache", r"apache\.org/licenses"),
-    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later)?", r"(?:the )?gnu general public license,? (?:version |v\.? ?)?3(?:\.0)?", "general public", r"gnu\.org/licenses/gpl-3\.0"),
-    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later)?", r"(?:the )?gnu general public license,? (?:version |v\.? ?)?2(?:\.0)?", "general public", r"gnu\.org/licenses/gpl-2\.0"),
-    ("gpl", "gpl", r"(?:the )?(?:gnu )?general public license", "general public", r"gnu\.org/licenses/gpl"),
-    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later)?", r"(?:the )?gnu lesser general public license,? (?:version |v\.? ?)?3(?:\.0)?", "lesser general", r"gnu\.org/licenses/lgpl-3\.0"),
-    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later)?", r"(?:the )?gnu lesser general public license,? (?:version |v\.? ?)?2\.1", "lesser general", r"gnu\.org/licenses/lgpl-2\.1"),
-    ("lgpl", "lgpl", r"(?:the )?(?:gnu )?(?:lesser|library) general public license", "general public", r"gnu\.org/licenses/lgpl"),
+    ("gpl-3.0", r"gpl-3\.0(?:-only|-or-later)?", r"(?:the )?gnu general public license,? (?:version |v\.? ?)?3(?:\.0)?", "general", r"gnu\.org/licenses/gpl-3\.0"),
+    ("gpl-2.0", r"gpl-2\.0(?:-only|-or-later)?", r"(?:the )?gnu general public license,? (?:version |v\.? ?)?2(?:\.0)?", "general", r"gnu\.org/licenses/gpl-2\.0"),
+    ("gpl", "gpl", r"(?:the )?(?:gnu )?general public license", "general", r"gnu\.org/licenses/gpl"),
+    ("lgpl-3.0", r"lgpl-3\.0(?:-only|-or-later)?", r"(?:the )?gnu lesser general public license,? (?:version |v\.? ?)?3(?:\.0)?", "lesser", r"gnu\.org/licenses/lgpl-3\.0"),
+    ("lgpl-2.1", r"lgpl-2\.1(?:-only|-or-later)?", r"(?:the )?gnu lesser general public license,? (?:version |v\.? ?)?2\.1", "lesser", r"gnu\.org/licenses/lgpl-2\.1"),
+    ("lgpl", "lgpl", r"(?:the )?(?:gnu )?(?:lesser|library) general public license", "general", r"gnu\.org/licenses/lgpl"),
     ("agpl-3.0", r"agpl-3\.0(?:-only|-or-later)?", r"(?:the )?(?:gnu )?affero general public license(?:,? (?:version |v\.? ?)?3(?:\.0)?)?", "affero", r"gnu\.org/licenses/agpl"),
     ("bsd-3-clause", "bsd-3-clause", r"(?:the )?(?:new|revised|modified|3-clause|three-clause) bsd license|bsd (?:3-clause|three-clause)(?: license)?", "bsd", r"opensource\.org/licenses/bsd-3-clause"),
     ("bsd-2-clause", "bsd-2-clause", r"(?:the )?(?:simplified|freebsd|2-clause|two-clause) bsd license|bsd (?:2-clause|two-clause)(?: license)?", "bsd", r"opensource\.org/licenses/bsd-2-clause"),
@@ -44,59 +46,76 @@ CATALOGUE = (
     ("epl-2.0", "epl-2.0", r"(?:the )?eclipse public license,? (?:version |v\.? ?)?2(?:\.0)?", "eclipse", r"eclipse\.org/legal/epl-2\.0"),
     ("epl-1.0", "epl-1.0", r"(?:the )?eclipse public license,? (?:version |v\.? ?)?1(?:\.0)?", "eclipse", r"eclipse\.org/legal/epl-v10"),
     ("epl", "epl", r"(?:the )?eclipse public license", "eclipse", r"eclipse\.org/legal/epl"),
-    ("eupl-1.2", "eupl-1.2", r"(?:the )?european union public licen[cs]e(?:,? (?:version |v\.? ?)?1\.2)?", "european union", r"joinup\.ec\.europa\.eu/\S*eupl"),
-    ("cddl-1.0", "cddl-1.0", r"(?:the )?common development and distribution license", "common development", r"opensource\.org/licenses/cddl"),
-    ("cpl-1.0", "cpl-1.0", r"(?:the )?common public license", "common public", r"opensource\.org/licenses/cpl1\.0"),
+    ("eupl-1.2", "eupl-1.2", r"(?:the )?european union public licen[cs]e(?:,? (?:version |v\.? ?)?1\.2)?", "european", r"joinup\.ec\.europa\.eu/\S*eupl"),
+    ("cddl-1.0", "cddl-1.0", r"(?:the )?common development and distribution license", "development", r"opensource\.org/licenses/cddl"),
+    ("cpl-1.0", "cpl-1.0", r"(?:the )?common public license", "common", r"opensource\.org/licenses/cpl1\.0"),
     ("isc", "isc", r"(?:the )?isc license", "isc", r"opensource\.org/licenses/isc"),
     ("zlib", "zlib", r"(?:the )?zlib(?:/libpng)? license", "zlib", r"zlib\.net/zlib_license"),
     ("unlicense", "unlicense", r"the unlicense", "unlicense", r"unlicense\.org"),
-    ("wtfpl", "wtfpl", r"do what the fuck you want to public license", "do what the", r"wtfpl\.net"),
+    ("wtfpl", "wtfpl", r"do what the fuck you want to public license", "fuck", r"wtfpl\.net"),
     ("artistic-2.0", "artistic-2.0", r"(?:the )?artistic license,? (?:version |v\.? ?)?2(?:\.0)?", "artistic", r"opensource\.org/licenses/artistic-license-2\.0"),
     ("artistic", "artistic-1.0", r"(?:the )?(?:perl )?artistic license", "artistic", r"opensource\.org/licenses/artistic"),
     ("bsl-1.0", "bsl-1.0", r"(?:the )?boost software license(?:,? (?:version |v\.? ?)?1\.0)?", "boost", r"boost\.org/license_1_0"),
-    ("busl-1.1", "busl-1.1", r"(?:the )?business source license(?: 1\.1)?", "business source", r"mariadb\.com/bsl11"),
-    ("sspl-1.0", "sspl-1.0", r"(?:the )?server side public license", "server side", r"mongodb\.com/licensing/server-side"),
+    ("busl-1.1", "busl-1.1", r"(?:the )?business source license(?: 1\.1)?", "business", r"mariadb\.com/bsl11"),
+    ("sspl-1.0", "sspl-1.0", r"(?:the )?server side public license", "server", r"mongodb\.com/licensing/server-side"),
     ("elastic-2.0", "elastic-2.0", r"(?:the )?elastic license(?: 2\.0)?", "elastic", r"elastic\.co/licensing"),
     ("python-2.0", "(?:python-2.0|psf-2.0)", r"(?:the )?(?:python software foundation|psf) license", "license", r"docs\.python\.org/\S*license"),
     ("php-3.01", "php-3.01", r"(?:the )?php license", "php", r"php\.net/license"),
     ("ruby", "ruby", r"(?:the )?ruby license", "ruby", r"ruby-lang\.org/\S*license"),
-    ("ofl-1.1", "ofl-1.1", r"(?:the )?sil open font license", "open font", r"scripts\.sil\.org/ofl"),
+    ("ofl-1.1", "ofl-1.1", r"(?:the )?sil open font license", "font", r"scripts\.sil\.org/ofl"),
     ("postgresql", "postgresql", r"(?:the )?postgresql license", "postgresql", r"postgresql\.org/about/licen[cs]e"),
     ("ncsa", "ncsa", r"(?:the )?university of illinois/?ncsa open source license|ncsa license", "ncsa", r"otm\.illinois\.edu/\S*ncsa"),
     ("ms-pl", "ms-pl", r"(?:the )?microsoft public license", "microsoft", r"opensource\.org/licenses/ms-pl"),
-    ("odbl-1.0", "odbl-1.0", r"(?:the )?open database license|odbl", "od", r"opendatacommons\.org/licenses/odbl"),
-    ("odc-by-1.0", "odc-by-1.0", r"(?:the )?open data commons attribution license", "open data commons", r"opendatacommons\.org/licenses/by"),
-    ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", r"(?:the )?gnu free documentation license", "free documentation", r"gnu\.org/licenses/fdl"),
-    *((f"cc-{k}-{v}", rf"cc-{k}-{re.escape(v)}", rf"(?:the )?creative commons {n}(?: international| unported| generic)? (?:{re.escape(v)}|license,? (?:version )?{re.escape(v)})|cc[ -]{k}[ -]{re.escape(v)}", "c", rf"creativecommons\.org/licenses/{k}/{re.escape(v)}")
+    ("odbl-1.0", "odbl-1.0", r"(?:the )?open database license", "database", r"opendatacommons\.org/licenses/odbl"),
+    ("odbl-1.0", None, r"odbl", "odbl", None),
+    ("odc-by-1.0", "odc-by-1.0", r"(?:the )?open data commons attribution license", "commons", r"opendatacommons\.org/licenses/by"),
+    ("gfdl-1.3", r"gfdl-1\.3(?:-only|-or-later)?", r"(?:the )?gnu free documentation license", "documentation", r"gnu\.org/licenses/fdl"),
+    *((f"cc-{k}-{v}", rf"cc-{k}-{re.escape(v)}", rf"(?:the )?creative commons {n}(?: international| unported| generic)? (?:{re.escape(v)}|license,? (?:version )?{re.escape(v)})|cc[ -]{k}[ -]{re.escape(v)}", v, rf"creativecommons\.org/licenses/{k}/{re.escape(v)}")
       for v in ("4.0", "3.0") for k, n in (("by", "attribution"), ("by-sa", "attribution-sharealike"), ("by-nc", "attribution-noncommercial"), ("by-nd", "attribution-noderivatives"), ("by-nc-sa", "attribution-noncommercial-sharealike"))),
     ("cc0-1.0", "cc0-1.0", r"cc0(?: 1\.0)?(?: universal)?", "cc0", r"creativecommons\.org/publicdomain/zero"),
-    ("public-domain", "public-domain", r"(?:in|into|to) the public domain", "public domain", r"creativecommons\.org/publicdomain/mark"),
-    ("proprietary", "licenseref-proprietary", r"all rights reserved|proprietary and confidential", "r", r"license\.txt for terms"),
+    ("public-domain", "public-domain", r"(?:in|into|to) the public domain", "domain", r"creativecommons\.org/publicdomain/mark"),
+    ("proprietary", "licenseref-proprietary", r"all rights reserved", "reserved", r"license\.txt for terms"),
+    ("proprietary", None, r"proprietary and confidential", "confidential", None),
 )
-TEMPLATES = (  # (priority, confidence, keyword or None for the licence's own, pattern)
-    (100, 1.0, "spdx-license-identifier", r"spdx-license-identifier:\s*\(?{spdx}(?![a-z0-9.-])"),
-    (90, 0.95, "://", r"https?://(?:www\.)?{address}"),
-    (80, 0.9, None, r"(?:licen[cs]ed|released|distributed|available|provided|published)(?: to you)?\s+under\s+(?:the\s+terms\s+of\s+)?(?:{name})"),
-    (70, 0.8, None, r"licen[cs]e:\s*(?:{name})"),
-    (50, 0.6, None, r"(?<![a-z0-9])(?:{name})(?![a-z0-9])"),
+VERBS = ("released", "distributed", "available", "provided", "published")
+TEMPLATES = (  # (priority, confidence, pattern)
+    (100, 1.0, r"spdx-license-identifier:\s*\(?{spdx}(?![a-z0-9.-])"),
+    (90, 0.95, r"https?://(?:www\.)?{address}"),
+    (80, 0.9, rf"(?:licen[cs]ed|{'|'.join(VERBS)})(?: to you)?\s+under\s+(?:the\s+terms\s+of\s+)?(?:{{name}})"),
+    (70, 0.8, r"licen[cs]e:\s*(?:{name})"),
+    (50, 0.6, r"(?<![a-z0-9])(?:{name})(?![a-z0-9])"),
 )
 
 
-def _rules() -> list[tuple]:
-    """(label, priority, confidence, keyword, pattern), ordered by priority and then by the catalogue."""
-    out = []
-    for label, spdx, name, keyword, address in CATALOGUE:
-        spaced = name.replace(" ", r"\s+")
-        for priority, confidence, needs, template in TEMPLATES:
-            plain = priority == 50 and label in ("mit",)  # a bare short name must be followed by its kind
-            own = r"(?:the\s+)?(?:mit|expat)\s+license" if plain else spaced
-            pattern = template.replace("{spdx}", spdx).replace("{address}", address).replace("{name}", own)
-            out.append((label, priority, confidence, needs or keyword, pattern))
-    return sorted(out, key=lambda r: -r[1])
+def _always(word: str, pattern: str) -> bool:
+    """True only if every match of the pattern has the word, outside of optional groups and of groups of alternatives."""
+    while (less := re.sub(r"\(\?:[^()]*\)\?|\(\?:[^()]*\|[^()]*\)", "", pattern)) != pattern:
+        pattern = less
+    return all(word in x for x in pattern.split("|"))
 
 
-RULES = _rules()
-GATE = ("licens", "licenc", "spdx", "public domain", "rights reserved", "proprietary and", "odbl", "cc0", "creative commons", "cc-by", "cc by", "bsd 2", "bsd 3", "bsd t")
+def _rules() -> tuple[list[tuple], tuple[tuple[str, ...], ...]]:
+    """(label, priority, confidence, keyword, pattern), ordered by priority and then by the catalogue; and the gate:
+    every match of every rule has all the words of one of its entries."""
+    out, gate = [], {("licen",)}
+    for label, spdx, name, keyword, address in CATALOGUE:
+        spaced = name.replace("[ -]", r"(?:[+-]|\s+)").replace(" ?", r"\s*").replace(" ", r"\s+")
+        for priority, confidence, template in TEMPLATES:
+            if spdx is None and priority > 80:
+                continue
+            plain = priority == 50 and label == "mit"  # a bare short name must be followed by its kind
+            own = rf"(?:the\s+)?{keyword}\s+license" if plain else spaced
+            site = re.match(r"(?:[a-z0-9_/-]|\\\.)+", address or "-")[0].replace("\\", "")  # what is fixed of the address
+            needs = {100: "spdx-license-identifier", 90: site}.get(priority, keyword)
+            pattern = template.replace("{spdx}", spdx or "").replace("{address}", address or "").replace("{name}", own)
+            out.append((label, priority, confidence, needs, pattern))
+            if "licen" not in needs and priority != 70 and not _always("licen", address if priority == 90 else own):
+                gate |= {("under", v, needs) for v in VERBS} if priority == 80 else {(needs,)}
+    least = {g for g in gate if not any(o != g and all(any(w in x for x in g) for w in o) for o in gate)}
+    return sorted(out, key=lambda r: -r[1]), tuple(sorted(least))
+
+
+RULES, GATE = _rules()
 GAPS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # between words, before lower-casing
 BASE = (("mit", ("mit", "license")), ("apache", ("apache", "license")), ("gpl", ("general", "public", "license")))
 
@@ -143,7 +162,7 @@ def scan(docs: DataFrame) -> DataFrame:
     positions in characters."""
     text = F.coalesce(F.col("text"), F.lit(""))
     own = docs.select("doc_id", text.alias("_text")).withColumn("_any", F.lower("_text"))
-    own = own.withColumns({"_gated": _or(F.contains(F.col("_any"), F.lit(k)) for k in GATE), "_split": F.split("_text", GAPS)}).drop("_any")
+    own = own.withColumns({"_gated": _or(_all(F.contains(F.col("_any"), F.lit(k)) for k in g) for g in GATE), "_split": F.split("_text", GAPS)}).drop("_any")
     # what splits at gaps are words, but for an empty piece before a leading and after a trailing gap
     outer = [F.when(F.element_at("_split", i) == "", 1).otherwise(0) for i in (1, -1)]
     own = own.withColumns({

@@ -101,6 +101,51 @@ def test_license_rules_against_brute_force(spark):
         assert sorted({(x["a"], x["b"], x["priority"], x["label"]) for x in r["detections"]}) == want
 
 
+def some_matches(pattern, space):
+    """Texts that a rule matches: each alternative and optional part once, white space as given."""
+    from re import _constants as c, _parser
+
+    def walk(items):
+        out = [""]
+        for op, v in items:
+            if op is c.ANY:
+                parts = ["."]
+            elif op is c.LITERAL:
+                parts = [chr(v)]
+            elif op is c.IN:
+                parts = [space] if (c.CATEGORY, c.CATEGORY_SPACE) in v else [chr(x) for k, x in v if k is c.LITERAL] or ["x"]
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                parts = ([""] if v[0] == 0 else []) + walk(v[2])
+            elif op is c.SUBPATTERN:
+                parts = walk(v[3])
+            elif op is c.BRANCH:
+                parts = [x for branch in v[1] for x in walk(branch)]
+            else:
+                assert op in (c.ASSERT, c.ASSERT_NOT), op
+                parts = [""]
+            out = [a + b for a in out for b in parts]
+        return out
+
+    return walk(_parser.parse(pattern))
+
+
+def test_license_prefilters_lose_no_match(spark):
+    rnd, texts = random.Random(5), []
+    for label, _, _, key, rx in licenses.RULES:
+        for space in (" ", "\n", "\n  "):
+            found = some_matches(rx, space)
+            assert all(re.search(rx, t) for t in found)
+            assert all(key in t and any(all(w in t for w in g) for g in licenses.GATE) for t in found), (rx, key)
+        texts.append((label, rnd.choice(found)))
+    texts += [("gpl-3.0", "GNU General\nPublic License, version 3"), ("gpl-2.0", "GNU  General Public License v2"), ("public-domain", "in the public\ndomain"), ("proprietary", "all rights\nreserved"), ("mit", "Released under the Expat License"), ("mpl-2.0", "see https://www.mozilla.org/MPL/2.0/"), ("wtfpl", "http://wtfpl.net/")]
+    got = {r["doc_id"]: r for r in licenses.scan(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id long, text string")).collect()}
+    for i, (label, t) in enumerate(texts):
+        d = {(m.start(), m.end(), p, x) for x, p, _, _, rx in licenses.RULES for m in re.finditer(rx, t.lower())}
+        stronger = lambda o, x: o[0] <= x[0] and o[1] >= x[1] and (o[2] > x[2] or (o[2] == x[2] and (o[1] - o[0] > x[1] - x[0] or (o[:2] == x[:2] and o[3] < x[3]))))
+        assert {(x["a"], x["b"], x["priority"], x["label"]) for x in got[i]["detections"]} == {x for x in d if not any(stronger(o, x) for o in d)}, t
+    assert all(label in got[i]["labels"].split(",") for i, (label, _) in enumerate(texts[-7:], len(texts) - 7))
+
+
 # 2
 
 

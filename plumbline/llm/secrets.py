@@ -1,11 +1,12 @@
 """Secret scans: patterns, and character Markov models of random strings against ordinary identifiers.
 
 Two first-order Markov chains over characters are trained from labelled samples, one of random strings (keys,
-digests, base64) and one of ordinary identifiers. A token of at least ``min_chars`` characters whose log-likelihood
+digests, base64) and one of ordinary identifiers. A string of at least ``min_chars`` characters whose log-likelihood
 ratio is at least ``min_ratio`` in all and ``min_mean`` per character, with 8 or more different characters, is a
-secret, of kind markov. Three kinds of
-patterns (assign, access, hex) always count. All positions are code points, ends exclusive; markov tokens that
-overlap a pattern's span are not reported again.
+secret, of kind markov. Three kinds of patterns (assign, access, hex) always count; what they leave over of a run of
+key characters is scored by itself. A run that does not reach the means as a whole is searched for the stretches that
+do (a key behind its name, the last part of an address); a stretch is reported by whole words between ``= / + _ -``,
+those at its ends if it has half of them. All positions are code points, ends exclusive.
 
 Texts are searched as UTF-8 bytes in one narrow pass: a pattern runs only where a fixed part of it occurs.
 
@@ -30,7 +31,9 @@ ASSIGN = re.compile(rb"""(?:(?i:password|passwd|secret|token|api_?key))["']?\x20
 ASSIGN_NEEDS = (b"passw", b"secret", b"token", b"api_key", b"apikey")
 ACCESS = re.compile(rb"AKIA[A-Z0-9]+")
 HEX = re.compile(rb"(?<![0-9a-f])[0-9a-f]{32,}")
-TOKEN = re.compile(rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
+RUN = rb"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{%d,}"
+MARKS = b"=/+_-"
+DROP = 8.0  # a stretch ends where its sum falls by this much
 
 _ALPHABET = np.full(256, 66, dtype=np.int64)
 for _i, _c in enumerate(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"):
@@ -67,12 +70,77 @@ class Markov:
         logs = np.log(counts / counts.sum(axis=2, keepdims=True))
         self.ratio = logs[1] - logs[0]
 
-    def score(self, token: bytes) -> float:
+    def steps(self, token: bytes) -> np.ndarray:
         c = _ALPHABET[np.frombuffer(token, np.uint8)]
-        return float(self.ratio[np.r_[STATES - 1, c[:-1]], c].sum())
+        return self.ratio[np.r_[STATES - 1, c[:-1]], c]
+
+    def score(self, token: bytes) -> float:
+        return float(self.steps(token).sum())
+
+
+def _free(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """The parts of a..b outside of all spans of base."""
+    out = []
+    for x, y in sorted((x, y) for x, _, y in base if x < b and a < y):
+        out.append((a, x))
+        a = max(a, y)
+    return [(x, y) for x, y in [*out, (a, b)] if x < y]
+
+
+def _stretches(x: np.ndarray, least: int) -> list[tuple[int, int]]:
+    """From left to right stretches of at least ``least`` values with a sum of 0 or more, each grown to its largest sum.
+    One is found wherever there is any."""
+    pre = np.r_[0.0, np.cumsum(x)]
+    if len(x) < least or (pre[least:] - np.minimum.accumulate(pre[:-least])).max() < 0:
+        return []
+    pre, out, low, j = pre.tolist(), [], 0, least
+    while j < len(pre):
+        if pre[j - least] < pre[low]:
+            low = j - least
+        if pre[j] < pre[low]:
+            j += 1
+            continue
+        end = k = j
+        while k + 1 < len(pre) and pre[k] >= max(pre[low], pre[end] - DROP):
+            k += 1
+            if pre[k] >= pre[end]:
+                end = k
+        out.append((min(range(low, end - least + 1), key=pre.__getitem__), end))
+        low, j = end, end + least
+    return out
+
+
+def _whole_words(own: bytes, a: int, b: int, done: int, least: int) -> tuple[int, int]:
+    """a..b as far as the marks around it, or without a first or last word of which it has less than half."""
+    left, right = a, b
+    while left > done and own[left - 1] not in MARKS:
+        left -= 1
+    while right < len(own) and own[right] not in MARKS:
+        right += 1
+    first = next((i for i in range(a, b) if own[i] in MARKS), b)
+    last = next((i for i in range(b, a, -1) if own[i - 1] in MARKS), a)
+    new_a = first + 1 if 2 * (first - a) < first - left and b - first > least else left
+    new_b = last - 1 if 2 * (b - last) < right - last and last - 1 - new_a >= least else right
+    return new_a, new_b
+
+
+def _random(own: bytes, model: Markov, min_ratio: float, min_mean: float, min_chars: int) -> list[tuple[int, int]]:
+    """The places in a run of key characters that are random strings."""
+    if len(own) < min_chars or len(set(own)) < 8:
+        return []
+    x = model.steps(own)
+    if x.sum() >= max(min_ratio, min_mean * len(own)):
+        return [(0, len(own))]
+    out, done = [], 0
+    for a, b in _stretches(x - min_mean, min_chars):
+        if x[a:b].sum() >= min_ratio and len(set(own[a:b])) >= 8 and b > done:
+            a, b = _whole_words(own, max(a, done), b, done, min_chars)
+            out.append((a, b))
+            done = b
+    return out
 
 
-def find(text: bytes, model: Markov | None, min_ratio: float = 12.0, min_mean: float = 0.8) -> list[tuple[int, int, int]]:
+def find(text: bytes, model: Markov | None, min_ratio: float = 12.0, min_mean: float = 0.8, min_chars: int = 16) -> list[tuple[int, int, int]]:
     """(start, kind, end) of all spans of a text in bytes, in order."""
     out = []
     low = text.lower()
@@ -83,11 +151,9 @@ def find(text: bytes, model: Markov | None, min_ratio: float = 12.0, min_mean: f
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if model:
         base = list(out)
-        for m in TOKEN.finditer(text):
-            if not any(a < m.end() and m.start() < b for a, _, b in base):
-                r = model.score(m[0])
-                if r >= min_ratio and r >= min_mean * len(m[0]) and len(set(m[0])) >= 8:
-                    out.append((m.start(), 3, m.end()))
+        for m in re.finditer(RUN % min_chars, text):
+            for a, b in _free(m.start(), m.end(), base):
+                out += [(a + x, 3, a + y) for x, y in _random(text[a:b], model, min_ratio, min_mean, min_chars)]
     return sorted(out)
 
 
@@ -106,7 +172,7 @@ def _joined(spans) -> str:
 COLUMNS = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_markov long"
 
 
-def scan(spark: SparkSession, docs: DataFrame, samples: DataFrame | None = None, min_ratio: float = 12.0, min_mean: float = 0.8, max_samples: int = 100_000) -> DataFrame:
+def scan(spark: SparkSession, docs: DataFrame, samples: DataFrame | None = None, min_ratio: float = 12.0, min_mean: float = 0.8, min_chars: int = 16, max_samples: int = 100_000) -> DataFrame:
     """doc_id and its spans. samples: labelled (token, label 0/1) to train from, of which the first max_samples in order
     of their hash are taken; without it, samples made by rule."""
     if samples is None:
@@ -121,7 +187,7 @@ def scan(spark: SparkSession, docs: DataFrame, samples: DataFrame | None = None,
         for b in batches:
             cols = [[] for _ in range(6)]
             for text in b.column(1).to_pylist():
-                spans = _points(text, find(text, model, min_ratio, min_mean)) if text else []
+                spans = _points(text, find(text, model, min_ratio, min_mean, min_chars)) if text else []
                 base = [s for s in spans if s[1] < 3]
                 for k in range(3):
                     cols[k].append(sum(s[1] == k for s in base))

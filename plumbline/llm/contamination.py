@@ -2,9 +2,12 @@
 
 Every batch of documents is a shard. Words of the benchmark are numbered; other words cannot be part of a match,
 so a shard's suffix array holds only the suffixes that begin with enough numbered words in a row, ordered through
-``width`` words. Every suffix of every benchmark item is looked up in it by binary search: the range of equal
-suffixes gives all verbatim places of a window, and the neighbours of the insertion point the longest verbatim
-match (up to ``width`` words) with its location.
+``width`` words. The windows of every benchmark item are looked up in it by binary search: the range of equal
+suffixes gives all verbatim places of a window.
+
+``passages`` gives the longest verbatim matches of any length: all windows of ``least`` words, at every offset of every
+item, are looked up, and their places are joined where neighbours in the item are neighbours in the text. What it
+finds in a text depends on that text alone. ``locations`` gives the longest of them for every suffix of an item.
 
 The benchmark is read in blocks of at most ``block_words`` words, each broadcast by itself, so what is broadcast
 never grows with the benchmark; with one block nothing is shuffled at all, with more the hits of a document are
@@ -24,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import Work, table
 from .kernel import ALNUM, buffers, words
 
 
@@ -90,7 +93,7 @@ class SuffixArray:
             rows[ok, j] = ids[start[ok] + j]
         key = _packed(rows)
         order = np.argsort(key, kind="stable")
-        self.start, self.key, self.rows = start[order], key[order], rows[order]
+        self.start, self.key = start[order], key[order]
 
     def find(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
         """For each test window the range of suffixes that begin with it."""
@@ -100,17 +103,34 @@ class SuffixArray:
         right = np.searchsorted(self.key, _packed(high), side="right")
         return left, right
 
-    def longest(self, test: TestSuffixes) -> tuple[np.ndarray, np.ndarray]:
-        """For each test suffix the longest verbatim match in the shard, and where it begins (-1: none)."""
-        at = np.searchsorted(self.key, _packed(test.keys), side="left")
-        best, where = np.zeros(len(at), np.int64), np.full(len(at), -1, np.int64)
-        for side in (at - 1, at):
-            ok = np.flatnonzero((side >= 0) & (side < len(self.key)))
-            same = (self.rows[side[ok]] == test.keys[ok]) & (test.keys[ok] > 0)
-            n = np.cumprod(same, axis=1).sum(axis=1)
-            better = n > best[ok]
-            best[ok[better]], where[ok[better]] = n[better], self.start[side[ok[better]]]
-        return best, where
+
+PAIRS = 2_000_000
+
+
+def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(item, item's word, text, text's word, number of words) of the matches of at least width words that go on neither
+    before nor behind, for a few items at a time."""
+    sa = SuffixArray(h, at, test)
+    left, right = sa.find(test)
+    n = np.where(test.length == test.width, right - left, 0)
+    used = np.flatnonzero(n > 0)
+    first = np.flatnonzero(np.r_[True, test.item[used][1:] != test.item[used][:-1]]) if len(used) else used
+    parts, total = [], 0
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(used)]):
+        parts.append(used[a:b])
+        total += int(n[used[a:b]].sum())
+        if total >= PAIRS or b == len(used):
+            w = np.concatenate(parts)
+            parts, total = [], 0
+            which = np.repeat(w, n[w])
+            place = sa.start[np.arange(len(which)) - np.repeat(np.cumsum(n[w]) - n[w], n[w]) + left[which]]
+            item, offset, text = test.item[which], test.offset[which], np.searchsorted(at, place, side="right") - 1
+            order = np.lexsort((offset, place - offset, text, item))
+            item, offset, text, place = item[order], offset[order], text[order], place[order]
+            goes_on = (item[1:] == item[:-1]) & (text[1:] == text[:-1]) & (offset[1:] == offset[:-1] + 1) & (place[1:] == place[:-1] + 1)
+            begin = np.flatnonzero(np.r_[True, ~goes_on])
+            count = np.diff(np.r_[begin, len(item)])
+            yield item[begin], offset[begin], text[begin], place[begin] - at[text[begin]], count + test.width - 1
 
 
 def _hits(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, list[list[int]]]:
@@ -200,11 +220,14 @@ def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: in
     return _verdicts(spark, packed, benchmark, width, block_words).select("_row.doc_id", *[x.split()[0] for x in REPORT.split(", ")])
 
 
-def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
-    """Longest verbatim matches: for every shard and suffix of an item, (item_id, item_word, doc_id, doc_word, n_words)
-    of the longest match of at least ``least`` words that the shard has (matches are cut at width words)."""
-    out = None
-    for test in blocks(benchmark, width, block_words):
+PLACES = "item_id string, item_word long, doc_id long, doc_word long, n_words long"
+
+
+def passages(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
+    """All verbatim matches of at least ``least`` words in their full length: (item_id, item_word, doc_id, doc_word,
+    n_words), a row for each match that goes on neither before nor behind."""
+    out = spark.createDataFrame([], PLACES)
+    for test in blocks(benchmark, least, block_words):
         test.least = least
         shared = spark.sparkContext.broadcast(test)
 
@@ -212,19 +235,27 @@ def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width:
             test = shared.value
             for b in batches:
                 h, at = words(*buffers(b.column(1)), ALNUM)
-                if not len(h):
-                    continue
-                n, where = SuffixArray(h, at, test).longest(test)
-                ok = np.flatnonzero(n >= least)
-                text = np.searchsorted(at, where[ok], side="right") - 1
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([test.names[i] for i in test.item[ok]], pa.string()), pa.array(test.offset[ok]), b.column(0).take(pa.array(text)), pa.array(where[ok] - at[text]), pa.array(n[ok])],
-                    ["item_id", "item_word", "doc_id", "doc_word", "n_words"],
-                )
-
-        one = docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(run, "item_id string, item_word long, doc_id long, doc_word long, n_words long")
-        out = one if out is None else out.unionByName(one)
-    return out if out is not None else spark.createDataFrame([], "item_id string, item_word long, doc_id long, doc_word long, n_words long")
+                for item, item_word, text, doc_word, n in _runs(h, at, test) if len(h) and len(test.keys) else ():
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([test.names[i] for i in item], pa.string()), pa.array(item_word), b.column(0).take(pa.array(text)), pa.array(doc_word), pa.array(n)],
+                        ["item_id", "item_word", "doc_id", "doc_word", "n_words"],
+                    )
+
+        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, PLACES))
+    return out
+
+
+def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int | None = 10, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
+    """The longest verbatim match of every suffix of every item, with all its documents and places: (item_id, item_word,
+    doc_id, doc_word, n_words), of matches of at least ``least`` words. With a width, n_words says at most width, and
+    matches of width words or more count as equally long; with None, it is the full length."""
+    runs = Work(spark, "locations").save(passages(spark, docs, benchmark, least, block_words), "passages")
+    step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_words") - least)).alias("_k")
+    moved = runs.select("*", step).select("item_id", (F.col("item_word") + F.col("_k")).alias("item_word"), "doc_id", (F.col("doc_word") + F.col("_k")).alias("doc_word"), (F.col("n_words") - F.col("_k")).alias("n_words"))
+    if width is not None:
+        moved = moved.withColumn("n_words", F.least("n_words", F.lit(width).cast("long")))
+    best = moved.groupBy("item_id", "item_word").agg(F.max("n_words").alias("n_words"))
+    return moved.join(best, ["item_id", "item_word", "n_words"]).select(*[x.split()[0] for x in PLACES.split(", ")])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 2_000_000) -> DataFrame:

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import DATA, same_rows
 from pyspark.sql import functions as F
@@ -417,6 +418,40 @@ def test_contamination(spark, odd, nothing):
     assert (found["doc_word"], found["n_words"]) == (5, 10)
 
 
+def test_longest_matches_against_brute_force(spark):
+    rnd = random.Random(8)
+    fresh = lambda n, k: [f"{k}{rnd.randrange(10**6)}" for _ in range(n)]
+    long, short = fresh(300, "p"), [rnd.choice("abc") for _ in range(25)]
+    items = [("1", long), ("2", fresh(30, "q")), ("3", short), ("4", short[:4])]
+    texts = [fresh(7, "x") + long + fresh(3, "x"), long[:200] + fresh(2, "x") + long[150:], fresh(4, "x") + long + ["y"] + long[20:280], items[1][1][24:] + fresh(3, "x"), fresh(3, "x") + items[1][1][23:], [rnd.choice("abc") for _ in range(60)], [], long]
+    runs, suffixes = set(), {}
+    for name, w in items:
+        for d, t in enumerate(texts):
+            for i in range(len(w)):
+                for j in (j for j in range(len(t)) if t[j] == w[i]):
+                    n = next((k for k in range(min(len(w) - i, len(t) - j)) if w[i + k] != t[j + k]), min(len(w) - i, len(t) - j))
+                    if n >= 5:
+                        suffixes.setdefault((name, i), []).append((n, d, j))
+                        if not i or not j or w[i - 1] != t[j - 1]:
+                            runs.add((name, i, d, j, n))
+    want = {(*k, d, j, n) for k, v in suffixes.items() for n, d, j in v if n == max(v)[0]}
+    bench = spark.createDataFrame([(k, " ".join(w)) for k, w in items], "item_id string, text string")
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").coalesce(1)
+    assert {r[4] for r in runs} >= {300, 260, 200, 7, 6}
+    for size in (2_000_000, 40):
+        assert sorted(map(tuple, contamination.passages(spark, docs, bench, block_words=size).collect())) == sorted(runs)
+        assert sorted(map(tuple, contamination.locations(spark, docs, bench, width=None, block_words=size).collect())) == sorted(want)
+    old = contamination.PAIRS
+    contamination.PAIRS = 1
+    try:
+        h, at = kernel.words(*kernel.buffers(pa.array([" ".join(t).encode() for t in texts])), kernel.ALNUM)
+        got = [x for part in contamination._runs(h, at, contamination.TestSuffixes([(k, " ".join(w).encode()) for k, w in items], 5)) for x in zip(*(c.tolist() for c in part))]
+        assert sorted((items[i][0], *rest) for i, *rest in got) == sorted(runs)
+    finally:
+        contamination.PAIRS = old
+    assert contamination.passages(spark, docs, bench.where("false")).count() == contamination.passages(spark, docs.where("false"), bench).count() == 0
+
+
 # 8
 
 

@@ -1,7 +1,7 @@
 """License scans: ordered signature rules with keyword gates, priorities and interval containment.
 
 Rules are regular expressions over the lower-cased text, made from a catalogue of licences by rule (identifier
-tags, grants, names, addresses): about 280. A text is searched only if it has the words of an entry of the gate; in
+tags, grants, names, addresses), and by hand from the words of licences themselves (grants, conditions, disclaimers): about 350. A text is searched only if it has the words of an entry of the gate; in
 it, a rule runs only if the rule's keyword occurs. Both follow from the rules: no match is without them. Of the detections, one that lies within another's interval gives way if the other has
 a higher priority, or the same and a longer interval; of equal intervals and priorities the first label stays.
 
@@ -77,6 +77,78 @@ CATALOGUE = (
     ("proprietary", "licenseref-proprietary", r"all rights reserved", "reserved", r"license\.txt for terms"),
     ("proprietary", None, r"proprietary and confidential", "confidential", None),
 )
+GAP = r"""[\s,;:.()/*#>|"`'\u201c\u201d\u2018\u2019-]+"""
+_ARR = r"(?:all rights reserved )?"
+_FREE = _ARR + r"permission is hereby granted free of charge"
+_ISC = _ARR + r"permission to use copy modify (?:and(?: or)? )?distribute this software for any purpose with or without fee is hereby granted"
+_FREE_SOFTWARE = r"(?:this (?:program|library) )?is free software you can redistribute it and or modify it under the terms"
+_GNU = _FREE_SOFTWARE + r" of the gnu"
+_FSF = r"(?: as published by the free software foundation)?(?: either)?"
+_HOPE = r"this WORK is distributed in the hope that it will be useful but without any warranty"
+_FIT = r" without even the implied warranty of merchantability or fitness for a particular purpose see the gnu"
+#: (label, wording) of grants, conditions and disclaimers in the licences' own words. A blank stands for any
+#: white space and comment marks; punctuation is left open. A wording that others begin with stands for the family.
+BODIES = (
+    ("mit", _FREE + r"(?: to any person obtaining a copy(?: of this software and associated documentation files(?: the software)?(?: to deal in the software without restriction)?)?)?"),
+    ("mit", r"in no event shall the authors or copyright holders be liable for any claim"),
+    ("ncsa", _FREE + r" to any person obtaining a copy of this software and associated documentation files the software to deal with the software without restriction"),
+    ("bsl-1.0", _FREE + r" to any person or organization obtaining a copy of the software and accompanying documentation"),
+    ("ofl-1.1", _FREE + r" to any person obtaining a copy of the font software"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain"),
+    ("isc", _ISC + r" provided that the above copyright notice and this permission notice appear in all copies"),
+    ("0bsd", _ISC + r" the software is provided as is"),
+    ("postgresql", _ARR + r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted"),
+    ("bsd", _ARR + r"redistribution and use in source and binary forms(?: with or without modification are permitted)?"),
+    ("bsd", r"this software is provided by the (?:copyright holders|regents|author)(?: and contributors)? as is and any express or implied warranties"),
+    ("bsd-3-clause", r"neither the name of [^.]{1,120} may be used to endorse or promote products derived from this software"),
+    ("bsd-2-clause", r"documentation and or other materials provided with the distribution this software is provided by"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation"),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", r"terms and conditions for use reproduction and distribution 1 definitions"),
+    ("eupl-1.2", r"unless required by applicable law or agreed to in writing software distributed under the licence is distributed on an as is basis"),
+    ("gpl", r"this program is free software"),
+    ("gpl", _GNU + r" general public license"),
+    ("gpl-2.0", _GNU + r" general public license" + _FSF + r" version 2"),
+    ("gpl-2.0", _FREE_SOFTWARE + r" of version 2 of the gnu general public license"),
+    ("gpl-3.0", _GNU + r" general public license" + _FSF + r" version 3"),
+    ("gpl-3.0", _FREE_SOFTWARE + r" of version 3 of the gnu general public license"),
+    ("gpl", _HOPE.replace("WORK", "program")),
+    ("gpl", _HOPE.replace("WORK", "(?:program|library)") + _FIT + r" general public license"),
+    ("lgpl", _HOPE.replace("WORK", "(?:program|library)") + _FIT + r" (?:lesser|library) general public license"),
+    ("agpl-3.0", _HOPE.replace("WORK", "(?:program|library)") + _FIT + r" affero general public license"),
+    ("gpl-2.0", r"this license applies to any program or other work which contains a notice placed by the copyright holder"),
+    ("gpl-3.0", r"the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl-3.0", r"the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("lgpl", r"this library is free software"),
+    ("lgpl", _GNU + r" (?:lesser|library) general public license"),
+    ("lgpl-2.1", _GNU + r" lesser general public license" + _FSF + r" version 2\.1"),
+    ("lgpl-3.0", _GNU + r" lesser general public license" + _FSF + r" version 3"),
+    ("lgpl", _HOPE.replace("WORK", "library")),
+    ("lgpl-2.1", r"this license agreement applies to any software library or other program which contains a notice"),
+    ("agpl-3.0", _GNU + r" affero general public license" + _FSF + r"(?: version 3)?"),
+    ("gfdl-1.3", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1\.1"),
+    ("cddl-1.0", r"the contents of this file are subject to the terms of the common development and distribution license"),
+    ("epl", r"the accompanying program is provided under the terms of this eclipse public license"),
+    ("cpl-1.0", r"the accompanying program is provided under the terms of this common public license"),
+    ("zlib", r"the origin of this software must not be misrepresented"),
+    ("zlib", r"in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("wtfpl", r"you just do what the fuck you want to"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied"),
+    ("artistic-2.0", r"this license establishes the terms under which a given free software package may be copied"),
+    ("python-2.0", r"psf hereby grants licensee a nonexclusive royalty free world wide license"),
+    ("php-3.01", r"this product includes php software"),
+    ("ruby", r"you may make and give away verbatim copies of the source form of the software without restriction"),
+    ("busl-1.1", r"make non-production use of the licensed work"),
+    ("sspl-1.0", r"if you make the functionality of the program or a modified version available to third parties as a service"),
+    ("elastic-2.0", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("ms-pl", r"if you distribute any portion of the software in source code form you may do so only under this license"),
+    ("cc0-1.0", r"the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc0-1.0", r"affirmer hereby overtly fully permanently irrevocably and unconditionally waives"),
+    ("odbl-1.0", r"licensor grants to you a worldwide royalty free non exclusive terminable but only under section 9 license to use the database"),
+    ("proprietary", r"unauthorized (?:copying|reproduction|distribution)(?: or distribution)? of this (?:file|software|document)(?: via any medium)? is strictly prohibited"),
+)
 VERBS = ("released", "distributed", "available", "provided", "published")
 TEMPLATES = (  # (priority, confidence, pattern)
     (100, 1.0, r"spdx-license-identifier:\s*\(?{spdx}(?![a-z0-9.-])"),
@@ -87,11 +159,16 @@ TEMPLATES = (  # (priority, confidence, pattern)
 )
 
 
-def _always(word: str, pattern: str) -> bool:
-    """True only if every match of the pattern has the word, outside of optional groups and of groups of alternatives."""
+def _fixed(pattern: str) -> str:
+    """The pattern without its optional groups and its groups of alternatives."""
     while (less := re.sub(r"\(\?:[^()]*\)\?|\(\?:[^()]*\|[^()]*\)", "", pattern)) != pattern:
         pattern = less
-    return all(word in x for x in pattern.split("|"))
+    return pattern
+
+
+def _always(word: str, pattern: str) -> bool:
+    """True only if every match of the pattern has the word in what is fixed."""
+    return all(word in x for x in _fixed(pattern).split("|"))
 
 
 def _rules() -> tuple[list[tuple], tuple[tuple[str, ...], ...]]:
@@ -111,6 +188,10 @@ def _rules() -> tuple[list[tuple], tuple[tuple[str, ...], ...]]:
             out.append((label, priority, confidence, needs, pattern))
             if "licen" not in needs and priority != 70 and not _always("licen", address if priority == 90 else own):
                 gate |= {("under", v, needs) for v in VERBS} if priority == 80 else {(needs,)}
+    for label, wording in BODIES:
+        words = sorted(re.findall(r"(?<![^ ])[a-z]{4,}(?![^ ])", _fixed(wording)), key=len, reverse=True)[:3]
+        out.append((label, 85, 0.85, words[0], wording.replace(" ", GAP)))
+        gate.add(("licen",) if _always("licen", wording) else tuple(words))
     least = {g for g in gate if not any(o != g and all(any(w in x for x in g) for w in o) for o in gate)}
     return sorted(out, key=lambda r: -r[1]), tuple(sorted(least))
 

@@ -109,12 +109,12 @@ def some_matches(pattern, space):
     def walk(items):
         out = [""]
         for op, v in items:
-            if op is c.ANY:
-                parts = ["."]
+            if op in (c.ANY, c.NOT_LITERAL):
+                parts = ["x" if op is c.NOT_LITERAL else "."]
             elif op is c.LITERAL:
                 parts = [chr(v)]
             elif op is c.IN:
-                parts = [space] if (c.CATEGORY, c.CATEGORY_SPACE) in v else [chr(x) for k, x in v if k is c.LITERAL] or ["x"]
+                parts = [space] if (c.CATEGORY, c.CATEGORY_SPACE) in v else ["x"] if v[0][0] is c.NEGATE else [chr(x) for k, x in v if k is c.LITERAL] or ["x"]
             elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
                 parts = ([""] if v[0] == 0 else []) + walk(v[2])
             elif op is c.SUBPATTERN:
@@ -147,6 +147,25 @@ def test_license_prefilters_lose_no_match(spark):
     assert all(label in got[i]["labels"].split(",") for i, (label, _) in enumerate(texts[-7:], len(texts) - 7))
 
 
+def test_license_bodies(spark):
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal\nin the Software without restriction, including'
+    bsd = "/* Copyright (c) 2020, X. All rights reserved.\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that"
+    gnu = "This program is free software: you can redistribute it and/or modify it under\n# the terms of the GNU {}General Public License as published by\n# the Free Software Foundation, either version {} of the License"
+    hope = "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {}General Public License for more details."
+    isc = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{}"
+    cases = [
+        (mit, "mit"), ("Permission is hereby granted, free of charge", "mit"), (mit.replace("in the Soft", "with the Soft").replace("deal\nin", "deal\nwith"), "ncsa"), (bsd, "bsd"), ("Redistribution and use in source and binary forms", "bsd"),
+        (gnu.format("", 3), "gpl-3.0"), (gnu.format("", 2), "gpl-2.0"), (gnu.format("Lesser ", "2.1"), "lgpl-2.1"), (gnu.format("Affero ", 3), "agpl-3.0"), ("This program is free software", "gpl"),
+        (hope.format(""), "gpl"), (hope.format("Lesser "), "lgpl"), (hope.format("Affero "), "agpl-3.0"),
+        (isc.format(", provided that the above copyright notice and this permission notice appear in all copies."), "isc"), (isc.format('.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND'), "0bsd"),
+        ("Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS", "apache-2.0"),
+        ("THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS ``AS IS'' AND ANY EXPRESS OR IMPLIED WARRANTIES", "bsd"),
+        ("This is free and unencumbered software released into the public domain.", "unlicense"), ("All rights reserved.", "proprietary"), ("nothing of the kind", ""),
+    ]
+    got = {r["doc_id"]: {x["label"] for x in r["detections"]} for r in licenses.scan(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")).collect()}
+    assert [(t, ",".join(sorted(got[i]))) for i, (t, _) in enumerate(cases)] == cases
+
+
 # 2
 
 

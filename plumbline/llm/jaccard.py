@@ -338,16 +338,33 @@ def _pack(sig, at, band, keys, buckets):
     yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(c, pa.binary()) for c in rows[1:])], ["bucket", "keys", "sigs", "at", "bands"])
 
 
+def _ids(spark: SparkSession, docs: DataFrame, again: DataFrame) -> DataFrame:
+    """docs as (_row, _text, _key), where the second and further texts of a doc_id have keys of their own, behind all doc_ids."""
+    work, text = Work(spark, "keep_one"), F.coalesce("_text", F.lit(""))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("text").alias("_text"), F.col("doc_id").cast("long").alias("_key"))
+    rows = rows.withColumns({"_h1": F.xxhash64(text), "_h2": F.xxhash64(F.lit(1), text)})
+    texts = rows.select("_key", "_h1", "_h2").join(again, "_key", "left_semi").distinct()
+    first = texts.groupBy("_key").agg(F.min(F.struct("_h1", "_h2")).alias("_f")).select("_key", "_f.*")
+    last = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0]
+    more = texts.join(first, ["_key", "_h1", "_h2"], "left_anti").withColumn("_new", F.lit(last + 1) + F.monotonically_increasing_id())
+    more = work.save(more, "more")  # the keys must not change when a plan runs again
+    return work.save(rows.join(more, ["_key", "_h1", "_h2"], "left").select("_row", "_text", F.coalesce("_new", "_key").alias("_key")), "rows")
+
+
 def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """docs without all but the first (smallest doc_id) document of each component. Rows without a doc_id stay."""
-    join = Join(spark, docs, words, percent)
-    gone = join.components.where("component_id <> doc_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    again = join.sets.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    """docs without all but the first (smallest doc_id) document of each component. Rows without a doc_id stay. Rows that
+    share a doc_id are one document only if their texts are equal; of its other texts each is a document by itself,
+    which comes behind all doc_ids, so it goes only for an equal or linked text."""
+    again = docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("_key")).count().where("count > 1").select("_key")
     if again.isEmpty():
-        return kept
-    once, more = kept.join(again, "doc_id", "left_anti"), kept.join(again, "doc_id", "left_semi")
-    return once.unionByName(more.dropDuplicates(["doc_id"]))
+        gone = Join(spark, docs, words, percent).components.where("component_id <> doc_id").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti")
+    rows = _ids(spark, docs, again)
+    join = Join(spark, rows.select(F.col("_key").alias("doc_id"), F.col("_text").alias("text")), words, percent)
+    kept = rows.join(join.components.where("component_id <> doc_id").select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti")
+    equal = join.sets.where("n_shingles > 0 and doc_id is not null").groupBy(F.col("doc_id").alias("_key")).count().where("count > 1").select("_key")
+    once, more = kept.join(equal, "_key", "left_anti"), kept.join(equal, "_key", "left_semi")
+    return once.unionByName(more.dropDuplicates(["_key"])).select("_row.*")
 
 
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -437,6 +437,20 @@ def test_contamination(spark, odd, nothing):
     assert (found["doc_word"], found["n_words"]) == (5, 10)
 
 
+def test_keep_one_with_repeated_ids(spark):
+    rnd = random.Random(6)
+    one, two, three, four = (" ".join(f"w{rnd.randrange(10**6)}" for _ in range(80)) for _ in range(4))
+    near = lambda t: t + " more"
+    rows = [(3, near(one)), (5, one), (5, two), (5, two), (5, three), (7, near(two)), (8, four), (8, ""), (8, None), (9, three), (None, four)]
+    kept = [tuple(r) for r in jaccard.keep_one(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    groups = [[rows[0], rows[1]], [rows[2], rows[5]], [rows[4], rows[9]], [rows[6]], [rows[7]], [rows[8]], [rows[10]]]
+    assert all(sum(kept.count(x) for x in g) == 1 for g in groups) and len(kept) == len(groups)
+    assert rows[0] in kept
+
+
+# 7: full lengths
+
+
 def test_longest_matches_against_brute_force(spark):
     rnd = random.Random(8)
     fresh = lambda n, k: [f"{k}{rnd.randrange(10**6)}" for _ in range(n)]

@@ -1,7 +1,7 @@
-"""Removal of repeated byte strings by a depth-limited radix sort of suffixes.
+"""Removal of repeated byte strings by grouping suffixes by hashes, in place of a depth-limited radix sort.
 
-A string of ``depth`` bytes is repeated if two suffixes agree through depth bytes. Suffixes are ordered by most
-significant digit passes and only as far as that: a pass groups suffixes by their first bytes, groups of one are
+A string of ``depth`` bytes is repeated if two suffixes agree through depth bytes. Nothing is
+sorted, as only equality counts: a pass groups suffixes by a hash of their first bytes, groups of one are
 done with, and only groups whose members still may differ go on to the next, deeper pass; the groups of the last
 pass agree through all of depth and are exactly the repeated windows.
 

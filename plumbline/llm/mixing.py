@@ -4,14 +4,16 @@ Every source's documents are put in a shuffled order that depends on doc_id alon
 line of tokens, cut into blocks of ``block_tokens``. The mix is a sequence of slots: slot i takes the point
 frac(i * golden ratio) and maps it through the cumulative weights to a source, so that every stretch of the
 sequence holds the sources in nearly their proportions. A slot's rank among its source's slots says which
-block it takes: ranks run through the source's blocks once, then again for a second epoch. The last block of a
-source is cut where its target ends, so totals meet their targets to the word. Positions on the lines and ranks
-are prefix sums over many small buckets; no task ever holds a source.
-
-Defined cases: a null text has size 0 and is never taken; a null source is a source of its own, last in order;
-repeated rows are separate documents; rows of equal doc_id in a source are ordered by size; an empty table
-gives an empty result; other columns are ignored. One row per source goes to the driver, of which
-``max_sources`` are allowed (more raise an error).
+block it takes: ranks run through the source's blocks once, then again for a second epoch. The last block that a
+source takes is cut where its target ends, and blocks that no slot takes add nothing, so every source's total is its
+target without the fraction. Positions on the lines and ranks are prefix sums in three steps, over small buckets,
+runs of buckets and runs of those; no task holds a source, or all buckets of one.
+
+Defined cases: a null or empty text has size 0 and is never taken; a very long text is cut like any other where
+blocks end; a null source is a source of its own, last in order; repeated rows are separate documents; rows of equal
+doc_id in a source are ordered by size, and of equal size too, it is the same whichever comes first; an empty table
+gives an empty result; other columns are ignored. One row per source goes to the driver, of which ``max_sources``
+are allowed (more raise an error).
 """
 
 from __future__ import annotations
@@ -23,15 +25,19 @@ from .common import SPACE_WORD, Work, table
 GOLDEN = 0.6180339887498949
 
 
-def prefix_sums(df: DataFrame, group: str, bucket: str, order: list, value: str, out: str) -> DataFrame:
-    """Adds the sum of value over the rows before each row of its group, ordered by bucket and then order.
-    Buckets are small; only their totals are summed along a group."""
-    totals = df.groupBy(group, bucket).agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(group, bucket, F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+def prefix_sums(df: DataFrame, group: str, bucket: str, order: list, value: str, out: str, run: int = 4096, steps: int = 3) -> DataFrame:
+    """Adds the sum of value over the rows before each row of its group, ordered by bucket (numbers from 0) and then
+    order. Buckets are small; their totals are summed along runs of buckets, and only the last step's along a group."""
+    totals = df.groupBy(group, bucket).agg(F.sum(value).alias(f"_t{steps}"))
+    if steps > 2:
+        totals = totals.withColumn(f"_run{steps}", F.expr(f"{bucket} div {run}"))
+        totals = prefix_sums(totals, group, f"_run{steps}", [bucket], f"_t{steps}", "_before", run, steps - 1).select(group, bucket, "_before")
+    else:
+        before = Window.partitionBy(group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.select(group, bucket, F.coalesce(F.sum(f"_t{steps}").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(group, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(out, F.coalesce(F.sum(value).over(inside), F.lit(0)))
-    return df.join(totals, [group, bucket]).withColumn(out, F.col(out) + F.col("_before")).drop("_before")
+    return df.join(totals.withColumnRenamed("_before", f"_b{steps}"), [group, bucket]).withColumn(out, F.col(out) + F.col(f"_b{steps}")).drop(f"_b{steps}")
 
 
 def share(sizes: list[int], weights: list[float], factor: float, cap: float) -> list[float]:
@@ -48,7 +54,8 @@ def share(sizes: list[int], weights: list[float], factor: float, cap: float) ->
         for i in full:
             target[i] = float(cap * sizes[i])
             left -= target[i]
-        open_ = [i for i in open_ if i not in set(full)]
+        full = set(full)
+        open_ = [i for i in open_ if i not in full]
     return target
 
 
@@ -111,7 +118,8 @@ class Mix:
         lo = F.greatest(F.col("start"), F.col("block") * block_tokens)
         hi = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * block_tokens)
         pieces = pieces.withColumn("lo", lo).withColumn("hi", hi)
-        got = F.greatest(F.lit(0), F.least(F.col("hi"), F.col("ends")) - F.col("lo"))
+        # a block without a slot has no end: least() alone would skip it and count the block as taken
+        got = F.when(F.col("ends").isNotNull(), F.greatest(F.lit(0), F.least(F.col("hi"), F.col("ends")) - F.col("lo")))
         joined = pieces.join(self.slots.select("src", "block", "ends"), ["src", "block"], "left")
         taken = F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken")
         some = joined.groupBy("src", "start", "doc_id", "source", "size", "source_size", "target").agg(taken)

@@ -590,3 +590,61 @@ def test_schedule_is_even(spark):
         part = collections.Counter(r["src"] for r in slots[at : at + 100])
         assert all(abs(part[s] - 100 * c / n) <= 5 for s, c in share.items())
     assert len({(r["src"], r["rank"]) for r in slots}) == n
+
+
+def brute_mix(rows, order, block, weights=(5, 2, 1), factor=1.5, cap=2.0):
+    """What is taken of each of rows (key, source, size), all slots drawn one by one. order: a number for each key."""
+    names = sorted({s for _, s, _ in rows}, key=lambda s: (s is None, s or ""))
+    lines = {s: sorted((r for r in rows if r[1] == s and r[2]), key=lambda r: (order[r[0]], r[0])) for s in names}
+    sizes = [sum(r[2] for r in lines[s]) for s in names]
+    goals = [int(t) for t in mixing.share(sizes, [weights[i % 3] for i in range(len(names))], factor, cap)]
+    blocks = [-(-n // block) for n in sizes]
+    ranks = [n and g // n * b + -(-(g % n) // block) for n, g, b in zip(sizes, goals, blocks)]
+    ends, total, drawn, slots = np.cumsum(ranks) / max(sum(ranks), 1), sum(ranks), [0] * len(names), []
+    for i in range(total):
+        s = int(np.searchsorted(ends, (i * mixing.GOLDEN) % 1.0, side="right"))
+        if s < len(names) and drawn[s] < ranks[s]:
+            slots.append((s, drawn[s]))
+        drawn[min(s, len(names) - 1)] += 1
+    slots += [(s, k) for s in range(len(names)) for k in range(drawn[s], ranks[s])]
+    taken = collections.Counter()
+    for s, k in slots:
+        epoch, at = divmod(k, blocks[s])
+        stop = min((at + 1) * block, sizes[s] if epoch < goals[s] // sizes[s] else goals[s] % sizes[s])
+        start = 0
+        for key, _, n in lines[names[s]]:
+            taken[key] += max(0, min(start + n, stop) - max(start, at * block))
+            start += n
+    return taken, dict(zip(names, goals))
+
+
+@pytest.mark.parametrize("block,bucket", [(64, 4), (500, 3), (8192, 512)])
+def test_mixing_against_brute_force(spark, block, bucket):
+    """Sources of far more words than their targets, by many blocks, beside small ones that are taken twice."""
+    rnd = random.Random(block)
+    big = {"a": 30, "b": 2500, "c": 900, "d": 40, None: 1500, "f": 0}
+    rows = [(f"{s}", s, rnd.choice((0, 1, 30, 90, 400))) for s, n in big.items() for _ in range(n // 10 + 1)]
+    rows = [(i, s, n) for i, (_, s, n) in enumerate(rows)] + [(10_000, "c", 20_000)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, s, n in rows], "doc_id long, text string, source string")
+    order = {r["doc_id"]: r["u"] for r in docs.select("doc_id", F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 1).alias("u")).collect()}
+    taken, goals = brute_mix(rows, order, block)
+    got = mixing.mix(spark, docs, block_tokens=block, bucket_rows=bucket).collect()
+    assert {r["doc_id"]: r["taken"] for r in got} == {i: taken[i] for i, _, _ in rows}
+    sums = collections.Counter()
+    for r in got:
+        sums[r["source"]] += r["taken"]
+    assert dict(sums) == goals and sums["c"] + 1000 < sum(n for _, s, n in rows if s == "c")
+
+
+def test_mixing_meets_all_targets(spark):
+    for r in mixing.mix(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert r["taken"] == int(r["target"])
+
+
+def test_prefix_sums(spark):
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(3), rnd.randrange(200), i, rnd.randrange(9)) for i in range(600)]
+    got = mixing.prefix_sums(spark.createDataFrame(rows, "g int, b long, i long, v long"), "g", "b", ["i"], "v", "before", run=5, steps=4)
+    assert got.columns == ["g", "b", "i", "v", "before"]
+    for r in got.collect():
+        assert r["before"] == sum(v for g, b, i, v in rows if g == r["g"] and (b, i) < (r["b"], r["i"]))

@@ -2,6 +2,7 @@
 
 import corpus_pipeline as p
 from conftest import DATA
+from pyspark.sql import functions as F
 from test_corpus_operators import brute_components, brute_hits, brute_lines, odd  # noqa: F401
 
 from plumbline.llm import quality
@@ -22,6 +23,8 @@ def test_stages(spark):
     hits = brute_hits(list(table(three).items()), bench)
     assert four.columns == docs.columns and sorted(table(four)) == sorted(i for i, h in hits.items() if not h[4])
     five = p.STAGES[4][1](spark, four, DATA)
+    mixed = five.groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.max("source_size").alias("s"), F.sum("size").alias("size")).collect()
+    assert mixed and all(r["taken"] == int(r["target"]) and r["s"] == r["size"] for r in mixed)
     run = p.run(spark, DATA)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, five.collect())) and run.count() == four.count()
 

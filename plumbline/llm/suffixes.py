@@ -13,17 +13,17 @@ unlike records, one of each kind goes to the next pass. The passes go through 12
 they take about one suffix in 140, one in 25 and every one, but the later ones only where copies begin, end or
 differ. All comparisons are of two independent 64-bit hashes.
 
-All passes are aggregations and joins on hashes, so a group of copies of any size is summed before it moves and
-no task holds it. Texts longer than ``segment`` bytes are read in segments.
+All passes are aggregations and joins on hashes. A group of any size is summed before it moves; the records of large
+groups (of more than 1 in 10,000 of all) are not moved at all, as what is known of these groups is broadcast.
+Texts longer than ``SEGMENT`` bytes are read in segments.
 
-Defined cases: null text is empty; texts shorter than depth bytes never lose anything; repeated rows are other
-places, so equal texts of at least depth bytes lose all their bytes; an empty table gives an empty result; other
-columns are ignored.
+Defined cases: null text is empty; texts shorter than depth bytes never lose anything; very long texts are read whole;
+repeated rows are other places, so equal texts of at least depth bytes lose all their bytes; of suffixes with the same
+least hash in a window the first is taken; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -142,6 +142,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*rest).alias("_row"), F.xxhash64(*ids, text).alias("r1"), F.xxhash64(F.lit(1), text, *ids).alias("r2"), text.cast("binary").alias("_bytes"))
 
 
+def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 10_000) -> DataFrame:
+    """rows joined with groups, a written table with a row for each key and n, the number of rows that have it. Groups of
+    more than one in ``share`` of all grouped rows, so fewer than ``share`` of them at any size, are broadcast, and their rows
+    stay where they are; only rows of smaller groups are shuffled by key."""
+    most = (groups.agg(F.sum("n")).first()[0] or 0) // share
+    large, rest = groups.where(F.col("n") > most).drop("n"), groups.where(F.col("n") <= most).drop("n")
+    others = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(large), keys).unionByName(others.join(rest.hint("merge"), keys))
+
+
 def repeated_windows(docs: DataFrame, work: Work, depth: int = 400, passes=(128, 352)) -> DataFrame:
     """(r1, r2, spans): for each row of keyed docs the runs of repeated windows, as first and last start."""
     texts = docs.where(F.octet_length("_bytes") >= depth).select("r1", "r2", F.col("_bytes").alias("text"))
@@ -149,23 +159,26 @@ def repeated_windows(docs: DataFrame, work: Work, depth: int = 400, passes=(128,
     for k in (*passes, depth):
         source = texts if open_ is None else texts.join(open_.hint("merge"), ["r1", "r2"]).select("r1", "r2", "text", "spans")
         all_ = work.save(source.mapInArrow(_scan(k, depth), RECORD), f"pass{k}")
-        groups = all_.groupBy("h").agg(F.count("*").alias("n"), (F.min("g") == F.max("g")).alias("alike")).where("n > 1")
-        shared = work.save(all_.join(groups.select("h", "alike"), "h"), f"shared{k}")
-        work.drop(all_)
+        groups = work.save(all_.groupBy("h").agg(F.count("*").alias("n"), (F.min("g") == F.max("g")).alias("alike")).where("n > 1"), f"groups{k}")
+        shared = work.save(by_groups(all_, groups, ["h"]), f"shared{k}")
+        work.drop(all_, groups)
         kinds = shared.groupBy("h", "g", "alike").agg(F.count("*").alias("n"), F.min(F.struct("r1", "r2", "lo", "hi")).alias("one"))
-        equal = shared.join(kinds.where("n > 1").select("h", "g"), ["h", "g"])
+        kinds = work.save(kinds, f"kinds{k}")
+        equal = by_groups(shared, kinds.where("n > 1").select("h", "g", "n"), ["h", "g"])
         settled.append(work.save(equal.select("r1", "r2", "lo", "hi"), f"settled{k}"))
         if k != depth:
             span = F.struct(F.col("one.lo").alias("lo"), F.col("one.hi").alias("hi"))
             mixed = kinds.where("not alike").select("one.r1", "one.r2", span.alias("span"))
-            after = work.save(mixed.groupBy("r1", "r2").agg(F.collect_list("span").alias("spans")), f"open{k}")
-        work.drop(shared, *([open_] if open_ is not None else []))
+            after = work.save(mixed.groupBy("r1", "r2").agg(F.collect_set("span").alias("spans")), f"open{k}")
+        work.drop(shared, kinds, *([open_] if open_ is not None else []))
         open_ = after
     work.drop(open_)
     runs = settled[0]
     for x in settled[1:]:
         runs = runs.unionByName(x)
-    return runs.groupBy("r1", "r2").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    out = work.save(runs.groupBy("r1", "r2").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "runs")
+    work.drop(*settled)
+    return out
 
 
 OUT = "n_bytes long, n_removed long, n_spans long, _kept binary"

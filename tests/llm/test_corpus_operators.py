@@ -648,3 +648,29 @@ def test_prefix_sums(spark):
     assert got.columns == ["g", "b", "i", "v", "before"]
     for r in got.collect():
         assert r["before"] == sum(v for g, b, i, v in rows if g == r["g"] and (b, i) < (r["b"], r["i"]))
+
+
+# 8: large groups, and recall over several partitions
+
+
+def test_repeats_with_one_hot_passage(spark):
+    """A passage of over 400 bytes in thousands of texts, of which a third are copies, over many partitions."""
+    rnd = random.Random(12)
+    words = lambda n: " ".join(f"{rnd.randrange(16**7):07x}" for _ in range(n))
+    passage, copy, pairs = words(60), words(90), [words(52 + i) for i in range(30)]
+    texts = [f"{words(rnd.randrange(9))} {passage} {words(rnd.randrange(9))}" for _ in range(1500)] + [copy] * 800 + [f"{words(5)} {pairs[i % 30]} {words(7)}" for i in range(60)] + [words(80) for _ in range(100)]
+    texts = list(enumerate(texts))
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(16, "doc_id")
+    got = removed(suffixes.cut_repeats(spark, df))
+    assert got == brute_repeats(texts, 400)
+    planted = [got[i][1] > 0 for i, t in texts if i < 2360]
+    assert all(planted) and not any(got[i][1] for i, _ in texts[2360:])
+
+
+def test_by_groups(spark):
+    rows = [(k % 7 if k % 3 else 99, k) for k in range(600)] + [(1000 + k, k) for k in range(50)]
+    df = spark.createDataFrame(rows, "h long, x long")
+    groups = df.groupBy("h").agg(F.count("*").alias("n"), F.max("x").alias("m")).where("n > 1")
+    want = sorted(map(tuple, df.join(groups.drop("n"), "h").collect()))
+    for share in (1, 5, 100):
+        assert sorted(map(tuple, suffixes.by_groups(df, groups, ["h"], share).select("h", "x", "m").collect())) == want

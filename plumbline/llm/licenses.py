@@ -1,15 +1,19 @@
 """License scans: ordered signature rules with keyword gates, priorities and interval containment.
 
 Rules are regular expressions over the lower-cased text, made from a catalogue of licences by rule (identifier
-tags, grants, names, addresses), and by hand from the words of licences themselves (grants, conditions, disclaimers): about 350. A text is searched only if it has the words of an entry of the gate; in
-it, a rule runs only if the rule's keyword occurs. Both follow from the rules: no match is without them. Of the detections, one that lies within another's interval gives way if the other has
-a higher priority, or the same and a longer interval; of equal intervals and priorities the first label stays.
+tags, grants, names, addresses), and by hand from the words of licences themselves (grants, conditions,
+disclaimers): about 350. A text is searched only if it has the words of an entry of the gate; in it, a rule runs only
+if the rule's keyword occurs. Both follow from the rules: no match is without them. Of the detections, one that lies
+within another's interval gives way if the other has a higher priority, or the same and a longer interval; of equal
+intervals and priorities the first label stays.
+The detections of a text are summed and compared in runs, so a text of very many matches never costs their square.
 
 All is one narrow projection of SQL functions: no shuffle, no Python. Positions come from splitting a text at a
 rule's matches.
 
-Defined cases: a null or empty text has no words, places or labels and score 0; repeated rows give equal rows; an
-empty table gives an empty result; other columns are ignored.
+Defined cases: a null or empty text has no words, places or labels and score 0; very long texts are searched whole;
+of equal detections one stays; repeated rows give equal rows; an empty table gives an empty result; other columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -213,29 +217,71 @@ def _matches(low: Column, keywords: Column) -> Column:
     return F.transform(run, lambda r: F.struct(r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), F.regexp_extract_all(low, r["pattern"], F.lit(0)).alias("found"), F.split(low, r["pattern"], -1).alias("gaps")))
 
 
+RUN = 64  # elements whose sums or maxima are taken together, so that long arrays never cost their square
+
+
+def _let(value: Column, body) -> Column:
+    """body of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(xs: Column, f) -> Column:
+    """f of each run of RUN elements."""
+    return F.transform(F.sequence(F.lit(0), (F.size(xs) / RUN).cast("int")), lambda j: f(F.slice(xs, j * RUN + 1, F.lit(RUN))))
+
+
+def _own_run(xs: Column, i: Column) -> Column:
+    """What stands before element i in its run."""
+    j = (i / RUN).cast("int") * RUN
+    return F.slice(xs, j + 1, i - j)
+
+
 def _detections(matches: Column) -> Column:
     """array<struct<a, b, priority, label, confidence>> of all matches."""
+    total = lambda xs, first=F.lit(0): F.aggregate(xs, first, lambda a, x: a + x)
 
     def places(r: Column) -> Column:
-        length = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + F.char_length(x))
-        start = lambda i: length(F.slice(r["gaps"], F.lit(1), i + 1)) + length(F.slice(r["found"], F.lit(1), i))
-        at = F.transform(r["found"], lambda x, i: F.struct(start(i).alias("a"), F.char_length(x).alias("n")))
-        return F.transform(at, lambda x: F.struct(x["a"].alias("a"), (x["a"] + x["n"]).alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
+        gaps = F.slice(r["gaps"], F.lit(1), F.size(r["found"]))
+        pieces = F.zip_with(gaps, r["found"], lambda g, x: F.struct(F.char_length(g).alias("g"), F.char_length(x).alias("n")))
+
+        def placed(s: Column) -> Column:
+            lengths = s["lengths"]
+
+            def start(i: Column, before: Column) -> Column:
+                return total(_own_run(lengths, i), F.get(before, (i / RUN).cast("int"))) + F.get(s["pieces"], i)["g"]
+
+            def at(before: Column) -> Column:
+                found = F.transform(s["pieces"], lambda x, i: F.struct(start(i, before).alias("a"), x["n"].alias("n")))
+                return F.transform(found, lambda x: F.struct(x["a"].alias("a"), (x["a"] + x["n"]).alias("b"), r["priority"].alias("priority"), r["label"].alias("label"), r["confidence"].alias("confidence")))
+
+            return _let(_let(_runs(lengths, total), lambda sums: F.transform(sums, lambda _, j: total(F.slice(sums, F.lit(1), j)))), at)
+
+        own = _let(pieces, lambda p: F.struct(p.alias("pieces"), F.transform(p, lambda x: x["g"] + x["n"]).alias("lengths")))
+        return _let(own, placed)
 
     return F.flatten(F.transform(matches, places))
 
 
 def _surviving(d: Column) -> Column:
-    def beaten(x: Column) -> Column:
-        def by(o: Column) -> Column:
-            wider = (o["b"] - o["a"]) > (x["b"] - x["a"])
-            same = (o["a"] == x["a"]) & (o["b"] == x["b"])
-            stronger = (o["priority"] > x["priority"]) | ((o["priority"] == x["priority"]) & (wider | (same & (o["label"] < x["label"]))))
-            return (o["a"] <= x["a"]) & (o["b"] >= x["b"]) & stronger
+    """Without those that lie within one that beats them. In the order used, whatever may beat a detection stands before
+    it: it is beaten if one of no lower priority before it ends where it does or behind."""
+    levels = sorted({r[1] for r in RULES}, reverse=True)
+    order = F.array_sort(F.transform(d, lambda x: F.struct(x["a"].alias("a"), (-x["b"]).alias("_b"), (-x["priority"]).alias("_p"), x["label"].alias("label"), x["b"].alias("b"), x["priority"].alias("priority"), x["confidence"].alias("confidence"))))
+
+    def reach(xs: Column, least: Column, first: Column) -> Column:
+        return F.aggregate(xs, first, lambda e, x: F.greatest(e, F.when(x["priority"] >= least, x["b"]).otherwise(F.lit(-1))))
+
+    def swept(xs: Column) -> Column:
+        ends = _runs(xs, lambda own: F.array(*[reach(own, F.lit(p), F.lit(-1)) for p in levels]))
+        before = _let(ends, lambda e: F.transform(e, lambda _, j: F.aggregate(F.slice(e, F.lit(1), j), F.array(*[F.lit(-1)] * len(levels)), lambda m, x: F.zip_with(m, x, lambda y, z: F.greatest(y, z)))))
+
+        def kept(before: Column) -> Column:
+            farthest = lambda i, x: reach(_own_run(xs, i), x["priority"], F.element_at(F.get(before, (i / RUN).cast("int")), F.array_position(F.array(*map(F.lit, levels)), x["priority"]).cast("int")))
+            return F.filter(xs, lambda x, i: farthest(i, x) < x["b"])
 
-        return F.exists(d, by)
+        return _let(before, kept)
 
-    return F.filter(d, lambda x: ~beaten(x))
+    return F.transform(_let(order, swept), lambda x: F.struct(*[x[c].alias(c) for c in ("a", "b", "priority", "label", "confidence")]))
 
 
 def scan(docs: DataFrame) -> DataFrame:

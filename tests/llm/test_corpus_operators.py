@@ -674,3 +674,26 @@ def test_by_groups(spark):
     want = sorted(map(tuple, df.join(groups.drop("n"), "h").collect()))
     for share in (1, 5, 100):
         assert sorted(map(tuple, suffixes.by_groups(df, groups, ["h"], share).select("h", "x", "m").collect())) == want
+
+
+# 1: very many matches in one text
+
+
+def test_license_scan_of_many_matches(spark):
+    """20,000 mentions in one text of over 1 MB, of several rules that lie within each other."""
+    import time
+
+    rnd = random.Random(9)
+    mentions = ("MIT License", "the 3-clause BSD license", "GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: Apache-2.0", "all rights reserved", "licensed under the Apache License 2.0")
+    text = " ".join(f"{rnd.choice(mentions)} x{i % 7}{'y' * (i % 60)}" for i in range(20_000))
+    assert len(text) > 10**6
+    began = time.time()
+    rows = licenses.scan(spark.createDataFrame([(0, text), (1, text[:40_000])], "doc_id long, text string")).collect()
+    assert time.time() - began < 60
+    assert [len(r["detections"]) for r in rows if r["doc_id"] == 0] == [20_000]
+    for r in rows:
+        low_text = (text, text[:40_000])[r["doc_id"]].lower()
+        d = {(m.start(), m.end(), p, label) for label, p, _, key, rx in licenses.RULES if key in low_text for m in re.finditer(rx, low_text)}
+        if r["doc_id"]:
+            assert {(x["a"], x["b"], x["priority"], x["label"]) for x in r["detections"]} == {x for x in d if not any(o[0] <= x[0] and o[1] >= x[1] and (o[2] > x[2] or (o[2] == x[2] and (o[1] - o[0] > x[1] - x[0] or (o[:2] == x[:2] and o[3] < x[3])))) for o in d)}
+        assert {(x["a"], x["b"], x["priority"], x["label"]) for x in r["detections"]} <= d

@@ -68,6 +68,22 @@ def iso_or(code: Column, fallback: Column | None = None) -> Column:
     return own if fallback is None else F.coalesce(own, fallback)
 
 
+def megabytes(n: Column) -> Column:
+    """Bytes as megabytes with one decimal, halves up."""
+    return F.format_string("%.1f", F.floor(n / F.lit(1048576.0) * 10 + 0.5) / 10)
+
+
+def size_warning(n: Column) -> Column:
+    """What to say of a file of n bytes; null up to 50 MB."""
+    mb = n / F.lit(1048576.0)
+    return F.when(mb > 100, F.concat(F.lit("File is "), megabytes(n), F.lit("MB — may cause memory issues."))).when(mb > 50, F.concat(F.lit("File is "), megabytes(n), F.lit("MB — consider using a smaller file.")))
+
+
+def percent_done(done: Column, total: Column) -> Column:
+    """Progress in percent, 95 at most while anything is left to do."""
+    return F.floor(done / total * 95 + 0.5).cast("int")
+
+
 def base_name(c: Column) -> Column:
     return F.regexp_replace(c, r"\.[^.]+$", "")
 

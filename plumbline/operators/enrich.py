@@ -64,12 +64,21 @@ def _narrow(points: DataFrame, indexed: DataFrame, cell_rows: DataFrame) -> Data
     return joined.withColumn("_hits", F.coalesce(F.transform(inside, lambda f: f["values"]), none)).drop("_c0", "_c1")
 
 
-def _joined(points: DataFrame, indexed: DataFrame, cell_rows: DataFrame, key: str) -> DataFrame:
+SALTS = 16
+
+
+def _joined(points: DataFrame, indexed: DataFrame, cell_rows: DataFrame, key: str, most: int) -> DataFrame:
     lists = cell_rows.groupBy("level", "ci", "cj", "si", "sj").agg(F.collect_list("fi").alias("fis"))
     keyed = points.where("_valid").select(key, "_x", "_y", F.explode(F.array(F.struct(F.lit(0).alias("level"), "_ci", "_cj", F.lit(0).alias("_si"), F.lit(0).alias("_sj")), F.struct(F.lit(1).alias("level"), "_ci", "_cj", "_si", "_sj"))).alias("k"))
     keyed = keyed.select(key, "_x", "_y", "k.*")
     lists = lists.select("level", *[F.col(c).alias(f"_{c}") for c in ("ci", "cj", "si", "sj")], "fis")
-    near = keyed.join(lists, ["level", "_ci", "_cj", "_si", "_sj"]).select(key, "_x", "_y", F.explode("fis").alias("fi"))
+    on = ["level", "_ci", "_cj", "_si", "_sj"]
+    if cell_rows.count() <= most:  # numbers alone, so far fewer bytes than as many edges
+        lists = F.broadcast(lists)
+    else:  # many rows may lie in one cell
+        lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        keyed, on = keyed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), [*on, "_salt"]
+    near = keyed.join(lists, on).select(key, "_x", "_y", F.explode("fis").alias("fi"))
     hit = near.join(indexed.select("fi", "parts", "values"), "fi").where(contains(F.col("parts"), F.col("_x"), F.col("_y")))
     hits = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("fi", "values"))).alias("_h"))
     hits = hits.select(key, F.transform("_h", lambda h: h["values"]).alias("_hits"))
@@ -82,8 +91,10 @@ def edges_in_cells(indexed: DataFrame, cell_rows: DataFrame) -> int:
     return cell_rows.join(sized, "fi").agg(F.sum("n")).first()[0] or 0
 
 
-def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: str | None = None, mode: Mode | str = Mode.JOIN, key: str | None = None, plan: str = "auto", cell_edges: int = 2_000_000, keep_hidden: bool = False, blank_as_zero: bool = True, threshold: int = THRESHOLD) -> DataFrame:
-    """rows with a column for each selected property of each layer, and _matched and _valid where keep_hidden is set.
+def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: str | None = None, mode: Mode | str = Mode.JOIN, key: str | None = None, plan: str = "auto", cell_edges: int = 2_000_000, keep_hidden: bool = False, blank_as_zero: bool = True, threshold: int = THRESHOLD, strict_stats: bool = False) -> DataFrame:
+    """rows with a column for each selected property of each layer, and _matched and _valid where keep_hidden is set. The
+    result is lazy, but with plan "auto" each layer's size is counted at once; "narrow" and "joined" count nothing.
+    strict_stats: in mode all an empty list is no match.
 
     Layers follow one another; a column that is there already is overwritten in its place. key: a unique column, needed
     by the joined plan alone; without one a row number is made from the rows' partitions, which must then be stable."""
@@ -96,17 +107,17 @@ def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: st
     matched = F.lit(False)
     names = [c for c in points.columns if c not in HIDDEN]
     for n, layer in enumerate(layers):
-        indexed = layer.indexed().persist()  # layers are small, and read once for the size check and once for the join
-        cell_rows = cells(indexed, threshold, SUBDIVISIONS).persist()
+        indexed = layer.indexed()
+        cell_rows = layer.grid if layer.grid is not None else cells(indexed, threshold, SUBDIVISIONS)
         how = plan if plan != "auto" else ("narrow" if edges_in_cells(indexed, cell_rows) <= cell_edges else "joined")
         if how == "narrow":
             points = _narrow(points, indexed, cell_rows)
         else:
             if key is None:
                 points = points.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in points.columns else points
-            points = _joined(points, indexed, cell_rows, key or "_row")
+            points = _joined(points, indexed, cell_rows, key or "_row", cell_edges)
         own = {f"_o{n}_{i}": outcome(F.col("_hits"), i, mode, F.col("_valid")) for i in range(len(layer.outputs()))}
-        points = points.withColumns(own).withColumn("_any", F.coalesce(F.col("_any") if n else F.lit(False), F.lit(False)) | _any(own))
+        points = points.withColumns(own).withColumn("_any", F.coalesce(F.col("_any") if n else F.lit(False), F.lit(False)) | _any(own, strict_stats and mode is Mode.ALL))
         points = points.withColumns({name: F.col(f"_o{n}_{i}") for i, (_, name) in enumerate(layer.outputs())}).drop(*own, "_hits")
         names += [name for _, name in layer.outputs() if name not in names]
         matched = F.col("_any")
@@ -114,10 +125,10 @@ def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: st
     return out
 
 
-def _any(columns: dict) -> Column:
+def _any(columns: dict, strict: bool) -> Column:
     out = F.lit(False)
     for c in columns:
-        out = out | (F.col(c) != "")
+        out = out | ~F.col(c).isin("", *(["[]"] if strict else []))
     return out
 
 
@@ -129,7 +140,8 @@ def counters() -> list[Column]:
 
 
 def match_stats(enriched: DataFrame) -> DataFrame:
-    """One row of counters. In mode all an empty list is a text like any other, so every valid row counts as matched."""
+    """One row of counters. In mode all an empty list is a text like any other, so every valid row counts as matched, unless the
+    rows were enriched with strict_stats."""
     return enriched.agg(*counters())
 
 

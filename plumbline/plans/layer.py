@@ -21,7 +21,8 @@ LAYER_COLORS = {
 @dataclass
 class Layer:
     """features: columns of FEATURES. properties: (key, label) in order, the first being the default. selected: keys to
-    append; a key that the layer lacks takes the default's values."""
+    append; a key that the layer lacks takes the default's values. grid: the layer's cells, if they are known (a read grid
+    file, or a table of them); else they are made from the features."""
 
     features: DataFrame
     id: str
@@ -30,6 +31,7 @@ class Layer:
     selected: list[str] = field(default_factory=list)
     label: str = ""
     color: str = ""
+    grid: DataFrame | None = None
 
     def __post_init__(self):
         if not self.properties:

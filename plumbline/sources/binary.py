@@ -6,12 +6,14 @@ file: header, a table of 180 x 360 offsets, then posting lists, refined cells ho
 
 from __future__ import annotations
 
+import re
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geometry import POLYGONS, bbox, from_quantised, rings
@@ -121,25 +123,37 @@ def encode_grid(rows: list[tuple], subdivisions: int = 5) -> bytes:
 
 
 class _File(InputPartition):
-    def __init__(self, data: bytes):
-        self.data = data
+    def __init__(self, uri: str):
+        self.uri = uri
 
 
 class _Reader(DataSourceReader):
-    """One task a file. The bytes come through Spark's own file reader, so any store that Spark opens will do."""
+    """One task a file, which opens it itself: local and mounted paths, and the stores that Arrow knows. Of other stores
+    read_gjbf and read_grid read through Spark."""
 
     def __init__(self, options, decode):
-        self.path, self.decode = options["path"], decode
+        self.uri, self.decode = options["path"], decode
+
+    @staticmethod
+    def _open(uri: str):
+        from pyarrow import fs
+
+        return fs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9]+:/", uri) else (fs.LocalFileSystem(), uri)
 
     def partitions(self):
-        spark = SparkSession.getActiveSession()
-        if spark is not None:
-            return [_File(bytes(r["content"])) for r in spark.read.format("binaryFile").load(self.path).orderBy("path").collect()]
-        with open(self.path.removeprefix("file:"), "rb") as f:  # the planner runs outside the session
-            return [_File(f.read())]
+        from pyarrow import fs
+
+        store, path = self._open(self.uri)
+        if store.get_file_info(path).type == fs.FileType.File:
+            return [_File(self.uri)]
+        names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File and x.base_name[0] not in "._")
+        return [_File(f"{self.uri.rstrip('/')}/{x}") for x in names]
 
     def read(self, partition):
-        yield from self.decode(partition.data)
+        store, path = self._open(partition.uri)
+        with store.open_input_file(path) as f:
+            data = f.read()
+        yield from self.decode(data)
 
 
 class LayerSource(DataSource):
@@ -219,6 +233,11 @@ def grid_bytes(cell_rows: DataFrame) -> bytes:
 
 def decode_wkb(data: bytes) -> list | None:
     """Polygon or multipolygon, with or without Z, M and SRID, as parts of rings of (lon, lat); None for others."""
+    parts = _wkb_parts(data)
+    return None if parts is None else [[ring.tolist() for ring in part] for part in parts]
+
+
+def _wkb_parts(data: bytes) -> list[list[np.ndarray]] | None:
     def one(at: int) -> tuple[list | None, int]:
         order = "<" if data[at] == 1 else ">"
         kind = struct.unpack_from(f"{order}I", data, at + 1)[0]
@@ -231,8 +250,7 @@ def decode_wkb(data: bytes) -> list | None:
             rings_ = []
             for _ in range(count):
                 n = struct.unpack_from(f"{order}I", data, at)[0]
-                xy = np.frombuffer(data, f"{order}f8", n * dims, at + 4).reshape(-1, dims)[:, :2]
-                rings_.append(xy.tolist())
+                rings_.append(np.frombuffer(data, f"{order}f8", n * dims, at + 4).reshape(-1, dims)[:, :2].astype(float))
                 at += 4 + 8 * n * dims
             return [rings_], at
         if base == 6:
@@ -247,18 +265,52 @@ def decode_wkb(data: bytes) -> list | None:
 
 
 def wkb_polygons(df: DataFrame, column: str, out: str = "polygons") -> DataFrame:
-    """A WKB column decoded into polygons; other geometries become null."""
-
-    @F.udf(POLYGONS)
-    def decode(b):
-        parts = decode_wkb(bytes(b)) if b is not None else None
-        return None if parts is None else [[[tuple(p) for p in ring] for ring in part] for part in parts]
+    """A WKB column decoded into polygons, a batch at a time; other geometries become null."""
+    rest = [c for c in df.columns if c != out]
+    packed = df.select(F.struct(*rest).alias("_row"), F.col(column).alias("_wkb"))
+    kind = pa.list_(pa.list_(pa.list_(pa.struct([("lon", pa.float64()), ("lat", pa.float64())]))))
 
-    return df.withColumn(out, decode(F.col(column)))
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _decoded_wkb(b.column(1)).cast(kind)], ["_row", out])
+
+    made = packed.mapInArrow(run, f"_row {packed.schema['_row'].dataType.simpleString()}, {out} {POLYGONS}")
+    return made.select(*[F.col("_row").getField(c).alias(c) for c in rest], out)
+
+
+def _decoded_wkb(column) -> pa.Array:
+    """Polygons of a batch of geometries, built from whole arrays of coordinates."""
+    xy, ring_at, part_at, row_at, none = [], [0], [0], [0], []
+    for b in column.to_pylist():
+        parts = _wkb_parts(b) if b is not None else None
+        none.append(parts is None)
+        for part in parts or ():
+            for ring in part:
+                xy.append(ring)
+                ring_at.append(ring_at[-1] + len(ring))
+            part_at.append(len(ring_at) - 1)
+        row_at.append(len(part_at) - 1)
+    flat = np.concatenate(xy) if xy else np.zeros((0, 2))
+    points = pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1]))], ["lon", "lat"])
+    rings_ = pa.ListArray.from_arrays(pa.array(ring_at, pa.int32()), points)
+    parts_ = pa.ListArray.from_arrays(pa.array(part_at, pa.int32()), rings_)
+    return pa.ListArray.from_arrays(pa.array(row_at, pa.int32()), parts_, mask=pa.array(none, pa.bool_()))
+
+
+def wkb_kind(c: Column) -> Column:
+    """The kind of a WKB geometry without dimensions and flags: 3 a polygon, 6 a multipolygon."""
+    h = F.hex(F.substring(c, 1, 5))
+    little = F.concat(F.substring(h, 9, 2), F.substring(h, 7, 2), F.substring(h, 5, 2), F.substring(h, 3, 2))
+    kind = F.conv(F.when(F.substring(h, 1, 2) == "01", little).otherwise(F.substring(h, 3, 8)), 16, 10).cast("long")
+    return kind.bitwiseAND(0x1FFFFFFF) % 1000
 
 
 def read_wkb_parquet(spark: SparkSession, path: str, geometry: str, props: list[str]) -> DataFrame:
-    """fi, props, polygons of a Parquet table with WKB geometries; only the columns named are read."""
-    rows = wkb_polygons(spark.read.parquet(path).select(*props, geometry), geometry).where("polygons is not null")
+    """fi, props, polygons of a Parquet table with WKB geometries, in order of file and row; only the columns named are
+    read, and only the places of rows are brought together to number them."""
+    table = spark.read.parquet(path).select(*props, geometry, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    table = table.where(wkb_kind(F.col(geometry)).isin(3, 6))
+    ids = table.select(F.col("_file").alias("_f"), F.col("_at").alias("_a"), (F.row_number().over(Window.orderBy("_file", "_at")) - 1).cast("int").alias("fi"))
+    rows = wkb_polygons(table.join(ids, (F.col("_file") == F.col("_f")) & (F.col("_at") == F.col("_a"))), geometry)
     texts = F.map_from_arrays(F.array(*map(F.lit, props)), F.array(*[F.trim(F.coalesce(F.col(p).cast("string"), F.lit(""))) for p in props]))
-    return rows.select((F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1).cast("int").alias("fi"), texts.alias("props"), "polygons")
+    return rows.select("fi", texts.alias("props"), "polygons")

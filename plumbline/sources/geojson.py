@@ -30,16 +30,25 @@ def validation_error(v: str) -> Column:
 
 
 def read_geojson(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
-    """fi, props, polygons of the files under path. Positions keep longitude and latitude alone. validate: refuse a file
+    """fi, props, polygons of the files under path, in order of file and place. Positions keep longitude and latitude alone. validate: refuse a file
     at its first error; without it, features that are not polygons are left out, before they are numbered."""
-    files = spark.read.text(path, wholetext=True).select(F.expr("try_parse_json(value)").alias("v"))
+    raw = spark.read.text(path, wholetext=True)
+    files = raw.select(F.col("_metadata.file_path").alias("file"), F.expr("try_parse_json(value)").alias("v"))
     if validate:
         wrong = files.select(validation_error("v").alias("e")).where("e is not null").first()
         if wrong:
             raise ValueError(wrong["e"])
-    features = files.select(F.posexplode(F.expr("try_variant_get(v, '$.features', 'array<variant>')")).alias("pos", "f"))
+    polygonal = f"filter(try_variant_get(v, '$.features', 'array<variant>'), f -> {_key('f', '$.geometry.type')} IN ('Polygon', 'MultiPolygon'))"
+    files = files.withColumn("own", F.expr(polygonal)).drop("v")
+    if len(raw.inputFiles()) > 1:  # numbers go on from file to file; only their counts are brought together
+        before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+        starts = files.select("file", F.coalesce(F.size("own"), F.lit(0)).alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("start"))
+        files = files.join(starts, "file")
+    else:
+        files = files.withColumn("start", F.lit(0))
+    features = files.select("start", F.posexplode("own").alias("pos", "f"))
     kind = F.expr(_key("f", "$.geometry.type"))
-    features = features.withColumn("kind", kind).where("kind in ('Polygon', 'MultiPolygon')")
+    features = features.withColumn("kind", kind)
     one = F.array(F.expr(f"try_variant_get(f, '$.geometry.coordinates', '{RING}')"))
     many = F.expr(f"try_variant_get(f, '$.geometry.coordinates', 'array<{RING}>')")
     coordinates = F.when(F.col("kind") == "Polygon", one).otherwise(many)
@@ -47,9 +56,7 @@ def read_geojson(spark: SparkSession, path: str, validate: bool = True) -> DataF
     polygons = F.transform(coordinates, lambda part: F.transform(part, lambda ring: F.transform(ring, point)))
     props = F.expr("try_variant_get(f, '$.properties', 'map<string,variant>')")
     texts = F.coalesce(F.transform_values(props, lambda _, v: F.coalesce(v.cast("string"), F.lit(""))), F.create_map().cast("map<string,string>"))
-    # a layer's features are numbered together: a layer is small, and one file is one row anyway
-    numbered = features.select("pos", texts.alias("props"), polygons.cast(POLYGONS).alias("polygons"))
-    return numbered.withColumn("fi", (F.row_number().over(Window.orderBy("pos")) - 1).cast("int")).select("fi", "props", "polygons")
+    return features.select((F.col("start") + F.col("pos")).cast("int").alias("fi"), texts.alias("props"), polygons.cast(POLYGONS).alias("polygons"))
 
 
 def geometry_json(polygons: Column) -> Column:
@@ -66,9 +73,12 @@ def feature_lines(features: DataFrame) -> DataFrame:
 
 
 def write_geojson(features: DataFrame, path: str, collection: bool = True) -> None:
-    """A feature collection in one file, or features as lines, which any number of tasks writes."""
+    """A feature collection in one file, which one task writes feature by feature, or features as lines, which any number
+    of tasks writes."""
     lines = feature_lines(features)
     if collection:
-        lines = lines.groupBy().agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("fi", "value"))), lambda x: x["value"]), ",\n").alias("all"))
-        lines = lines.select(F.concat(F.lit('{"type":"FeatureCollection","features":['), "all", F.lit("]}")).alias("value")).coalesce(1)
+        first = features.agg(F.min("fi")).first()[0]
+        comma = F.when(F.col("fi") == F.lit(first), F.lit("")).otherwise(F.lit(","))
+        ends = features.sparkSession.createDataFrame([(0, 0, '{"type":"FeatureCollection","features":['), (2, 0, "]}")], "part int, fi int, value string")
+        lines = lines.select(F.lit(1).alias("part"), "fi", F.concat(comma, "value").alias("value")).unionByName(ends).orderBy("part", "fi").coalesce(1)
     lines.select("value").write.mode("overwrite").text(path)

@@ -88,6 +88,7 @@ def parse_kml(text: str | bytes) -> tuple[list[tuple[dict, list]], list[str], li
     out, keys, warnings = [], ["Name", "Description"], []
     for i, pm in enumerate(marks):
         props = properties(pm)
+        keys += [k for k in props if k not in keys]  # those of skipped placemarks too
         title = props.get("Name") or f"#{i + 1}"
         one, many = _child(pm, "Polygon"), _child(pm, "MultiGeometry")
         if one is not None:
@@ -103,7 +104,6 @@ def parse_kml(text: str | bytes) -> tuple[list[tuple[dict, list]], list[str], li
             parts = []
             warnings.append(f"Placemark {title}: no polygon, skipped.")
         if parts:
-            keys += [k for k in props if k not in keys]
             out.append((props, parts))
     if not out:
         raise ValueError("No polygon features found.")
@@ -138,9 +138,15 @@ def _read(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_kml(spark: SparkSession, path: str) -> DataFrame:
-    """fi, props, polygons, keys, warnings of the KML and KMZ files under path."""
+    """fi, props, polygons, keys, warnings of the KML and KMZ files under path, in order of file and place."""
     rows = _read(spark, path)
-    return rows.withColumn("fi", (F.row_number().over(Window.orderBy("file", "pos")) - 1).cast("int")).select("fi", "props", "polygons", "keys", "warnings")
+    if len(spark.read.format("binaryFile").load(path).inputFiles()) > 1:  # only the files' counts are brought together
+        before = F.sum("n").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1))
+        starts = rows.groupBy("file").agg(F.count("*").alias("n")).select("file", F.coalesce(before, F.lit(0)).alias("start"))
+        rows = rows.join(starts, "file")
+    else:
+        rows = rows.withColumn("start", F.lit(0))
+    return rows.select((F.col("start") + F.col("pos")).cast("int").alias("fi"), "props", "polygons", "keys", "warnings")
 
 
 read_kmz = read_kml

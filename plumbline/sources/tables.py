@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+from .shared import exists
 
 #: Delimiters to guess from, in order of preference, and the sample of twenty US cities.
 DELIMITERS = (",", "\t", "|", ";", "\x1e", "\x1f")
@@ -71,14 +73,48 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("multiLine", True).schema(MANIFEST).json(path)
 
 
+def manifest_entry(manifest: DataFrame, layer_id: str) -> dict | None:
+    """The catalogue's entry of a layer."""
+    found = manifest.where(F.col("id") == layer_id).first()
+    return found.asDict(recursive=True) if found else None
+
+
 def asset_path(base: str, path: str) -> str:
     """An asset's path below base: the first segment of a rooted path is the old base."""
     return base.rstrip("/") + re.sub(r"^/[^/]+/", "/", path)
 
 
+def asset_paths(base: str, path: Column) -> Column:
+    return F.concat(F.lit(base.rstrip("/")), F.regexp_replace(path, "^/[^/]+/", "/"))
+
+
 def read_many(spark: SparkSession, paths: list[str], fmt: str, **options) -> DataFrame:
     """Several files at once; missing ones are left out."""
-    return spark.read.format(fmt).options(ignoreMissingFiles=True, **options).load(paths)
+    there = [p for p in paths if exists(spark, p)]
+    if not there:
+        raise ValueError("none of the files is there")
+    return spark.read.format(fmt).options(ignoreMissingFiles=True, **options).load(there)
+
+
+def fetched(spark: SparkSession, path: str, make) -> DataFrame:
+    """The Parquet table at path, made and written by the first call that does not find it whole."""
+    if not exists(spark, f"{path}/_SUCCESS"):
+        make().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def not_utf8(files: DataFrame) -> DataFrame:
+    """Of files (path, content) the paths of those that are not valid UTF-8."""
+    return files.where(~F.is_valid_utf8("content")).select("path")
+
+
+def read_utf8(spark: SparkSession, path: str) -> DataFrame:
+    """path and value of whole text files. A file in another encoding is an error, not a text with replaced letters."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    bad = not_utf8(files).first()
+    if bad:
+        raise ValueError(f"{bad['path']} is not valid UTF-8 (likely Latin-1 or CP1252): re-encode it first")
+    return files.select("path", F.col("content").cast("string").alias("value"))
 
 
 def read_translation(spark: SparkSession, path: str) -> DataFrame:
@@ -89,3 +125,13 @@ def write_translation(table: DataFrame, path: str) -> None:
     """short,long with quoted values, in order of first_fi where the table has it."""
     t = table.orderBy("first_fi") if "first_fi" in table.columns else table
     t.select("short", "long").coalesce(1).write.mode("overwrite").options(header=True, quoteAll=True, escape='"').csv(path)
+
+
+def translation_download(spark: SparkSession, manifest: DataFrame, layer_id: str, base: str, folder: str) -> str | None:
+    """Copies a layer's translation table to folder/{id}-translations.csv; None if it has none, or none can be read."""
+    entry = manifest_entry(manifest, layer_id)
+    if not entry or not entry["translationUrl"] or not exists(spark, asset_path(base, entry["translationUrl"])):
+        return None
+    out = f"{folder}/{layer_id}-translations.csv"
+    write_translation(read_translation(spark, asset_path(base, entry["translationUrl"])), out)
+    return out

@@ -11,14 +11,15 @@ from plumbline.operators.grid import cells
 from plumbline.plans.layer import Layer
 from plumbline.sources import binary, geojson, kml, tables
 
-KML = """<?xml version="1.0"?><kml:kml xmlns:kml="http://www.opengis.net/kml/2.2"><kml:Document>
-<kml:Placemark><kml:name>Square</kml:name><kml:ExtendedData><kml:Data name="region"><kml:value> test_a </kml:value></kml:Data></kml:ExtendedData>
-<kml:Polygon><kml:outerBoundaryIs><kml:LinearRing><kml:coordinates>-100,30,0 -90,30,0 -90,40,0 -100,40,0</kml:coordinates></kml:LinearRing></kml:outerBoundaryIs></kml:Polygon></kml:Placemark>
-<kml:Folder><kml:Placemark><kml:name>Hole</kml:name><kml:Polygon><kml:outerBoundaryIs><kml:LinearRing><kml:coordinates>-80,30 -70,30 -70,40 -80,40 -80,30</kml:coordinates></kml:LinearRing></kml:outerBoundaryIs>
-<kml:innerBoundaryIs><kml:LinearRing><kml:coordinates>-77,33 -73,33 -73,37 -77,37 -77,33</kml:coordinates></kml:LinearRing></kml:innerBoundaryIs></kml:Polygon></kml:Placemark></kml:Folder>
-<kml:Placemark><kml:name>Multi</kml:name><kml:MultiGeometry><kml:Polygon><kml:outerBoundaryIs><kml:LinearRing><kml:coordinates>-60,30 -50,30 -50,40 -60,40 -60,30</kml:coordinates></kml:LinearRing></kml:outerBoundaryIs></kml:Polygon>
-<kml:Polygon><kml:outerBoundaryIs><kml:LinearRing><kml:coordinates>-60,15 -50,15 -50,25 -60,25 -60,15</kml:coordinates></kml:LinearRing></kml:outerBoundaryIs></kml:Polygon></kml:MultiGeometry></kml:Placemark>
-<kml:Placemark><kml:name>None</kml:name></kml:Placemark></kml:Document></kml:kml>"""
+KML = """<?xml version="1.0"?><k:kml xmlns:k="http://www.opengis.net/kml/2.2"><k:Document>
+<k:Placemark><k:description>only a note</k:description><k:ExtendedData><k:Data name="depth"><k:value>9</k:value></k:Data></k:ExtendedData></k:Placemark>
+<k:Folder><k:Placemark><k:name>Kite</k:name><k:ExtendedData><k:Data name="owner"><k:value> harbour </k:value></k:Data></k:ExtendedData>
+<k:Polygon><k:outerBoundaryIs><k:LinearRing><k:coordinates>4,0,7 8,5,7 4,14,7 0,5,7</k:coordinates></k:LinearRing></k:outerBoundaryIs></k:Polygon></k:Placemark></k:Folder>
+<k:Placemark><k:name>Frame</k:name><k:Polygon><k:outerBoundaryIs><k:LinearRing><k:coordinates>20,-8 41,-8 41,9 20,9 20,-8</k:coordinates></k:LinearRing></k:outerBoundaryIs>
+<k:innerBoundaryIs><k:LinearRing><k:coordinates>23,-5 38,-5 38,6 23,6 23,-5</k:coordinates></k:LinearRing></k:innerBoundaryIs></k:Polygon></k:Placemark>
+<k:Placemark><k:name>Islets</k:name><k:MultiGeometry><k:Polygon><k:outerBoundaryIs><k:LinearRing><k:coordinates>60,1 63,1 61,6 60,1</k:coordinates></k:LinearRing></k:outerBoundaryIs></k:Polygon>
+<k:Polygon><k:outerBoundaryIs><k:LinearRing><k:coordinates>70,-3 75,-3 75,-1 70,-1 70,-3</k:coordinates></k:LinearRing></k:outerBoundaryIs></k:Polygon></k:MultiGeometry></k:Placemark>
+</k:Document></k:kml>"""
 
 
 def collection(*features):
@@ -35,14 +36,14 @@ def names(spark, layer, points):
 
 
 def test_geojson_round_trip(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps(collection(square(0, 0, 2, 2, name="square", n=1, ok=True, none=None), square(10, 10, 11, 11, name="Doña"))))
+    (tmp_path / "a.json").write_text(json.dumps(collection(square(3, -7, 9, -4, name="quay", n=1, ok=True, none=None), square(-31, 44, -28.5, 45, name="Señal"))))
     f = geojson.read_geojson(spark, str(tmp_path / "a.json"))
     rows = f.orderBy("fi").collect()
-    assert rows[0]["props"] == {"name": "square", "n": "1", "ok": "true", "none": ""} and rows[1]["props"]["name"] == "Doña"
+    assert rows[0]["props"] == {"name": "quay", "n": "1", "ok": "true", "none": ""} and rows[1]["props"]["name"] == "Señal"
     geojson.write_geojson(f, str(tmp_path / "out"))
     again = geojson.read_geojson(spark, str(tmp_path / "out"))
     assert [r["polygons"] for r in again.orderBy("fi").collect()] == [r["polygons"] for r in rows]
-    assert names(spark, Layer(again, "l", "L", [("name", "name")]), [(1, 1), (5, 5), (10.5, 10.5)]) == ["square", "", "Doña"]
+    assert names(spark, Layer(again, "l", "L", [("name", "name")]), [(4, -5), (5, 5), (-29, 44.5)]) == ["quay", "", "Señal"]
 
 
 @pytest.mark.parametrize("bad", ["[1]", '{"type":"X"}', '{"type":"FeatureCollection"}', '{"type":"FeatureCollection","features":[]}', '{"type":"FeatureCollection","features":[3]}',
@@ -61,9 +62,9 @@ def test_kml_and_kmz(spark, tmp_path):
     for name in ("a.kml", "b.kmz"):
         f = kml.read_kml(spark, str(tmp_path / name))
         rows = f.orderBy("fi").collect()
-        assert [r["props"]["Name"] for r in rows] == ["Square", "Hole", "Multi"] and rows[0]["props"]["region"] == "test_a"
-        assert rows[0]["keys"] == ["Name", "Description", "region"] and len(rows[0]["warnings"]) == 1
-        assert names(spark, Layer(f, "l", "L", [("Name", "Name")]), [(-95, 35), (-75, 35), (-79, 31), (-55, 20), (0, 0)]) == ["Square", "", "Hole", "Multi", ""]
+        assert [r["props"]["Name"] for r in rows] == ["Kite", "Frame", "Islets"] and rows[0]["props"]["owner"] == "harbour"
+        assert rows[0]["keys"] == ["Name", "Description", "depth", "owner"] and len(rows[0]["warnings"]) == 1  # keys of skipped placemarks too
+        assert names(spark, Layer(f, "l", "L", [("Name", "Name")]), [(4, 6), (30, 0), (21, 0), (72, -2), (0, 0)]) == ["Kite", "", "Frame", "Islets", ""]
 
 
 def test_kml_errors():
@@ -74,18 +75,23 @@ def test_kml_errors():
 
 
 def test_binary_formats(spark, tmp_path):
-    (tmp_path / "a.json").write_text(json.dumps(collection(square(0, 0, 2, 2, name="a"), *(square(50.1, 50.1, 50.3, 50.3, name=f"s{i}") for i in range(21)))))
+    (tmp_path / "a.json").write_text(json.dumps(collection(square(-6, 3, -2, 8, name="a"), *(square(50.1, 50.1, 50.3, 50.3, name=f"s{i}") for i in range(21)))))
     f = geojson.read_geojson(spark, str(tmp_path / "a.json"))
     (tmp_path / "a.gjbf").write_bytes(binary.layer_bytes(f, ["name"]))
     read = binary.read_gjbf(spark, str(tmp_path / "a.gjbf"))
     assert [r["polygons"] for r in binary.dequantised(read).orderBy("fi").collect()] == [r["polygons"] for r in f.orderBy("fi").collect()]
     text = binary.geometry_texts(read).where("fi = 0").first()["geometry"]
-    assert json.loads(text) == {"type": "Polygon", "coordinates": [[[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]]}
+    assert json.loads(text) == {"type": "Polygon", "coordinates": [[[-6, 3], [-2, 3], [-2, 8], [-6, 8], [-6, 3]]]}
     binary.register(spark)
     assert spark.read.format("gjbf").load(str(tmp_path / "a.gjbf")).count() == 22
+    (tmp_path / "two").mkdir()
+    for x in ("a", "b"):
+        (tmp_path / "two" / x).write_bytes((tmp_path / "a.gjbf").read_bytes())
+    assert spark.read.format("gjbf").load(f"file:{tmp_path}/two").count() == 44
     own = cells(f.select("fi", bbox(f["polygons"]).alias("bbox")))
     (tmp_path / "a.grid").write_bytes(binary.grid_bytes(own))
     again = binary.read_grid(spark, str(tmp_path / "a.grid"))
+    assert sorted(map(tuple, spark.read.format("ggrid").load(str(tmp_path / "a.grid")).collect())) == sorted(map(tuple, own.collect()))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, own.collect())) and again.where("level = 1").count() > 0
     with pytest.raises(ValueError, match="Bad magic"):
         list(binary.decode_layer(b"\0" * 40))
@@ -103,6 +109,31 @@ def test_wkb(spark, tmp_path):
     assert len(rows) == 1 and rows[0]["props"] == {"name": "n"}
 
 
+def test_several_files_are_numbered_in_order(spark, tmp_path):
+    for d, text in (("g", json.dumps(collection(square(0, 0, 1, 1), {"type": "Feature", "geometry": {"type": "Point", "coordinates": [0, 0]}}, square(1, 0, 2, 1)))), ("k", KML)):
+        (tmp_path / d).mkdir()
+        for x in ("b", "a", "c"):
+            (tmp_path / d / x).write_text(text)
+    read = geojson.read_geojson(spark, str(tmp_path / "g"), validate=False)
+    assert [(r["fi"], r["polygons"][0][0][0]["lon"]) for r in read.orderBy("fi").collect()] == [(i, i % 2) for i in range(6)]
+    assert [(r["fi"], r["props"]["Name"]) for r in kml.read_kml(spark, str(tmp_path / "k")).orderBy("fi").collect()] == [(i, ("Kite", "Frame", "Islets")[i % 3]) for i in range(9)]
+
+
+def test_shared_folder(spark, monkeypatch):
+    from plumbline.sources import shared
+
+    class Cluster:
+        conf = type("C", (), {"get": lambda self, k, d=None: d})()
+        sparkContext = type("S", (), {"master": "spark://host:7077", "getCheckpointDir": lambda self: None})()
+
+    with pytest.raises(ValueError, match="checkpoint.dir"):
+        shared.shared_root(Cluster())
+    path = shared.put_bytes(spark, f"{shared.shared_folder(spark, 't')}/x", b"abc")
+    assert shared.exists(spark, path) and spark.read.format("binaryFile").load(path).first()["content"] == b"abc"
+    shared.delete(spark, path)
+    assert not shared.exists(spark, path)
+
+
 def test_csv(spark, tmp_path):
     (tmp_path / "a.tsv").write_text(' lat\tlon\tname\n1\t2\t"x ""y"""\n\n3\t\tz\n')
     df = tables.read_csv(spark, str(tmp_path / "a.tsv"))

@@ -399,28 +399,33 @@ def translation_table(spark: SparkSession, d: str) -> DataFrame:
 TRANSLATION = "SELECT 'S' || (c_custkey % 97) AS short, arg_min(c_name, c_custkey) AS long, CAST(min(c_custkey) AS INTEGER) AS first_fi FROM customer WHERE c_custkey % 10 <> 0 GROUP BY short"
 
 
+def _code(c: str, every: int) -> Column:
+    """A code that every so manieth row lacks among the codes of others, having one of its own."""
+    return F.concat(F.when(F.col(c) % every == 0, "X").otherwise(""), F.col(c).cast("string"))
+
+
 def translate_join(spark: SparkSession, d: str) -> DataFrame:
-    table = _t(spark, d, "nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("string").alias("short"), F.col("n_name").alias("long"))
+    table = _t(spark, d, "nation").select(_code("n_nationkey", 5).alias("short"), F.col("n_name").alias("long"))
     return etl.translate(_t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code")), "code", table, "name")
 
 
-TRANSLATE = "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code, coalesce(n_name, '') AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey AND n_nationkey < 20"
+TRANSLATE = "SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code, CASE WHEN c_nationkey % 5 = 0 THEN '' ELSE coalesce(n_name, '') END AS name FROM customer LEFT JOIN nation ON n_nationkey = c_nationkey"
 
 
 def attr_left_join(spark: SparkSession, d: str) -> DataFrame:
-    left = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").alias("code"))
-    right = _t(spark, d, "supplier").where("s_nationkey < 20").select(F.col("s_nationkey").alias("code"), F.col("s_suppkey").alias("pos"), F.when(F.col("s_suppkey") % 5 == 0, "-99").otherwise(F.col("s_name")).alias("iso"))
+    left = _t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code"))
+    right = _t(spark, d, "supplier").select(_code("s_nationkey", 4).alias("code"), F.col("s_suppkey").alias("pos"), F.when(F.col("s_suppkey") % 5 == 0, "-99").otherwise(F.col("s_name")).alias("iso"))
     return etl.attribute_join(left, right, "code", "pos", ["iso"])
 
 
-ATTR_JOIN = """SELECT c_custkey, c_nationkey AS code, coalesce(nullif(iso, '-99'), '') AS iso FROM customer LEFT JOIN
- (SELECT s_nationkey, arg_max(CASE WHEN s_suppkey % 5 = 0 THEN '-99' ELSE s_name END, s_suppkey) AS iso FROM supplier WHERE s_nationkey < 20 GROUP BY s_nationkey) ON s_nationkey = c_nationkey"""
+ATTR_JOIN = """SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code, CASE WHEN c_nationkey % 4 = 0 THEN '' ELSE coalesce(nullif(iso, '-99'), '') END AS iso FROM customer LEFT JOIN
+ (SELECT s_nationkey, arg_max(CASE WHEN s_suppkey % 5 = 0 THEN '-99' ELSE s_name END, s_suppkey) AS iso FROM supplier GROUP BY s_nationkey) ON s_nationkey = c_nationkey"""
 
 
 def territory_anti_join(spark: SparkSession, d: str) -> DataFrame:
     n = _t(spark, d, "nation")
     code = F.when(F.col("n_nationkey") % 6 == 0, "-99").otherwise(F.concat(F.lit("C"), F.col("n_nationkey").cast("string")))
-    present = n.where("n_nationkey % 4 = 1").select(code.alias("iso"))
+    present = n.select(F.concat(F.when(F.col("n_nationkey") % 4 == 1, "C").otherwise("other"), F.col("n_nationkey").cast("string")).alias("iso"))
     return etl.territories(n.select("n_nationkey", "n_name", code.alias("iso")), present, "iso", ("C7",))
 
 
@@ -437,11 +442,13 @@ ORDERED_UNION = """SELECT pos, name, CAST(row_number() OVER (ORDER BY part, pos)
 
 
 def dimension_lookup(spark: SparkSession, d: str) -> DataFrame:
-    names = _t(spark, d, "nation").where("n_nationkey % 3 = 0").select(F.col("n_nationkey").cast("string").alias("code"), "n_name")
-    return etl.lookup(_t(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").cast("string").alias("code")), names, "code", "n_name", "country")
+    """Of names of equal code the last counts."""
+    names = _t(spark, d, "supplier").select(_code("s_nationkey", 3).alias("code"), "s_name", F.col("s_suppkey").alias("pos"))
+    return etl.lookup(_t(spark, d, "customer").select("c_custkey", F.col("c_nationkey").cast("string").alias("code")), names, "code", "s_name", "country", "pos")
 
 
-LOOKUP = "SELECT s_suppkey, CAST(s_nationkey AS VARCHAR) AS code, coalesce(n_name, CAST(s_nationkey AS VARCHAR)) AS country FROM supplier LEFT JOIN nation ON n_nationkey = s_nationkey AND n_nationkey % 3 = 0"
+LOOKUP = """SELECT c_custkey, CAST(c_nationkey AS VARCHAR) AS code, coalesce(CASE WHEN c_nationkey % 3 > 0 THEN name END, CAST(c_nationkey AS VARCHAR)) AS country
+FROM customer LEFT JOIN (SELECT s_nationkey, arg_max(s_name, s_suppkey) AS name FROM supplier GROUP BY s_nationkey) ON s_nationkey = c_nationkey"""
 
 
 def area_sort(spark: SparkSession, d: str) -> DataFrame:

@@ -2,20 +2,25 @@
 
 Every batch of documents is a shard. Words of the benchmark are numbered; other words cannot be part of a match,
 so a shard's suffix array holds only the suffixes that begin with enough numbered words in a row, ordered through
-``width`` words. The windows of every benchmark item are looked up in it by binary search: the range of equal
-suffixes gives all verbatim places of a window.
-
-``passages`` gives the longest verbatim matches of any length: all windows of ``least`` words, at every offset of every
-item, are looked up, and their places are joined where neighbours in the item are neighbours in the text. What it
-finds in a text depends on that text alone. ``locations`` gives the longest of them for every suffix of an item.
-
-The benchmark is read in blocks of at most ``block_words`` words, each broadcast by itself, so what is broadcast
-never grows with the benchmark; with one block nothing is shuffled at all, with more the hits of a document are
+``width`` words. Every suffix of every benchmark item is looked up in it by binary search: the range of suffixes that
+agree with it through width words gives all places, and each is followed as far as text and item agree, as the match of
+an item's next suffix at the text's next word goes on with it. So matches come in their full length: a match is
+reported once, from where it begins to where it ends.
+
+``report`` gives each document's hit words, items and longest match, from matches of at least width words or of a whole
+shorter item; ``decontaminate`` keeps documents without any. ``passages`` gives all matches of at least ``least`` words
+with their places, ``locations`` the longest match of every suffix of an item with all of its places.
+
+Shards are read in pieces of ``PIECE`` words, texts longer than that too, with an overlap, so a task's memory follows
+neither the texts' length nor the number of rows. The benchmark is read in blocks of at most ``block_words`` words,
+each broadcast by itself and let go before the next, so the driver and what is broadcast never grow with the
+benchmark; with one block nothing is shuffled at all, with more the hits of a document are written for each block and
 joined by its row. Matching is by 64-bit word hashes.
 
-Defined cases: null or empty texts have no words and no hits; an item without words or with a null text never
-occurs; repeated items are found under their item_ids alike; repeated documents are judged one by one; empty
-tables give empty results or no hits; other columns, of any name, pass through ``decontaminate``.
+Defined cases: null or empty texts have no words and no hits; very long texts are read whole; an item without words or
+with a null text never occurs; repeated items are found under their item_ids alike; repeated documents are judged one
+by one; of equally long longest matches the first in the text counts, then the least item_id as a string; empty tables
+give empty results or no hits; other columns, of any name, pass through ``decontaminate``.
 """
 
 from __future__ import annotations
@@ -56,7 +61,7 @@ class TestSuffixes:
 
 
 def blocks(benchmark: DataFrame, width: int, block_words: int) -> Iterator[TestSuffixes]:
-    """The benchmark, one bounded block after another; the driver holds one of them."""
+    """The benchmark, one bounded block after another."""
     rows, n = [], 0
     for r in benchmark.select("item_id", F.col("text").cast("binary").alias("text")).orderBy("item_id").toLocalIterator():
         size = len(r["text"] or b"") // 2 + 1
@@ -104,15 +109,13 @@ class SuffixArray:
         return left, right
 
 
-PAIRS = 2_000_000
+PAIRS, PIECE = 2_000_000, 1 << 20
 
 
-def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, ...]]:
-    """(item, item's word, text, text's word, number of words) of the matches of at least width words that go on neither
-    before nor behind, for a few items at a time."""
+def _piece_runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, ...]]:
     sa = SuffixArray(h, at, test)
     left, right = sa.find(test)
-    n = np.where(test.length == test.width, right - left, 0)
+    n = right - left
     used = np.flatnonzero(n > 0)
     first = np.flatnonzero(np.r_[True, test.item[used][1:] != test.item[used][:-1]]) if len(used) else used
     parts, total = [], 0
@@ -126,34 +129,79 @@ def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[n
             place = sa.start[np.arange(len(which)) - np.repeat(np.cumsum(n[w]) - n[w], n[w]) + left[which]]
             item, offset, text = test.item[which], test.offset[which], np.searchsorted(at, place, side="right") - 1
             order = np.lexsort((offset, place - offset, text, item))
-            item, offset, text, place = item[order], offset[order], text[order], place[order]
+            item, offset, text, place, length = item[order], offset[order], text[order], place[order], test.length[which][order]
             goes_on = (item[1:] == item[:-1]) & (text[1:] == text[:-1]) & (offset[1:] == offset[:-1] + 1) & (place[1:] == place[:-1] + 1)
             begin = np.flatnonzero(np.r_[True, ~goes_on])
             count = np.diff(np.r_[begin, len(item)])
-            yield item[begin], offset[begin], text[begin], place[begin] - at[text[begin]], count + test.width - 1
+            yield item[begin], offset[begin], text[begin], place[begin] - at[text[begin]], count + length[begin] - 1
 
 
-def _hits(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, list[list[int]]]:
-    """Which words of a shard lie in an occurrence, and for each text the items that occur."""
-    change, found = np.zeros(len(h) + 1, np.int64), [[] for _ in at[:-1]]
-    if len(h) and len(test.keys):
-        sa = SuffixArray(h, at, test)
-        left, right = sa.find(test)
-        for w in np.flatnonzero(right > left).tolist():
-            places = sa.start[left[w] : right[w]]
-            np.add.at(change, places, 1)
-            np.add.at(change, places + test.length[w], -1)
-            for text in np.unique(np.searchsorted(at, places, side="right") - 1).tolist():
-                if not found[text] or found[text][-1] != test.item[w]:
-                    found[text].append(int(test.item[w]))
-    return np.cumsum(change)[:-1] > 0, found
+def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, ...]]:
+    """(item, item's word, text, text's word, number of words) of the matches of at least width words, or of a whole
+    shorter item, that go on neither before nor behind."""
+    if not len(h) or not len(test.keys):
+        return
+    first = 0
+    while first < len(at) - 1:
+        last = max(first + 1, int(np.searchsorted(at, at[first] + PIECE, side="right")) - 1)
+        a, b = int(at[first]), int(at[last])
+        if b - a <= PIECE:
+            for item, offset, text, place, n in _piece_runs(h[a:b], at[first : last + 1] - a, test):
+                yield item, offset, text + first, place, n
+        else:  # one long text, in pieces that overlap by a match's least length
+            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            for c in range(a, b, PIECE):
+                own = h[c : min(b, c + PIECE + test.width - 1)]
+                for item, offset, _, place, n in _piece_runs(own, np.array([0, len(own)]), test):
+                    for i, o, x, k in zip(item.tolist(), offset.tolist(), (place + c - a).tolist(), n.tolist()):
+                        found.setdefault((i, x - o), []).append((o, o + k))
+            rows = []
+            for (i, shift), own in found.items():
+                begin, end = None, 0
+                for o, e in sorted(own):
+                    if begin is not None and o <= end - min(test.width, end - begin) + 1:
+                        end = max(end, e)
+                        continue
+                    if begin is not None:
+                        rows.append((i, begin, first, begin + shift, end - begin))
+                    begin, end = o, e
+                rows.append((i, begin, first, begin + shift, end - begin))
+            if rows:
+                yield tuple(np.array(c, dtype=np.int64) for c in zip(*rows))
+        first = last
+
+
+Longest = tuple[int, str, int, int]  # words, item, where in the item, where in the text
+
+
+def _hits(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, list[set[str]], list[Longest]]:
+    """Which words of a shard lie in a match, and for each text the items that occur and the longest match."""
+    change, found, best = np.zeros(len(h) + 1, np.int64), [set() for _ in at[:-1]], [(0, "", 0, 0)] * (len(at) - 1)
+    for item, offset, text, place, n in _runs(h, at, test):
+        np.add.at(change, at[text] + place, 1)
+        np.add.at(change, at[text] + place + n, -1)
+        for i, o, t, x, k in zip(item.tolist(), offset.tolist(), text.tolist(), place.tolist(), n.tolist()):
+            found[t].add(test.names[i])
+            best[t] = _longer(best[t], (k, test.names[i], o, x))
+    return np.cumsum(change)[:-1] > 0, found, best
+
+
+def _longer(a: Longest, b: Longest) -> Longest:
+    return min(a, b, key=lambda m: (-m[0], m[3], m[1], m[2]))
 
 
 def _digest(names) -> str:
     return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
 
 
-REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, longest long, longest_item string, longest_item_word long, longest_word long"
+NAMES = [x.split()[0] for x in REPORT.split(", ")]
+
+
+def _columns(best: list[Longest]) -> list[pa.Array]:
+    """The longest matches; null but for the length where there is none."""
+    some = [m if m[0] else (0, None, None, None) for m in best]
+    return [pa.array([m[k] for m in some], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64()))]
 
 
 def _verdicts(spark: SparkSession, packed: DataFrame, benchmark: DataFrame, width: int, block_words: int) -> DataFrame:
@@ -162,62 +210,68 @@ def _verdicts(spark: SparkSession, packed: DataFrame, benchmark: DataFrame, widt
     first = next(tests, TestSuffixes([], width))
     more = next(tests, None)
     row_type = packed.schema["_row"].dataType.simpleString()
-    names = [x.split()[0] for x in REPORT.split(", ")]
 
-    def scan(test):
-        shared = spark.sparkContext.broadcast(test)
+    def scanned(shared, batches):
+        for b in batches:
+            h, at = words(*buffers(b.column(1)), ALNUM)
+            yield b, at, *_hits(h, at, shared.value)
 
-        def run(batches):
-            test = shared.value
-            for b in batches:
-                h, at = words(*buffers(b.column(1)), ALNUM)
-                hit, found = _hits(h, at, test)
-                yield b, at, hit, [sorted({test.names[i] for i in x}) for x in found]
-
-        return run
+    if more is None:
+        shared = spark.sparkContext.broadcast(first)
 
-    def whole(batches, run=scan(first)):
-        for b, at, hit, found in run(batches):
-            total = np.r_[0, np.cumsum(hit)]
-            n_hit = total[at[1:]] - total[at[:-1]]
-            cols = [pa.array(np.diff(at)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found], pa.string()), pa.array(n_hit > 0)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_row", "_text", *names])
+        def whole(batches):
+            for b, at, hit, found, best in scanned(shared, batches):
+                total = np.r_[0, np.cumsum(hit)]
+                n_hit = total[at[1:]] - total[at[:-1]]
+                cols = [pa.array(np.diff(at)), pa.array(n_hit), pa.array([len(x) for x in found], pa.int64()), pa.array([_digest(x) for x in found], pa.string()), pa.array(n_hit > 0), *_columns(best)]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], ["_row", "_text", *NAMES])
 
-    if more is None:
         return packed.mapInArrow(whole, f"_row {row_type}, _text binary, {REPORT}")
 
-    # more blocks: each row's hits of every block, as bits and item ids, joined by two hashes of the row
+    # more blocks: each row's hits of a block, as bits and item ids, are written before the next block is read
     packed = packed.withColumn("_key", F.struct(F.xxhash64("_row", "_text"), F.xxhash64(F.lit(1), "_row", "_text")))
     key_type = packed.schema["_key"].dataType.simpleString()
-    parts = None
-    for test in [first, more, *tests]:
+    longest = ", ".join(REPORT.split(", ")[5:])
+    work, parts = Work(spark, "contamination"), None
+    while first is not None:
+        shared = spark.sparkContext.broadcast(first)
 
-        def part(batches, run=scan(test)):
-            for b, at, hit, found in run(batches):
+        def part(batches, shared=shared):
+            for b, at, hit, found, best in scanned(shared, batches):
                 bits = [np.packbits(hit[x:y]).tobytes() for x, y in zip(at[:-1], at[1:])]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(at)), pa.array(bits, pa.binary()), pa.array(found, pa.list_(pa.string()))], ["_key", "n_words", "bits", "items"])
+                cols = [pa.array(np.diff(at)), pa.array(bits, pa.binary()), pa.array([sorted(x) for x in found], pa.list_(pa.string())), *_columns(best)]
+                yield pa.RecordBatch.from_arrays([b.column(0), *cols], ["_key", "n_words", "bits", "items", *NAMES[5:]])
 
-        one = packed.select("_key", "_text").mapInArrow(part, f"_key {key_type}, n_words long, bits binary, items array<string>")
-        one = one.where("size(items) > 0").dropDuplicates(["_key"])
+        one = packed.select("_key", "_text").mapInArrow(part, f"_key {key_type}, n_words long, bits binary, items array<string>, {longest}")
+        one = work.save(one.where("size(items) > 0").dropDuplicates(["_key"]), "hits")
         parts = one if parts is None else parts.unionByName(one)
+        shared.destroy()
+        first, more = more, next(tests, None) if more is not None else None
 
     def merge(t: pa.Table) -> pa.Table:
         bits = np.bitwise_or.reduce([np.frombuffer(x, np.uint8) for x in t["bits"].to_pylist()])
         found = {y for x in t["items"].to_pylist() for y in x}
         n = int(np.unpackbits(bits)[: t["n_words"][0].as_py()].sum())
-        return pa.table({"_key": t["_key"].slice(0, 1), "n_hit": [n], "n_items": [len(found)], "items_sha256": [_digest(found)]})
+        best = (0, "", 0, 0)
+        for m in zip(*(t[c].to_pylist() for c in NAMES[5:])):
+            best = _longer(best, m)
+        return pa.table([t["_key"].slice(0, 1), [n], [len(found)], [_digest(found)], *_columns([best])], names=["_key", *NAMES[1:4], *NAMES[5:]])
 
-    merged = parts.groupBy("_key").applyInArrow(merge, f"_key {key_type}, n_hit long, n_items long, items_sha256 string")
+    merged = parts.groupBy("_key").applyInArrow(merge, f"_key {key_type}, n_hit long, n_items long, items_sha256 string, {longest}")
     n_words = F.coalesce(F.regexp_count(F.col("_text").cast("string"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")), F.lit(0)).cast("long")
     out = packed.withColumn("n_words", n_words).join(merged, "_key", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    return out.select("_row", "_text", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"))
+    return out.select(
+        "_row", "_text", "n_words", zero("n_hit"), zero("n_items"), F.coalesce("items_sha256", F.lit(_digest([]))).alias("items_sha256"),
+        (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), zero("longest"), *NAMES[6:],
+    )
 
 
 def report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int = 10, block_words: int = 2_000_000) -> DataFrame:
-    """doc_id and the verdict: n_words, n_hit, n_items, items_sha256, contaminated."""
+    """doc_id and the verdict: n_words, n_hit, n_items, items_sha256, contaminated, and the longest match: its words, its
+    item, and where it begins in item and text."""
     packed = docs.select(F.struct("doc_id").alias("_row"), F.col("text").cast("binary").alias("_text"))
-    return _verdicts(spark, packed, benchmark, width, block_words).select("_row.doc_id", *[x.split()[0] for x in REPORT.split(", ")])
+    return _verdicts(spark, packed, benchmark, width, block_words).select("_row.doc_id", *NAMES)
 
 
 PLACES = "item_id string, item_word long, doc_id long, doc_word long, n_words long"
@@ -226,30 +280,29 @@ PLACES = "item_id string, item_word long, doc_id long, doc_word long, n_words lo
 def passages(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
     """All verbatim matches of at least ``least`` words in their full length: (item_id, item_word, doc_id, doc_word,
     n_words), a row for each match that goes on neither before nor behind."""
-    out = spark.createDataFrame([], PLACES)
+    work, out = Work(spark, "passages"), spark.createDataFrame([], PLACES)
     for test in blocks(benchmark, least, block_words):
-        test.least = least
         shared = spark.sparkContext.broadcast(test)
 
         def run(batches, shared=shared):
             test = shared.value
             for b in batches:
                 h, at = words(*buffers(b.column(1)), ALNUM)
-                for item, item_word, text, doc_word, n in _runs(h, at, test) if len(h) and len(test.keys) else ():
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([test.names[i] for i in item], pa.string()), pa.array(item_word), b.column(0).take(pa.array(text)), pa.array(doc_word), pa.array(n)],
-                        ["item_id", "item_word", "doc_id", "doc_word", "n_words"],
-                    )
+                for item, item_word, text, doc_word, n in _runs(h, at, test):
+                    names = pa.array([test.names[i] for i in item], pa.string())
+                    found = pa.RecordBatch.from_arrays([names, pa.array(item_word), b.column(0).take(pa.array(text)), pa.array(doc_word), pa.array(n)], ["item_id", "item_word", "doc_id", "doc_word", "n_words"])
+                    yield found.filter(pa.array(n >= least))
 
-        out = out.unionByName(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, PLACES))
+        out = out.unionByName(work.save(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary")).mapInArrow(run, PLACES), "block"))
+        shared.destroy()
     return out
 
 
-def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int | None = 10, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
+def locations(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, width: int | None = None, least: int = 5, block_words: int = 2_000_000) -> DataFrame:
     """The longest verbatim match of every suffix of every item, with all its documents and places: (item_id, item_word,
     doc_id, doc_word, n_words), of matches of at least ``least`` words. With a width, n_words says at most width, and
-    matches of width words or more count as equally long; with None, it is the full length."""
-    runs = Work(spark, "locations").save(passages(spark, docs, benchmark, least, block_words), "passages")
+    matches of width words or more count as equally long."""
+    runs = passages(spark, docs, benchmark, least, block_words)
     step = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_words") - least)).alias("_k")
     moved = runs.select("*", step).select("item_id", (F.col("item_word") + F.col("_k")).alias("item_word"), "doc_id", (F.col("doc_word") + F.col("_k")).alias("doc_word"), (F.col("n_words") - F.col("_k")).alias("n_words"))
     if width is not None:
@@ -266,7 +319,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, wi
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", *NAMES[:6])
 
 
 OP7_SQL = r"""
@@ -277,18 +330,23 @@ b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
 items AS (
-  SELECT item_id, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS g
+  SELECT item_id, i AS j, least(len(w), 10) AS n, list_slice(w, i, i + least(len(w), 10) - 1) AS g
   FROM (SELECT item_id, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
 sizes AS (SELECT DISTINCT n FROM items),
 grams AS (
   SELECT doc_id, i, n, list_slice(w, i, i + n - 1) AS g
   FROM (SELECT doc_id, w, n, unnest(generate_series(1, len(w) - n + 1)) AS i FROM d, sizes WHERE len(w) >= n)),
-found AS (SELECT DISTINCT doc_id, item_id, i, grams.n FROM grams JOIN items USING (n, g)),
+found AS (SELECT doc_id, item_id, i, j, n FROM grams JOIN items USING (n, g)),
+runs AS (
+  SELECT doc_id, count(*) + any_value(n) - 1 AS n
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS run FROM found) GROUP BY doc_id, item_id, i - j, run),
+most AS (SELECT doc_id, max(n) AS longest FROM runs GROUP BY doc_id),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(generate_series(i, i + n - 1)) AS p FROM found) GROUP BY doc_id),
 named AS (
   SELECT doc_id, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256
   FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM found) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id)
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+       coalesce(longest, 0) AS longest
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN most USING (doc_id)
 """

@@ -434,6 +434,8 @@ def test_contamination(spark, odd, nothing):
     none = contamination.report(spark, odd, bench.where("false"))
     assert none.where("contaminated").count() == 0 and none.count() == odd.count()
     found = contamination.locations(spark, odd.where("doc_id = 9"), bench).where("item_id = '1' and item_word = 0").first()
+    assert (found["doc_word"], found["n_words"]) == (5, 15)
+    found = contamination.locations(spark, odd.where("doc_id = 9"), bench, width=10).where("item_id = '1' and item_word = 0").first()
     assert (found["doc_word"], found["n_words"]) == (5, 10)
 
 
@@ -474,14 +476,19 @@ def test_longest_matches_against_brute_force(spark):
     for size in (2_000_000, 40):
         assert sorted(map(tuple, contamination.passages(spark, docs, bench, block_words=size).collect())) == sorted(runs)
         assert sorted(map(tuple, contamination.locations(spark, docs, bench, width=None, block_words=size).collect())) == sorted(want)
-    old = contamination.PAIRS
-    contamination.PAIRS = 1
+    best = {d: min(((-n, j, k, i) for k, i, e, j, n in runs if e == d and n >= 10), default=None) for d in range(len(texts))}
+    for size in (2_000_000, 40):
+        for r in contamination.report(spark, docs, bench.where("item_id <> '4'"), block_words=size).collect():
+            n, j, k, i = best[r["doc_id"]] or (0, None, None, None)
+            assert (-r["longest"], r["longest_word"], r["longest_item"], r["longest_item_word"]) == (n, j, k, i)
+    old = contamination.PAIRS, contamination.PIECE
+    contamination.PAIRS, contamination.PIECE = 1, 23  # texts are cut into many pieces too
     try:
         h, at = kernel.words(*kernel.buffers(pa.array([" ".join(t).encode() for t in texts])), kernel.ALNUM)
         got = [x for part in contamination._runs(h, at, contamination.TestSuffixes([(k, " ".join(w).encode()) for k, w in items], 5)) for x in zip(*(c.tolist() for c in part))]
         assert sorted((items[i][0], *rest) for i, *rest in got) == sorted(runs)
     finally:
-        contamination.PAIRS = old
+        contamination.PAIRS, contamination.PIECE = old
     assert contamination.passages(spark, docs, bench.where("false")).count() == contamination.passages(spark, docs.where("false"), bench).count() == 0
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..sources.shared import delete, shared_folder
+
 #: What words are made of, as in the contracts (Java and RE2 syntax alike).
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -18,23 +19,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def work_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir. Only a session without that
-    setting (a test on one machine) gets a temporary folder."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="plumbline-"))
-        root = spark.sparkContext.getCheckpointDir()
-    return root.rstrip("/")
+#: Folders of this process's operator calls, for clear_work.
+FOLDERS: list[str] = []
+
+
+def clear_work(spark: SparkSession) -> None:
+    """Deletes the working tables of all operator calls so far. Results are lazy and read them, so call it once results
+    are written or no longer needed."""
+    while FOLDERS:
+        delete(spark, FOLDERS.pop())
 
 
 class Work:
     """Working tables of one operator call, as Parquet in the shared folder: they cut lineage, survive
-    lost executors, and are dropped as soon as a later table replaces them."""
+    lost executors, and are dropped as soon as a later table replaces them; clear_work drops what results still read."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
-        self.base = f"{work_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+        self.base = shared_folder(spark, name)
+        FOLDERS.append(self.base)
         self.paths: dict[int, str] = {}
         self.n = 0
 
@@ -50,13 +53,10 @@ class Work:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes working tables that no later plan reads."""
-        jvm = self.spark.sparkContext._jvm
-        conf = self.spark.sparkContext._jsc.hadoopConfiguration()
         for df in frames:
             path = self.paths.pop(id(df), None)
             if path:
-                p = jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(conf).delete(p, True)
+                delete(self.spark, path)
                 self._keep = [x for x in self._keep if x is not df]
         self.tidy()
 
@@ -66,6 +66,20 @@ class Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 10_000, total: int | None = None, others: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """rows joined with groups, a written table with a row for each key and n, the number of rows that have it. Groups of
+    more than one in ``share`` of all grouped rows, so fewer than ``share`` of them at any size, are broadcast, and their rows
+    stay where they are; only rows of smaller groups are shuffled by key. total: the sum of n, if it is known. others:
+    what is done with the rows of no large group before they are joined."""
+    if total is None:
+        total = groups.agg(F.sum("n")).first()[0] or 0
+    most = total // share
+    large, rest = groups.where(F.col("n") > most).drop("n"), groups.where(F.col("n") <= most).drop("n")
+    small = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
+    small = others(small) if others else small
+    return rows.join(F.broadcast(large), keys).unionByName(small.join(rest.hint("merge"), keys))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Work, table
+from .common import Work, by_groups, table
 from .kernel import _powers, buffers, fixed_randoms, long, mix
 
 SEGMENT = 1 << 18
@@ -142,16 +142,6 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct(*rest).alias("_row"), F.xxhash64(*ids, text).alias("r1"), F.xxhash64(F.lit(1), text, *ids).alias("r2"), text.cast("binary").alias("_bytes"))
 
 
-def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 10_000) -> DataFrame:
-    """rows joined with groups, a written table with a row for each key and n, the number of rows that have it. Groups of
-    more than one in ``share`` of all grouped rows, so fewer than ``share`` of them at any size, are broadcast, and their rows
-    stay where they are; only rows of smaller groups are shuffled by key."""
-    most = (groups.agg(F.sum("n")).first()[0] or 0) // share
-    large, rest = groups.where(F.col("n") > most).drop("n"), groups.where(F.col("n") <= most).drop("n")
-    others = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
-    return rows.join(F.broadcast(large), keys).unionByName(others.join(rest.hint("merge"), keys))
-
-
 def repeated_windows(docs: DataFrame, work: Work, depth: int = 400, passes=(128, 352)) -> DataFrame:
     """(r1, r2, spans): for each row of keyed docs the runs of repeated windows, as first and last start."""
     texts = docs.where(F.octet_length("_bytes") >= depth).select("r1", "r2", F.col("_bytes").alias("text"))

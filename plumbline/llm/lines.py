@@ -7,11 +7,14 @@ key space. Lines of documents are probed against the filters first, and only the
 joined with the exact table, which decides. Cuckoo filters can forget a key, so removing documents decrements the
 counts, takes keys that fall below the limit out of the filters, and their lines come back.
 
-The filters are broadcast only if all shards together stay within ``filter_bytes``; beyond that the probe is
-skipped and all postings go to the exact join, with equal results.
-
-Defined cases: null or empty text is one empty line; rows of equal doc_id count as one holder, and each is rewritten
-by itself; a null doc_id counts as no holder, and its lines stay; empty tables give empty results; other columns
+The filters are broadcast if all shards together stay within ``filter_bytes``; beyond that lines go to the filter of
+their shard, at most about ``task_postings`` to a task. Results are equal. The few lines of very many documents (fewer
+than 10,000 of them at any size) are known to be boilerplate and need no probe: what is known of them is broadcast, so
+no task gathers a frequent line's documents.
+
+Defined cases: null or empty text is one empty line; very long texts and lines are read whole; rows of equal doc_id
+count as one holder, and each is rewritten by itself, so a line that is repeated in its largest holder stays in all of
+its places; a null doc_id counts as no holder, and its lines stay; empty tables give empty results; other columns
 pass through or are ignored.
 """
 
@@ -22,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Work, table
+from .common import Work, by_groups, table
 from .kernel import mix
 
 STRIP = b" \t\n\x0b\x0c\r"
@@ -99,8 +102,6 @@ class Cuckoo:
         return cls(np.frombuffer(b, dtype=np.uint16).reshape(-1, 4).copy())
 
 
-
-
 def _keys(column) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="V16")
 
@@ -122,6 +123,13 @@ def _forget(old: pa.Table, gone: pa.Table) -> pa.Table:
     return pa.table({"shard": old["shard"], "filter": pa.array([f.to_bytes()], pa.binary())})
 
 
+def _passed(posted: pa.Table, filters: pa.Table) -> pa.Table:
+    own = posted.select(["k", "doc_id"])
+    if not len(own) or not len(filters):
+        return own.slice(0, 0)
+    return own.filter(pa.array(Cuckoo.from_bytes(filters["filter"][0].as_py()).has(_keys(own["k"]))))
+
+
 def postings(docs: DataFrame, min_chars: int) -> DataFrame:
     """(k, doc_id): the distinct line keys of every row of docs."""
 
@@ -140,8 +148,8 @@ def postings(docs: DataFrame, min_chars: int) -> DataFrame:
 
 
 class LineIndex:
-    def __init__(self, spark: SparkSession, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 100_000, filter_bytes: int = 32 << 20):
-        self.spark, self.min_chars, self.min_docs = spark, min_chars, min_docs
+    def __init__(self, spark: SparkSession, min_chars: int = 40, min_docs: int = 5, shard_keys: int = 100_000, filter_bytes: int = 32 << 20, task_postings: int = 200_000):
+        self.spark, self.min_chars, self.min_docs, self.task_postings = spark, min_chars, min_docs, task_postings
         self.shard_keys, self.filter_bytes, self.shards = shard_keys, filter_bytes, 1
         self.work = Work(spark, "lines")
         self.postings = self.counts = self.filters = None
@@ -190,11 +198,15 @@ class LineIndex:
         return self
 
     def candidates(self, posted: DataFrame) -> DataFrame:
-        """The postings that the filters pass; all of them if the filters are too large to broadcast."""
+        """The postings that the filters pass."""
+        posted = posted.select("k", "doc_id", (F.crc32("k") % self.shards).alias("shard"))
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size > self.filter_bytes:
-            return posted
-        shards, by = self.shards, {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}
+            salts = -(-(self.counts.agg(F.sum("n_docs")).first()[0] or 0) // (self.shards * self.task_postings))
+            dealt = posted.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(max(1, salts))).cast("int"))
+            filters = self.filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(max(1, salts) - 1))))
+            return dealt.groupBy("shard", "salt").cogroup(filters.groupBy("shard", "salt")).applyInArrow(_passed, "k binary, doc_id long")
+        by = {r["shard"]: bytes(r["filter"]) for r in self.filters.collect()}  # filter_bytes at most
         shared = self.spark.sparkContext.broadcast(by)
 
         def probe(batches):
@@ -210,14 +222,15 @@ class LineIndex:
                         ok[at] = f.has(keys[at])
                 yield t.filter(pa.array(ok)).select([0, 1])
 
-        return posted.select("k", "doc_id", (F.crc32("k") % shards).alias("shard")).mapInArrow(probe, "k binary, doc_id long")
+        return posted.mapInArrow(probe, "k binary, doc_id long")
 
     def apply(self, docs: DataFrame, posted: DataFrame | None = None, counts: bool = True) -> DataFrame:
         """docs without their boilerplate lines, except in each line's largest holder: all columns of docs with the new
         text and, with counts, n_lines and n_dropped (input columns of these names give way). posted: the postings of
         docs, if they are known."""
         posted = postings(docs, self.min_chars).distinct() if posted is None else posted
-        drops = self.candidates(posted).join(self.hot(), "k").where("doc_id < largest")
+        hot = self.work.save(self.hot().withColumnRenamed("n_docs", "n"), "hot")
+        drops = by_groups(posted, hot, ["k"], others=self.candidates).where("doc_id < largest")
         drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("k").alias("_drop"))
         rest = [c for c in docs.columns if c != "text"]
         packed = docs.select(F.struct(*rest).alias("_row"), F.col("text").cast("binary").alias("_text"), F.col("doc_id").cast("long").alias("_own"))

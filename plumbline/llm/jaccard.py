@@ -19,8 +19,8 @@ components); a cluster's texts go to one task, which links classes: by size, the
 leaving out pairs that are already connected. So the links found connect all that any link connects. Groups and
 clusters of more than ``block_rows`` classes are dealt in blocks, a task for every two of them.
 
-Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component;
-repeated rows are equal sets; a null doc_id is not linked and has a null component; an empty table gives an empty
+Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component; very long
+texts are read whole; a pair exactly at the threshold links; repeated rows are equal sets; a null doc_id is not linked and has a null component; an empty table gives an empty
 result; other columns are ignored.
 """
 

@@ -10,8 +10,8 @@ those at its ends if it has half of them. All positions are code points, ends ex
 
 Texts are searched as UTF-8 bytes in one narrow pass: a pattern runs only where a fixed part of it occurs.
 
-Defined cases: null or empty texts have no spans; repeated rows give equal rows; an empty table gives an empty
-result; very long texts are read whole; other columns are ignored.
+Defined cases: null or empty texts have no spans; spans of equal start are in the order of their kinds; repeated rows
+give equal rows; an empty table gives an empty result; very long texts are read whole; other columns are ignored.
 """
 
 from __future__ import annotations

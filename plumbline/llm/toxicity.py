@@ -8,7 +8,8 @@ and, each scored by models of the other folds, the calibration; only counts of s
 sample reach the driver.
 Every document is then scored in one narrow pass. Reruns on the same rows agree.
 
-Defined cases: null and empty texts are scored like any (their features are 0); repeated documents get equal scores;
+Defined cases: null and empty texts are scored like any (their features are 0); very long texts are read whole; rows
+of equal hash are taken in order of doc_id; repeated documents get equal scores;
 repeated labels count as toxic if any is; without labelled rows, or with labels of one class only, all scores are
 that class's share (0 without any); an empty table gives an empty result; other columns are ignored.
 """

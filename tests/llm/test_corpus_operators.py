@@ -704,3 +704,46 @@ def test_license_scan_of_many_matches(spark):
         if r["doc_id"]:
             assert {(x["a"], x["b"], x["priority"], x["label"]) for x in r["detections"]} == {x for x in d if not any(o[0] <= x[0] and o[1] >= x[1] and (o[2] > x[2] or (o[2] == x[2] and (o[1] - o[0] > x[1] - x[0] or (o[:2] == x[:2] and o[3] < x[3])))) for o in d)}
         assert {(x["a"], x["b"], x["priority"], x["label"]) for x in r["detections"]} <= d
+
+
+# 4: many filters, and one line in most documents
+
+
+def test_lines_through_many_filters(spark):
+    rnd = random.Random(7)
+    pool = [f"line {i} " + "word " * 9 + str(rnd.random()) for i in range(60)]
+    rows = [(i, "\n".join([pool[0] if i % 3 else f"own {i}"] + [rnd.choice(pool) for _ in range(rnd.randrange(6))])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8, "doc_id")
+    for settings in ({}, {"filter_bytes": 0, "shard_keys": 7, "task_postings": 20}):
+        index = lines.LineIndex(spark, **settings).insert(docs)
+        assert settings == {} or index.shards > 5
+        assert dropped(index.apply(docs, index.postings)) == brute_lines(rows)
+
+
+# working tables
+
+
+def test_clear_work(spark):
+    from plumbline.llm.common import FOLDERS, Work, clear_work
+    from plumbline.sources.shared import exists
+
+    work = Work(spark, "x")
+    table = work.save(spark.range(3))
+    assert table.count() == 3 and exists(spark, work.base) and work.base in FOLDERS
+    before = FOLDERS[:-1]
+    FOLDERS[:] = [work.base]  # other tests' tables may still be read
+    clear_work(spark)
+    assert not exists(spark, work.base) and not FOLDERS
+    FOLDERS[:] = before
+
+
+# 5: a hub
+
+
+def test_components_of_a_hub(spark):
+    from plumbline.llm.common import Work
+    from plumbline.llm.graph import components
+
+    edges = [(7, 1000 + i) for i in range(30_000)] + [(100_000 + i, 100_001 + i) for i in range(40)] + [(3, 1000), (5, 5)]
+    got = dict(map(tuple, components(Work(spark, "hub"), spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()))
+    assert got == {3: 3, 7: 3} | {1000 + i: 3 for i in range(30_000)} | {100_000 + i: 100_000 for i in range(41)}

@@ -66,8 +66,8 @@ class Work:
         self.spark.sparkContext._jvm.System.gc()
 
 
-def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 10_000, total: int | None = None, others: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """rows joined with groups, a written table with a row for each key and n, the number of rows that have it. Groups of
+def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int = 10_000, total: int | None = None, others: Callable[[DataFrame], DataFrame] | None = None, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with groups, a written table with a row for each key and n, the number of rows that have it. Groups of
     more than one in ``share`` of all grouped rows, so fewer than ``share`` of them at any size, are broadcast, and their rows
     stay where they are; only rows of smaller groups are shuffled by key. total: the sum of n, if it is known. others:
     what is done with the rows of no large group before they are joined."""
@@ -77,7 +77,7 @@ def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int =
     large, rest = groups.where(F.col("n") > most).drop("n"), groups.where(F.col("n") <= most).drop("n")
     small = rows.join(F.broadcast(large.select(*keys)), keys, "left_anti")
     small = others(small) if others else small
-    return rows.join(F.broadcast(large), keys).unionByName(small.join(rest.hint("merge"), keys))
+    return rows.join(F.broadcast(large), keys).unionByName(small.join(rest.hint("merge"), keys, how))
 
 
 def ascii_lower(c: Column) -> Column:

@@ -17,7 +17,8 @@ members of larger groups are compared by wider bit sketches, whose Hamming dista
 of the pairs within the bound as many are kept as connect the members. Candidates make clusters (connected
 components); a cluster's texts go to one task, which links classes: by size, then by Hamming distance, then exactly,
 leaving out pairs that are already connected. So the links found connect all that any link connects. Groups and
-clusters of more than ``block_rows`` classes are dealt in blocks, a task for every two of them.
+clusters of more than ``block_rows`` classes, and clusters of more than ``block_shingles`` shingles, are dealt in
+blocks, a task for every two of them.
 
 Defined cases: null, empty or blank texts have no shingles, link with nothing and are their own component; very long
 texts are read whole; a pair exactly at the threshold links; repeated rows are equal sets; a null doc_id is not linked and has a null component; an empty table gives an empty
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import Work, shuffle_parts, table
+from .common import Work, by_groups, shuffle_parts, table
 from .graph import components
 from .kernel import VISIBLE, buffers, long, mix, shingle_sets, words as find_words
 
@@ -197,10 +198,13 @@ def _near_block(keys: list[int], sides: list[int], sizes: list[int], wides: list
     return [(keys[order[r]], keys[order[q]]) for r, q in pairs]
 
 
-def blocked(rows: DataFrame, group: str, member: str, block_rows: int) -> DataFrame:
-    """rows with x, y, own: each member of a group of more than block_rows goes to every two blocks that hold its own."""
-    sizes = rows.groupBy(group).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("blocks")).where("blocks > 1")
-    rows = rows.join(sizes, group, "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+def blocked(work: Work, rows: DataFrame, group: str, member: str, block_rows: int, weight: str | None = None, block_weight: int = 1) -> DataFrame:
+    """rows with x, y, own: each member of a group of more than block_rows, or of more than block_weight in all, goes to
+    every two blocks that hold its own."""
+    count = F.ceil(F.count("*") / block_rows)
+    count = F.greatest(count, F.ceil(F.sum(weight) / block_weight)) if weight else count
+    sizes = work.save(rows.groupBy(group).agg(F.count("*").alias("n"), count.cast("int").alias("blocks")).where("blocks > 1"), "sizes")
+    rows = by_groups(rows, sizes, [group], how="left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     rows = rows.withColumn("own", F.pmod(F.xxhash64(member), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     return rows.withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")}).drop("blocks", "other")
@@ -210,7 +214,7 @@ class Join:
     """The join over docs (doc_id, text). .sets: a row per document with n_shingles and its class; .links: pairs of
     class representatives (smallest doc_ids) that connect all that links connect; .components."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, words: int = 4, percent: int = 85, pairs_below: int = 8, block_rows: int = 4000, bucket_sketches: int = 500_000):
+    def __init__(self, spark: SparkSession, docs: DataFrame, words: int = 4, percent: int = 85, pairs_below: int = 8, block_rows: int = 4000, bucket_sketches: int = 500_000, block_shingles: int = 4_000_000):
         self.work = work = Work(spark, "jaccard")
         bands = Bands(percent)
         docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
@@ -256,16 +260,16 @@ class Join:
         need = {b: bands.parts(b)[2] for b in range(min(254, len(bands.edges) - 1))}
         enough = F.col("n") >= F.element_at(F.create_map(*[F.lit(x) for kv in need.items() for x in kv]), F.col("band"))
         pairs = found.where("band <> 255").groupBy("u", "v", "band").agg(F.sum("n").alias("n")).where(enough)
-        groups = blocked(found.where("band = 255").select(F.col("u").alias("gid"), F.col("v").alias("key")), "gid", "key", block_rows)
+        groups = blocked(work, found.where("band = 255").select(F.col("u").alias("gid"), F.col("v").alias("key")), "gid", "key", block_rows)
         near = work.save(self._near(groups, percent), "near")
         cluster = work.save(components(work, pairs.select("u", "v").unionByName(near)), "clusters")
         work.drop(found, near)
         classes = self.sets.where("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n"))
         self.classes = work.save(classes.where("rep is not null"), "classes")
-        members = self.classes.join(cluster, F.col("k1") == F.col("id")).select("rep", "k1", "k2", "label")
+        members = self.classes.join(cluster, F.col("k1") == F.col("id")).select("rep", "k1", "k2", "label", F.col("n").alias("shingles"))
         members = work.save(members, "members")
         work.drop(cluster)
-        self.links = work.save(self._verify(docs, members, sets_of, percent, block_rows), "links")
+        self.links = work.save(self._verify(docs, members, sets_of, percent, block_rows, block_shingles), "links")
         work.drop(members)
         labels = components(work, self.links)
         self.labels = work.save(labels, "labels")
@@ -293,8 +297,8 @@ class Join:
 
         return dealt.mapInArrow(run, "u long, v long").distinct()
 
-    def _verify(self, docs, members, sets_of, percent, block_rows) -> DataFrame:
-        placed = blocked(members, "label", "rep", block_rows)
+    def _verify(self, docs, members, sets_of, percent, block_rows, block_shingles) -> DataFrame:
+        placed = blocked(self.work, members, "label", "rep", block_rows, "shingles", block_shingles)
         # the members grow with the documents: their texts are always found by a merge join
         texts = docs.join(placed.hint("merge"), F.col("doc_id") == F.col("rep")).select("label", "x", "y", "own", "rep", "k1", "k2", "text")
         dealt = texts.repartition("label", "x", "y").sortWithinPartitions("label", "x", "y")
@@ -370,3 +374,18 @@ def keep_one(spark: SparkSession, docs: DataFrame, words: int = 5, percent: int
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return Join(spark, docs).components
+
+
+#: Every pair that shares a shingle is counted, and components are closed by a recursion.
+OP5_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+link AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, link.v FROM reach JOIN link ON link.u = reach.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
+"""

@@ -19,5 +19,8 @@ QUERIES = {
 ORACLE = {
     "op2_quality_divergence": quality.OP2_SQL,
     "op4_line_dedup": lines.OP4_SQL,
+    "op5_ngram_jaccard_join": jaccard.OP5_SQL,
+    "op6_url_rules": urls.OP6_SQL,
     "op7_benchmark_decontamination": contamination.OP7_SQL,
+    "op8_suffix_dedup": suffixes.OP8_SQL,
 }

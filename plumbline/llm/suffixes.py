@@ -209,3 +209,23 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, depth: int = 400, passes=(
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return cut_repeats(spark, docs).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+#: Every window of 400 bytes by its MD5.
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS (
+  SELECT doc_id, i, md5(b[i:i + 399]) AS h FROM (SELECT doc_id, b, unnest(generate_series(1, octet_length(b) - 399)) AS i FROM d WHERE octet_length(b) >= 400)),
+twice AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1),
+starts AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400, true) AS fresh FROM w SEMI JOIN twice USING (h)),
+runs AS (
+  SELECT doc_id, min(i) AS a, max(i) + 399 AS e FROM (SELECT *, count(*) FILTER (fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM starts) GROUP BY doc_id, run),
+kept AS (
+  SELECT doc_id, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY a), 0) + 1 AS s, a - 1 AS t FROM runs
+  UNION ALL SELECT doc_id, max(e) + 1, NULL FROM runs GROUP BY doc_id),
+left_over AS (
+  SELECT doc_id, sha256(unhex(string_agg(hex(b[s:coalesce(t, octet_length(b))]), '' ORDER BY s))) AS kept_sha256 FROM kept JOIN d USING (doc_id) GROUP BY doc_id),
+sums AS (SELECT doc_id, CAST(sum(e - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans FROM runs GROUP BY doc_id)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, coalesce(kept_sha256, sha256(b)) AS kept_sha256
+FROM d LEFT JOIN sums USING (doc_id) LEFT JOIN left_over USING (doc_id)
+"""

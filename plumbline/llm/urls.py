@@ -90,3 +90,34 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES,
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+
+
+def judge_sql(min_support: float = 0.002, min_rows: int = 8, min_confidence: float = 0.6) -> str:
+    """DuckDB SQL of judge() with the listed rules: every combination of a labelled page's tokens is counted."""
+    words = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    lower = lambda c: f"translate({c}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    fits = "(host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)"
+    rules = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in RULES)
+    return rf"""
+WITH RECURSIVE u AS (
+  SELECT row_number() OVER () AS rid, page_id, url, {lower("regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1)")} AS host, regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+         list_sort(list_distinct(list_transform(regexp_extract_all({lower("regexp_replace(coalesce(url, ''), '^[A-Za-z]+://', '')")}, '{words}'), lambda t: CASE WHEN regexp_full_match(t, '[0-9]+') THEN '#' ELSE t END))) AS own FROM pages),
+listed AS (
+  SELECT rid, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM u JOIN (VALUES {rules}) r(h, p, verdict) ON {fits} GROUP BY rid),
+classes AS (SELECT doc_id, CAST(coalesce(max(toxic), 0) = 1 OR coalesce(min(quality), 1) = 0 AS INTEGER) AS bad FROM labels GROUP BY doc_id),
+basket AS (SELECT rid, own, bad FROM u JOIN classes ON page_id = doc_id),
+least AS (SELECT ceil(least(1.0::DOUBLE, greatest({min_support}::DOUBLE, {min_rows}::DOUBLE / count(*))) * count(*)) AS n FROM basket),
+part AS (
+  SELECT rid, own, bad, [own[i]] AS s, i FROM (SELECT *, unnest(generate_series(1, len(own))) AS i FROM basket)
+  UNION ALL SELECT rid, own, bad, list_append(s, own[j]), j FROM (SELECT *, unnest(generate_series(i + 1, len(own))) AS j FROM part)),
+rule AS (SELECT s, sum(bad) / count(*)::DOUBLE AS confidence FROM part, least GROUP BY s, n HAVING sum(bad) >= n AND sum(bad) / count(*)::DOUBLE >= {min_confidence}::DOUBLE),
+needless AS (
+  SELECT DISTINCT a.s FROM (SELECT s, confidence, unnest(s) AS t FROM rule) a JOIN rule b ON b.s = list_filter(a.s, lambda x: x <> a.t) AND b.confidence >= a.confidence),
+kept AS (SELECT * FROM rule ANTI JOIN needless USING (s)),
+mined AS (SELECT rid, count(*) AS n_mined, max(confidence) AS confidence FROM u JOIN kept ON list_has_all(own, s) WHERE rid NOT IN (SELECT rid FROM listed) AND url IS NOT NULL GROUP BY rid)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN n_mined > 0 THEN 'block' ELSE 'allow' END) AS verdict, coalesce(n_mined, 0) AS n_mined, confidence
+FROM u LEFT JOIN listed USING (rid) LEFT JOIN mined USING (rid)
+"""
+
+
+OP6_SQL = judge_sql()

@@ -747,3 +747,24 @@ def test_components_of_a_hub(spark):
     edges = [(7, 1000 + i) for i in range(30_000)] + [(100_000 + i, 100_001 + i) for i in range(40)] + [(3, 1000), (5, 5)]
     got = dict(map(tuple, components(Work(spark, "hub"), spark.createDataFrame(edges, "u long, v long").repartition(8)).collect()))
     assert got == {3: 3, 7: 3} | {1000 + i: 3 for i in range(30_000)} | {100_000 + i: 100_000 for i in range(41)}
+
+
+# 6: SQL on tables whose labels are about pages
+
+
+@pytest.mark.parametrize("settings", [{}, {"min_rows": 5, "min_confidence": 0.9}, {"min_rows": 3, "min_confidence": 0.4}])
+def test_mined_rules_against_sql(spark, tmp_path, settings):
+    rnd = random.Random(11)
+    rows = [(i, f"http://{'spam' if i % 4 == 0 else 'good'}{rnd.choice('abc')}.{rnd.choice(('net', 'org', 'com'))}/{rnd.choice(('x', 'y', 'de', 'fr'))}/{i}") for i in range(300)] + [(300, None), (301, "no scheme"), (302, "http://SPAMA.net/x/7?q=1")]
+    bad = {i for i, u in rows if u and ("spama" in u or ("spamb" in u and "/x/" in u))}
+    spark.createDataFrame(rows, "page_id long, url string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(i, 0 if i in bad and rnd.random() < 0.95 else 1, 0) for i, _ in rows if i % 5], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    pages, labels = (spark.read.parquet(f"{tmp_path}/{t}.parquet") for t in ("pages", "labels"))
+    got = urls.judge(spark, pages, labels, **settings)
+    assert got.where("n_mined > 0 and verdict = 'block'").count() > 0
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(map(repr, map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "n_mined", "confidence").collect()))) == sorted(map(repr, con.execute(urls.judge_sql(**settings)).fetchall()))

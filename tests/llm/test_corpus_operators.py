@@ -768,3 +768,79 @@ def test_mined_rules_against_sql(spark, tmp_path, settings):
     for t in ("pages", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert sorted(map(repr, map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "n_mined", "confidence").collect()))) == sorted(map(repr, con.execute(urls.judge_sql(**settings)).fetchall()))
+
+
+# 9: features, trees and the isotonic step against plain restatements
+
+
+def plain_features(text, stems):
+    """The features, written out: no shortcuts, every word and pair looked at."""
+    words = [w.strip(toxicity.EDGE) for w in text.lower().split()]
+    n, chars = max(len(words), 1), max(len(text), 1)
+    insults = [i for i, w in enumerate(words) if w in toxicity.INSULTS]
+    second = [i for i, w in enumerate(words) if w in toxicity.SECOND]
+    odd = {w for w in words if w and not w.isalpha() and not w.isdigit()}
+    hidden = [w for w in odd if w not in toxicity.INSULTS and "".join(c for c in w.translate(toxicity.LEET) if c.isalnum()) in toxicity.INSULTS]
+    found = [max([stems[w[:k]] for k in toxicity.STEMS if w[:k] in stems and len(w[:k]) >= 4], default=0.0) for w in words]
+    near = min((abs(i - j) for i in insults for j in second), default=99)
+    drawn, i = 0, 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] == text[i]:
+            j += 1
+        drawn += j - i >= 4 and (text[i].isalnum() or text[i] == "_")
+        i = j
+    hits = [s for s in found if s]
+    return [
+        len(insults), 100 * len(insults) / n, len({words[i] for i in insults}), 1 / (1 + near), 100 * len(second) / n, sum(c.isupper() for c in text) / chars, 100 * sum(c in "!?" for c in text) / chars,
+        100 * sum(c in "#*%&$@" for c in text) / chars, 100 * len(odd) / n, len(hidden), drawn / n, len(hits), 100 * len(hits) / n, 100 * sum(hits) / n, max(hits, default=0.0), np.log(1 + len(words)),
+    ]
+
+
+def test_toxicity_features_against_brute_force():
+    stems = {"idio": 0.5, "idiot": 2.0, "gard": 0.7, "stupid": 1.5}
+    stems["4"] = frozenset(s[:4] for s in stems)
+    texts = [t for t in odd_texts() if t and t != LONG] + ["You are a STUPID idiot!!! 1d10t, st*pid. sooooo dumb??", "the garden and the gardener", "you " * 9 + "idiot", "idiot a b c your", "", "x__y 42 !!!! aaaa bbbbb"]
+    for t in texts:
+        assert toxicity.features(t, stems) == pytest.approx(plain_features(t, {k: v for k, v in stems.items() if k != "4"})), t
+        assert len(toxicity.features(t, stems)) == toxicity.FEATURES
+
+
+def test_first_tree_takes_the_best_split():
+    rnd = np.random.default_rng(5)
+    x = rnd.integers(0, 6, (80, 3)).astype(float)
+    y = (x[:, 1] + rnd.normal(0, 1.2, 80) > 3).astype(float)
+    m = toxicity.Boosted(x, y, trees=1, depth=1, least=5)
+    p = 1 / (1 + np.exp(-m.base))
+    g, h = y - p, np.full(80, p * (1 - p))
+    gain = lambda s: g[s].sum() ** 2 / (h[s].sum() + 1)
+    every = [(gain(x[:, j] <= c) + gain(x[:, j] > c) - gain(np.ones(80, bool)), j, c) for j in range(3) for c in m.cuts[j] if 5 <= (x[:, j] <= c).sum() <= 75]
+    best, (j, k, left, right) = max(every, key=lambda e: (round(e[0], 9), -e[1], -e[2])), m.trees[0]  # cuts that part alike tie
+    assert (j, float(m.cuts[j][k])) == (best[1], best[2])
+    side = x[:, j] <= best[2]
+    assert left == pytest.approx(g[side].sum() / (h[side].sum() + 1)) and right == pytest.approx(g[~side].sum() / (h[~side].sum() + 1))
+    assert m.margin(x) == pytest.approx(m.base + m.rate * np.where(side, left, right))
+
+
+def test_isotonic_against_brute_force():
+    rnd = np.random.default_rng(6)
+    for _ in range(30):
+        n = int(rnd.integers(2, 40))
+        f, y = rnd.normal(size=n), rnd.integers(0, 2, n).astype(float)
+        m = toxicity.Boosted(np.zeros((2, 1)), np.array([0.0, 1.0]), trees=0)
+        m.calibrate(f, y)
+        own = y[np.argsort(f)]
+        want = [max(min(own[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)]
+        assert m.levels == pytest.approx(want)
+
+
+# 3: recall and false positives on held-out labelled tokens of every length
+
+
+def test_markov_recall_and_false_positives():
+    samples = secrets.default_samples()
+    model, held = secrets.Markov(samples[: len(samples) // 2]), samples[len(samples) // 2 :]
+    found = [(bool(secrets.find(f"see {t} here".encode(), model)), y) for t, y in held]
+    recall, false = np.mean([a for a, y in found if y]), np.mean([a for a, y in found if not y])
+    print("recall", recall, "false positives", false)
+    assert recall > 0.97 and false < 0.03

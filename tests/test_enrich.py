@@ -125,3 +125,19 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted(r["Box"] for r in spark.table("enriched").collect()) == ["", "A; D"]
+
+
+def test_salted_cells_and_given_grid(spark):
+    """Lists of cells too large to broadcast are salted; a grid that is given is used instead of a built one."""
+    from plumbline.operators.grid import cells
+    from plumbline.plans import queries
+
+    d = "/root/testdata/sf0.001"
+    rows, layer = queries.points(spark, d), queries.diamonds(spark, d)
+    plain = lambda df: sorted(map(tuple, df.select("c_custkey", "Zone").collect()))
+    want = plain(enrich(rows, [layer], plan="narrow"))
+    assert plain(enrich(rows, [layer], plan="joined", key="c_custkey", cell_edges=0)) == want
+    layer.grid = cells(layer.indexed())
+    assert plain(enrich(rows, [layer])) == want
+    layer.grid = layer.grid.where("false")
+    assert {z for _, z in plain(enrich(rows, [layer], plan="narrow"))} == {""}

@@ -322,10 +322,12 @@ def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", *NAMES[:6])
 
 
-OP7_SQL = r"""
+def report_sql(source: str = "documents") -> str:
+    """DuckDB SQL of the query's columns."""
+    return rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
-                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM {source}),
 b AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
                                      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -350,3 +352,6 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
        coalesce(longest, 0) AS longest
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN named USING (doc_id) LEFT JOIN most USING (doc_id)
 """
+
+
+OP7_SQL = report_sql()

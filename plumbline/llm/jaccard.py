@@ -376,16 +376,20 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Join(spark, docs).components
 
 
-#: Every pair that shares a shingle is counted, and components are closed by a recursion.
-OP5_SQL = r"""
+def components_sql(source: str = "documents", words: int = 4, percent: int = 85) -> str:
+    """DuckDB SQL of the components: every pair that shares a shingle is counted, and a recursion closes the links."""
+    return rf"""
 WITH RECURSIVE d AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM {source}),
 g AS (
-  SELECT DISTINCT doc_id, list_slice(w, i, i + 3) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 3, 1))) AS i FROM d WHERE len(w) > 0)),
+  SELECT DISTINCT doc_id, list_slice(w, i, i + {words - 1}) AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - {words - 1}, 1))) AS i FROM d WHERE len(w) > 0)),
 n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
 pair AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM g a JOIN g b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
-link AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= 85 * (a.n + b.n - k)),
+link AS (SELECT u, v FROM pair JOIN n a ON a.doc_id = u JOIN n b ON b.doc_id = v WHERE 100 * k >= {percent} * (a.n + b.n - k)),
 reach AS (SELECT doc_id, doc_id AS other FROM d UNION SELECT reach.doc_id, link.v FROM reach JOIN link ON link.u = reach.other)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, c.component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id) c USING (doc_id)
 """
+
+
+OP5_SQL = components_sql()

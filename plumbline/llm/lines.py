@@ -270,10 +270,12 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
-OP4_SQL = r"""
+def dedup_sql(source: str = "documents") -> str:
+    """DuckDB SQL of the query's columns and the text that is left (kept)."""
+    return rf"""
 WITH lines AS (
   SELECT doc_id, generate_subscripts(ls, 1) AS i, unnest(ls) AS line
-  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM {source})),
 keyed AS (
   SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                       'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k FROM lines),
@@ -283,6 +285,9 @@ hot AS (
 marked AS (
   SELECT keyed.*, coalesce(doc_id < largest, false) AS gone FROM keyed LEFT JOIN hot USING (k))
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+       coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '') AS kept
 FROM marked GROUP BY doc_id
 """
+
+
+OP4_SQL = f"SELECT doc_id, n_lines, n_dropped, sha256(kept) AS kept_sha256 FROM ({dedup_sql()})"

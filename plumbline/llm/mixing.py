@@ -1,6 +1,6 @@
 """Mixing sources to target weights by a low-discrepancy schedule of equal-token blocks.
 
-Every source's documents are put in a shuffled order that depends on doc_id alone and laid end to end on a
+Every source's documents are put in a shuffled order that depends on doc_id alone (its MD5) and laid end to end on a
 line of tokens, cut into blocks of ``block_tokens``. The mix is a sequence of slots: slot i takes the point
 frac(i * golden ratio) and maps it through the cumulative weights to a source, so that every stretch of the
 sequence holds the sources in nearly their proportions. A slot's rank among its source's slots says which
@@ -109,8 +109,8 @@ class Mix:
     def _documents(self, sized: DataFrame, block_tokens: int) -> DataFrame:
         s = self.sources.select("src", F.col("source").alias("_s"), "source_size", "target", "buckets")
         line = sized.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
-        order = F.shiftrightunsigned(F.xxhash64(F.lit(17), "doc_id"), 1)
-        line = line.withColumn("u", order).withColumn("bucket", F.least(F.floor(F.col("u") / F.lit(2.0**63) * F.col("buckets")), F.col("buckets") - 1))
+        order = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
+        line = line.withColumn("u", order).withColumn("bucket", F.least(F.floor(F.col("u") / F.lit(2.0**60) * F.col("buckets")), F.col("buckets") - 1))
         none = line.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
         line = prefix_sums(line.where("size > 0"), "src", "bucket", ["u", "doc_id", "size"], "size", "start")
         block = F.explode(F.expr(f"sequence(start div {block_tokens}, (start + size - 1) div {block_tokens})")).alias("block")
@@ -133,3 +133,33 @@ def mix(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+
+
+def mix_sql(source: str = "documents") -> str:
+    """DuckDB SQL of op10's rows. Whatever the order of slots, a source takes its line whole once an epoch and then the line's
+    beginning, so what is taken of a document follows from its place on the line. Targets: sources in order of size by
+    weight are full as long as an even share of what is left exceeds their cap."""
+    return rf"""
+WITH sized AS (
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}')) AS BIGINT) AS size,
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS u FROM {source}),
+src AS (
+  SELECT source, s, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 1.5::DOUBLE * sum(s) OVER () AS total
+  FROM (SELECT source, CAST(sum(size) AS BIGINT) AS s FROM sized GROUP BY source)),
+filled AS (
+  SELECT *, (total - coalesce(sum(2 * s) OVER (ORDER BY s / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) * w
+            / sum(w) OVER (ORDER BY s / CAST(w AS DOUBLE), source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) > 2 * s AS is_full
+  FROM src WHERE s > 0),
+goals AS (
+  SELECT source, s, CAST(CASE WHEN is_full THEN 2 * s ELSE (total - coalesce(sum(2 * s) FILTER (is_full) OVER (), 0)) * w / sum(w) FILTER (NOT is_full) OVER () END AS DOUBLE) AS target
+  FROM filled UNION ALL SELECT source, s, 0 FROM src WHERE s = 0),
+line AS (
+  SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
+  FROM sized),
+cut AS (SELECT *, CAST(floor(target) AS BIGINT) // greatest(s, 1) AS epochs, CAST(floor(target) AS BIGINT) % greatest(s, 1) AS rest FROM goals)
+SELECT doc_id, line.source AS source, size, s AS source_size, target, epochs * size + greatest(0, least(size, rest - start)) AS taken
+FROM line JOIN cut ON line.source IS NOT DISTINCT FROM cut.source
+"""
+
+
+OP10_SQL = mix_sql()

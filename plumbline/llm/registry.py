@@ -23,4 +23,5 @@ ORACLE = {
     "op6_url_rules": urls.OP6_SQL,
     "op7_benchmark_decontamination": contamination.OP7_SQL,
     "op8_suffix_dedup": suffixes.OP8_SQL,
+    "op10_source_mixing": mixing.OP10_SQL,
 }

@@ -47,9 +47,14 @@ STAGES = [
     ("decontamination", decontamination),
     ("source_mixing", source_mixing),
 ]
-#: The order of documents within a source is by a 64-bit hash that SQL engines do not share, and near duplicates are
-#: connected components; tests compare the stages with brute force instead.
-ORACLE_SQL = None
+#: The stages one after the other, each over the rows that the one before keeps.
+ORACLE_SQL = f"""
+WITH good AS (SELECT doc_id, source, text FROM ({quality.judge_sql("documents", "doc_id, source, text")}) WHERE kept),
+short AS (SELECT doc_id, source, kept AS text FROM good JOIN ({lines.dedup_sql("good")}) USING (doc_id)),
+single AS (SELECT short.* FROM short JOIN ({jaccard.components_sql("short", words=5, percent=80)}) USING (doc_id) WHERE component_id = doc_id),
+clean AS (SELECT single.* FROM single JOIN ({contamination.report_sql("single")}) USING (doc_id) WHERE NOT contaminated)
+SELECT * FROM ({mixing.mix_sql("clean")})
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The corpus pipeline, stage by stage, against brute force and on odd rows."""
 
 import corpus_pipeline as p
-from conftest import DATA
+from conftest import DATA, same_rows
 from pyspark.sql import functions as F
 from test_corpus_operators import brute_components, brute_hits, brute_lines, odd  # noqa: F401
 
@@ -27,6 +27,7 @@ def test_stages(spark):
     assert mixed and all(r["taken"] == int(r["target"]) and r["s"] == r["size"] for r in mixed)
     run = p.run(spark, DATA)
     assert sorted(map(tuple, run.collect())) == sorted(map(tuple, five.collect())) and run.count() == four.count()
+    same_rows(run, p.ORACLE_SQL)
 
 
 def test_odd_rows(spark, odd):  # noqa: F811

@@ -844,3 +844,20 @@ def test_markov_recall_and_false_positives():
     recall, false = np.mean([a for a, y in found if y]), np.mean([a for a, y in found if not y])
     print("recall", recall, "false positives", false)
     assert recall > 0.97 and false < 0.03
+
+
+PROSE = {
+    "en": "The ferry leaves the harbour early in the morning, and most of the people who live on the island use it to get to their work. On a calm day the trip takes half an hour, but with wind from the west it can be twice as long. Nobody minds very much: there is coffee for those who want it, and the crew knows every passenger by name. In winter the last boat is at six. Whoever misses it has to stay at the small hotel near the market, which was built by a retired captain and his wife and is known for its soup. From the windows one can see the lamps on the other shore.",
+    "de": "Das Schiff fährt früh am Morgen aus dem Hafen, und die meisten Leute, die auf der Insel wohnen, kommen mit ihm zur Arbeit. An einem ruhigen Tag dauert die Fahrt eine halbe Stunde, bei Wind von Westen ist sie doppelt so lang. Das stört niemand: Es gibt Kaffee für alle, und die Besatzung kennt jeden mit Namen. Im Winter geht das letzte Boot um sechs. Wer es nicht erreicht, bleibt in dem kleinen Gasthof neben dem Markt, den ein alter Kapitän mit seiner Frau gebaut hat und der als gut gilt. Von den Fenstern sieht man die Lampen auf der anderen Seite, und in der Nacht hört man auch das Meer, das sich an den Steinen bricht.",
+}
+
+
+def test_references_of_quality_rules(spark):
+    """Ordinary prose that no table holds is kept; texts without common words, or of symbols, are not."""
+    for lang, words in quality.COMMON.items():
+        assert len(words) == 20 and sum(quality.CLASSES[lang]) == pytest.approx(1) and sum(words.values()) < 0.5
+    rare = " ".join(f"{a}{b}rvel" for a in "bcdfghklmnpr" for b in "aeiouydstz")
+    rows = [(lang, lang, t) for lang, t in PROSE.items()] + [("unknown", None, PROSE["en"]), ("rare", "en", rare), ("symbols", "en", " ".join(w + "%#%" for w in PROSE["en"].split()))]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id string, lang string, text string")).collect()}
+    assert {i: r["kept"] for i, r in got.items()} == {"en": True, "de": True, "unknown": True, "rare": False, "symbols": False}
+    assert not any(r["base_failed"] for r in got.values()) and got["rare"]["word_distance"] == pytest.approx(0.40, abs=0.002)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, jaccard, licenses, lines, mixing, quality, secrets, suffixes, toxicity, urls, vectors
+from . import contamination, jaccard, languages, licenses, lines, mixing, quality, secrets, suffixes, toxicity, urls, vectors
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_source_mixing": mixing.op10_source_mixing,
     "op12_vector_codes": vectors.op12_vector_codes,
+    "op13_language_id": languages.op13_language_id,
 }
 ORACLE = {
     "op2_quality_divergence": quality.OP2_SQL,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contamination, jaccard, languages, licenses, lines, mixing, quality, secrets, suffixes, toxicity, urls, vectors
+from . import contamination, jaccard, languages, licenses, lines, mixing, phrases, quality, secrets, suffixes, toxicity, urls, vectors
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_suffix_dedup": suffixes.op8_suffix_dedup,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_source_mixing": mixing.op10_source_mixing,
+    "op11_phrase_collocations": phrases.op11_phrase_collocations,
     "op12_vector_codes": vectors.op12_vector_codes,
     "op13_language_id": languages.op13_language_id,
 }
@@ -26,5 +27,6 @@ ORACLE = {
     "op7_benchmark_decontamination": contamination.OP7_SQL,
     "op8_suffix_dedup": suffixes.OP8_SQL,
     "op10_source_mixing": mixing.OP10_SQL,
+    "op11_phrase_collocations": phrases.OP11_SQL,
     "op12_vector_codes": vectors.OP12_SQL,
 }

@@ -1,50 +1,46 @@
-"""Douglas-Peucker simplification of rings. Rings are simplified one by one, so borders that two features share may open
-gaps; it is off unless called for."""
+"""Douglas-Peucker simplification of lines of (lon, lat), in metres."""
 
 import numpy as np
-from pyspark.sql import Column, functions as F
-
-from .geometry import POLYGONS
 
 METRES = 111_320.0  # of a degree of latitude
 
 
-def simplify_ring(points: np.ndarray, metres: float) -> np.ndarray:
-    """A closed ring (lon, lat) without points nearer than metres to the simplified line; four positions at least."""
-    if len(points) <= 4:
-        return points
+def _off(flat: np.ndarray, a: int, b: int) -> np.ndarray:
+    """Distances of the points between a and b to the segment from a to b."""
+    line, own = flat[b] - flat[a], flat[a + 1 : b] - flat[a]
+    square = float(line @ line)
+    along = np.clip(own @ line / square, 0.0, 1.0) if square else np.zeros(len(own))
+    return np.hypot(*(own - along[:, None] * line).T)
+
+
+def kept(points: np.ndarray, metres: float, least: int = 0) -> np.ndarray:
+    """Which points of a line stay: its ends, and the farthest of every stretch that strays from its chord by more than metres.
+    least: how many points between the ends stay anyhow, the farthest ones first. A closed line is
+    halved at the point that lies farthest from its ends, which stays."""
     flat = points * [np.cos(np.radians(points[:, 1].mean())), 1.0] * METRES
     keep = np.zeros(len(points), bool)
-    far = int(np.argmax(((flat - flat[0]) ** 2).sum(1)))
-    keep[[0, far, -1]] = True
-    todo = [(0, far), (far, len(points) - 1)]
+    keep[[0, -1]] = True
+    todo = [(0, len(points) - 1)]
+    if len(points) > 2 and (points[0] == points[-1]).all():
+        far = int(np.argmax(((flat - flat[0]) ** 2).sum(1)))
+        keep[far] = True
+        todo = [(0, far), (far, len(points) - 1)]
     while todo:
         a, b = todo.pop()
         if b - a < 2:
             continue
-        line, own = flat[b] - flat[a], flat[a + 1 : b] - flat[a]
-        length = float(np.hypot(*line))
-        off = np.abs(own[:, 0] * line[1] - own[:, 1] * line[0]) / length if length else np.hypot(own[:, 0], own[:, 1])
+        off = _off(flat, a, b)
         k = int(np.argmax(off))
         if off[k] > metres:
             keep[a + 1 + k] = True
             todo += [(a, a + 1 + k), (a + 1 + k, b)]
-    if keep.sum() < 4:  # a ring keeps its shape: the point that lies farthest from the line left
-        rest = np.flatnonzero(~keep)
-        line = flat[far] - flat[0]
-        keep[rest[np.argmax(np.abs((flat[rest, 0] - flat[0, 0]) * line[1] - (flat[rest, 1] - flat[0, 1]) * line[0]))]] = True
-    return points[keep]
+    while keep.sum() - 2 < min(least, len(points) - 2):
+        at = np.flatnonzero(keep)
+        spans = [(float(off.max()), a, a + 1 + int(np.argmax(off))) for a, b in zip(at, at[1:]) if b - a > 1 for off in [_off(flat, a, b)]]
+        keep[max(spans, key=lambda s: (s[0], -s[1]))[2]] = True
+    return keep
 
 
-def simplify(polygons: Column, metres: float = 200.0, digits: int = 6) -> Column:
-    """A layer has few rows, each of many points, so a row at a time is as good as a batch."""
-
-    @F.udf(POLYGONS)
-    def run(g):
-        def ring(r):
-            xy = np.array([(p["lon"], p["lat"]) for p in r], dtype=float).reshape(-1, 2)
-            return [tuple(p) for p in simplify_ring(xy, metres).round(digits).tolist()]
-
-        return None if g is None else [[ring(r) for r in part] for part in g]
-
-    return run(polygons)
+def simplify_ring(points: np.ndarray, metres: float) -> np.ndarray:
+    """A closed ring alone; four positions at least stay."""
+    return points if len(points) <= 4 else points[kept(points, metres, 2)]

@@ -45,10 +45,10 @@ def test_popups(spark):
     assert display.color_key([], ["a"]) == "a" and display.color_key(["b"], ["a"], "c") == "c"
 
 
-def test_simplify(spark):
+def test_simplify_ring():
     import numpy as np
 
-    from plumbline.functions.simplify import simplify, simplify_ring
+    from plumbline.functions.simplify import kept, simplify_ring
 
     t = np.linspace(0, 2 * np.pi, 200)
     ring = np.column_stack([np.cos(t), np.sin(t)])
@@ -56,10 +56,9 @@ def test_simplify(spark):
     out = simplify_ring(ring, 2000.0)
     assert 4 <= len(out) < 60 and (out[0] == out[-1]).all()
     assert len(simplify_ring(ring, 1e9)) == 4
-    geo = [[[{"lon": float(x), "lat": float(y)} for x, y in ring]]]
-    df = spark.createDataFrame([(geo,), (None,)], "p array<array<array<struct<lon:double,lat:double>>>>")
-    rows = df.select(simplify(F.col("p"), 2000.0)).collect()
-    assert len(rows[0][0][0][0]) == len(out) and rows[1][0] is None
+    line = np.array([[0.0, 0], [1, 0.25001], [2, 0.5], [3, 0.24999], [4, 0]])
+    assert kept(line, 200.0).tolist() == [True, False, True, False, True] and kept(line[:3], 200.0).sum() == 2
+    assert kept(line, 1e9, 1).tolist() == [True, False, True, False, True] and kept(line[:2], 1.0, 3).all()
 
 
 def test_control(spark):

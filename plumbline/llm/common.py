@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..sources.shared import delete, shared_folder
@@ -80,6 +82,24 @@ def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int =
     return rows.join(F.broadcast(large), keys).unionByName(small.join(rest.hint("merge"), keys, how))
 
 
+FAN_IN = 32
+
+
+def tree_sum(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (segment, part, counts: 64-bit integers, as many in all rows of a segment), summed over the parts, which are
+    numbered from 0, at most FAN_IN arrays in a group of each step."""
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<i8").reshape(group.num_rows, -1).sum(0)
+        return pa.table([group.column("segment").slice(0, 1), group.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["segment", "part", "counts"])
+
+    while True:
+        parts = -(-parts // FAN_IN)
+        rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("segment", "part").applyInArrow(add, "segment int, part int, counts binary")
+        if parts <= 1:
+            return rows
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone; other letters stay."""
     return F.translate(c, UPPER, LOWER)

@@ -4,8 +4,8 @@ Components become integers, vectors are cut into equal parts, and each part posi
 integer vectors. Assignments of a round are a written table, and the sums and counts of every entry stay with the driver
 (entries x dimension integers, whatever the number of vectors). A round reads vectors and their previous assignments
 side by side, assigns again, and only parts whose assignment changed add their components to the new entry's sums and
-take them from the old one's: a task adds up its own contributions, so what is shuffled is at most one number a
-component of every entry and task, and nothing for parts that stayed. Without a change the codebooks are final and
+take them from the old one's: a task adds up its own contributions, so one array of sums a task is shuffled, summed as a
+tree, and none from a task where every part stayed. Without a change the codebooks are final and
 the rounds end early.
 
 Vectors are written once, bucketed by a row number, assignments likewise, so that a round joins them without moving
@@ -25,10 +25,11 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..sources.shared import delete
-from .common import Work, by_groups, shuffle_parts, table
+from .common import Work, by_groups, shuffle_parts, table, tree_sum
 
 LIMIT = 1 << 28
 
@@ -64,13 +65,18 @@ def _codes(q: np.ndarray, books: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _changes(books: np.ndarray):
-    """A task's new assignments; its last row also holds what changed assignments add to sums and counts."""
+    """A task's new assignments; if any changed, its last row also holds what they add to sums and counts."""
     parts, entries, wide = books.shape
 
     def run(batches):
         total, held = np.zeros((parts, entries, wide + 1), np.int64), None
-        schema = pa.schema([("rid", pa.int64()), ("code", pa.binary()), ("delta", pa.list_(pa.struct([("pos", pa.int32()), ("v", pa.int64())])))])
-        none = lambda rid, code, last: pa.RecordBatch.from_arrays([rid, code, pa.array([None] * (len(rid) - 1) + [last], schema.field(2).type)], schema=schema)
+        schema = pa.schema([("rid", pa.int64()), ("code", pa.binary()), ("part", pa.int32()), ("delta", pa.binary())])
+        part = TaskContext.get().partitionId()
+
+        def made(rid, code, delta):
+            n = len(rid)
+            return pa.RecordBatch.from_arrays([rid, code, pa.array(np.full(n, part, np.int32)), pa.array([None] * (n - 1) + [delta], pa.binary())], schema=schema)
+
         for b in batches:
             if not b.num_rows:
                 continue
@@ -85,11 +91,10 @@ def _changes(books: np.ndarray):
                 if old is not None:
                     np.subtract.at(total[p], old[moved, p], own[moved])
             if held is not None:
-                yield none(*held, None)
+                yield made(*held, None)
             held = b.column("rid"), pa.array([c.tobytes() for c in code], pa.binary())
         if held is not None:
-            flat = total.reshape(-1)
-            yield none(*held, [{"pos": int(i), "v": int(flat[i])} for i in np.flatnonzero(flat)])
+            yield made(*held, total.tobytes() if total.any() else None)
 
     return run
 
@@ -154,17 +159,16 @@ class Codes:
             seen = vectors.select("rid", "q")
             if last is not None:
                 seen = seen.join(last.select("rid", F.col("code").alias("before")).hint("shuffle_hash"), "rid")
-            codes = kept.save(seen.mapInArrow(_changes(books), "rid long, code binary, delta array<struct<pos:int,v:long>>"), f"codes{r}")
-            moved = codes.where("delta is not null").select(F.explode("delta").alias("d")).groupBy("d.pos").agg(F.sum("d.v").alias("v")).where("v <> 0").collect()
+            codes = kept.save(seen.mapInArrow(_changes(books), "rid long, code binary, part int, delta binary"), f"codes{r}")
+            deltas = codes.where("delta is not null").select(F.lit(0).alias("segment"), "part", F.col("delta").alias("counts"))
+            moved = np.frombuffer(b"".join(bytes(x["counts"]) for x in tree_sum(deltas, max(n, seen.rdd.getNumPartitions())).collect()), "<i8")
             if last is not None:
                 kept.drop(last)
             last = codes
-            self.moved.append(len(moved))
-            if not moved:
+            self.moved.append(int(np.count_nonzero(moved)))
+            if not self.moved[-1]:
                 break
-            for m in moved:
-                p, rest = divmod(m["pos"], sums.shape[1] * sums.shape[2])
-                sums[p, rest // sums.shape[2], rest % sums.shape[2]] += m["v"]
+            sums += moved.reshape(sums.shape).astype(object)
             for p in range(parts):
                 for e in range(books.shape[1]):
                     if sums[p, e, -1]:

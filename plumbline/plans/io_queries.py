@@ -13,7 +13,7 @@ from ..functions.geometry import bbox
 from ..functions.text import base_name, detect_coordinates, megabytes, percent_done, size_warning
 from ..operators import display, etl, grid
 from ..operators.enrich import enrich, match_stats
-from ..sources import binary, geojson, kml, tables
+from ..sources import binary, geojson, kml, layer_files, tables
 from ..sources.shared import put_bytes, shared_folder
 from .cache import LayerCache
 from .layer import Layer, Session
@@ -181,7 +181,7 @@ def kmz_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _gjbf(spark: SparkSession, d: str) -> str:
-    return put_bytes(spark, f"{shared_folder(spark, 'gjbf')}/regions.gjbf", binary.layer_bytes(diamonds(spark, d).features, ["r_name", "key"]))
+    return layer_files.write_layer(diamonds(spark, d).features, f"{shared_folder(spark, 'gjbf')}/regions.gjbf", ["r_name", "key"])
 
 
 def gjbf_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -190,7 +190,7 @@ def gjbf_scan(spark: SparkSession, d: str) -> DataFrame:
 
 def gjbf_source(spark: SparkSession, d: str) -> DataFrame:
     """As a data source: properties, keys, raw boxes."""
-    binary.register(spark)
+    layer_files.register(spark)
     read = spark.read.format("gjbf").load(_gjbf(spark, d))
     return read.select("fi", F.element_at("props", "r_name").alias("name"), F.element_at("props", "key").alias("key"), F.array_join("prop_keys", ",").alias("keys"), "bbox.*")
 
@@ -199,12 +199,34 @@ GJBF_SOURCE = f"""WITH r AS ({DIAMOND_RINGS}) SELECT fi, any_value({REGION_NAME}
  CAST(min(x) AS DOUBLE) AS min_lon, CAST(min(y) AS DOUBLE) AS min_lat, CAST(max(x) AS DOUBLE) AS max_lon, CAST(max(y) AS DOUBLE) AS max_lat FROM r JOIN region ON r_regionkey = fi GROUP BY fi"""
 
 
+def gjbf_box(spark: SparkSession, d: str) -> DataFrame:
+    """Nations that meet a box and are of some numbers, of a layer file read in ranges of four features."""
+    path = layer_files.write_layer(tessellation(spark, d).features, f"{shared_folder(spark, 'gjbf')}/nations.gjbf", ["n_name"])
+    read = layer_files.read_layer(spark, path, fi=(7, 23), box=(-100, -60, 30, 80), features_per_task=4)
+    return read.select("fi", F.element_at("props", "n_name").alias("name"), F.size("parts").alias("parts"), "bbox.min_lon", "bbox.min_lat")
+
+
+GJBF_BOX = """SELECT CAST(n_nationkey AS INTEGER) AS fi, n_name AS name, 1 AS parts, CAST(-180 + 72 * (n_nationkey % 5) AS DOUBLE) AS min_lon, CAST(-90 + 36 * (n_nationkey // 5) AS DOUBLE) AS min_lat
+FROM nation WHERE n_nationkey % 5 BETWEEN 1 AND 2 AND n_nationkey BETWEEN 7 AND 23"""
+
+
+def grid_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Some cells of a grid file: postings of the nations' cells in two rows of the grid."""
+    own = grid.cells(tessellation(spark, d).features.select("fi", bbox(F.col("polygons")).alias("bbox")))
+    path = layer_files.write_grid(own, f"{shared_folder(spark, 'grid')}/nations.grid")
+    return layer_files.read_cells(spark, path, ci=(35, 36), cj=(300, 359), cells_per_task=100).select("ci", "cj", "fi")
+
+
+GRID_ROWS = """SELECT CAST(ci AS INTEGER) AS ci, CAST(cj AS INTEGER) AS cj, CAST(n_nationkey AS INTEGER) AS fi FROM nation, range(35, 37) a(ci), range(300, 360) b(cj)
+WHERE ci BETWEEN 36 * (n_nationkey // 5) AND 36 * (n_nationkey // 5) + 36 AND cj BETWEEN 72 * (n_nationkey % 5) AND 72 * (n_nationkey % 5) + 72"""
+
+
 def gjbf_to_geojson(spark: SparkSession, d: str) -> DataFrame:
     """Geometry texts of one part and of several."""
-    layers = [tessellation(spark, d).features.withColumn("fi", F.col("fi") + 100), diamonds(spark, d).features]
+    layers = [tessellation(spark, d).features, diamonds(spark, d).features]
     texts = None
     for f in layers:
-        one = put_bytes(spark, f"{shared_folder(spark, 'gjbf')}/x.gjbf", binary.layer_bytes(f, []))
+        one = layer_files.write_layer(f, f"{shared_folder(spark, 'gjbf')}/x.gjbf", [])
         own = binary.geometry_texts(binary.read_gjbf(spark, one))
         texts = own if texts is None else texts.unionByName(own)
     v = F.parse_json("geometry")
@@ -221,7 +243,7 @@ def gjbf_build(spark: SparkSession, d: str) -> DataFrame:
     f = diamonds(spark, d).features.withColumn("props", F.create_map(F.lit("v"), F.concat(F.lit("  "), F.element_at("props", "key"), F.lit(" \t\u00a0 x "))))
     out = None
     for kind, clean in (("built", True), ("upload", False)):
-        path = put_bytes(spark, f"{shared_folder(spark, 'gjbf')}/x.gjbf", binary.layer_bytes(f, ["v"], clean))
+        path = layer_files.write_layer(f, f"{shared_folder(spark, 'gjbf')}/x.gjbf", ["v"], clean)
         rows = binary.read_gjbf(spark, path).select(F.lit(kind).alias("kind"), "fi", F.element_at("props", "v").alias("v"))
         out = rows if out is None else out.unionByName(rows)
     return out
@@ -232,7 +254,7 @@ GJBF_BUILD = "SELECT kind, r_regionkey AS fi, CASE kind WHEN 'built' THEN r_regi
 
 def _grid(spark: SparkSession, d: str) -> tuple[str, DataFrame]:
     own = grid.cells(boxes(spark, d).select("fi", bbox(F.col("polygons")).alias("bbox")))
-    return put_bytes(spark, f"{shared_folder(spark, 'grid')}/boxes.grid", binary.grid_bytes(own)), own
+    return layer_files.write_grid(own, f"{shared_folder(spark, 'grid')}/boxes.grid"), own
 
 
 def grid_scan(spark: SparkSession, d: str) -> DataFrame:
@@ -240,7 +262,7 @@ def grid_scan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def grid_source(spark: SparkSession, d: str) -> DataFrame:
-    binary.register(spark)
+    layer_files.register(spark)
     return spark.read.format("ggrid").load(_grid(spark, d)[0])
 
 
@@ -474,7 +496,7 @@ PAIRS = {
     "csv_scan": (csv_scan, CSV_SCAN), "csv_headers": (csv_headers, "SELECT * FROM (VALUES (0, 'key'), (1, 'name')) v(pos, name)"), "delimiter_sniff": (delimiter_sniff, SNIFF), "sample_source": (sample_source, SAMPLE),
     "translation_csv": (translation_csv, TRANSLATION_CSV), "geojson_scan": (geojson_scan, flat_sql(DIAMOND_RINGS)), "geojson_properties": (geojson_properties, GEOJSON_PROPERTIES), "geojson_validation": (geojson_validation, VALIDATION),
     "polygon_filter": (polygon_filter, POLYGON_FILTER), "kml_scan": (kml_scan, flat_sql(DIAMOND_RINGS)), "kml_properties": (kml_properties, KML_PROPERTIES), "kmz_scan": (kmz_scan, flat_sql(DIAMOND_RINGS)),
-    "gjbf_scan": (gjbf_scan, flat_sql(DIAMOND_RINGS)), "gjbf_source": (gjbf_source, GJBF_SOURCE), "gjbf_to_geojson": (gjbf_to_geojson, GJBF_TO_GEOJSON), "gjbf_build": (gjbf_build, GJBF_BUILD),
+    "gjbf_scan": (gjbf_scan, flat_sql(DIAMOND_RINGS)), "gjbf_source": (gjbf_source, GJBF_SOURCE), "gjbf_box": (gjbf_box, GJBF_BOX), "grid_rows": (grid_rows, GRID_ROWS), "gjbf_to_geojson": (gjbf_to_geojson, GJBF_TO_GEOJSON), "gjbf_build": (gjbf_build, GJBF_BUILD),
     "pip_given_grid": (pip_given_grid, PIP_REFINED), "wkb_scan": (wkb_scan, WKB_SCAN), "manifest_scan": (manifest_scan, MANIFEST), "layer_defaults": (layer_defaults, LAYER_DEFAULTS),
     "many_files": (many_files, "SELECT n_nationkey, n_name FROM nation"), "cached_layer": (cached_layer, "SELECT n_nationkey, n_name, 1 AS made FROM nation"), "utf8_check": (utf8_check, "SELECT CAST(doc_id AS VARCHAR) AS path FROM documents WHERE doc_id % 2 = 1"),
     "size_guard": (size_guard, SIZE_GUARD), "build_projection": (build_projection, BUILD_PROJECTION), "default_projection": (default_projection, DEFAULT_PROJECTION), "rename_retail": (rename_retail, RENAME_RETAIL),

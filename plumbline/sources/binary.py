@@ -1,4 +1,4 @@
-"""The compact binary layer and grid formats, and WKB geometries, as Spark data sources.
+"""The compact binary layer and grid formats (their codec; the data sources are in layer_files), and WKB geometries.
 
 Layout of a layer file (little endian): magic, version, counts of features, parts, rings and keys; keys; raw boxes;
 values by key; offsets of parts, rings and features; rings as counted int32 pairs in millionths; ring boxes. A grid
@@ -6,7 +6,6 @@ file: header, a table of 180 x 360 offsets, then posting lists, refined cells ho
 
 from __future__ import annotations
 
-import re
 import struct
 from collections.abc import Iterator
 
@@ -14,10 +13,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from ..functions.geometry import POLYGONS, bbox, from_quantised, rings
-from ..functions.text import clean_space
+from ..functions.geometry import POLYGONS, from_quantised
 
 #: Fixed values of the formats.
 LAYER_MAGIC, LAYER_VERSION, GRID_MAGIC, GRID_VERSIONS, EMPTY = 0x46424A47, 4, 0x44495247, (1, 2), 0xFFFFFFFF
@@ -104,6 +101,17 @@ def decode_grid(data: bytes) -> Iterator[tuple]:
                     yield 1, ci, cj, *divmod(k, sub), fi
 
 
+def cell_words(level: int, lists: dict[int, list[int]], subdivisions: int) -> list[int]:
+    """A cell's words: a counted list, or (refined) a table of offsets to counted lists. lists: by part of the cell, 0 if whole."""
+    if level == 0:
+        return [len(lists[0]), *lists[0]]
+    n, sub, at = subdivisions**2, [EMPTY] * subdivisions**2, 0
+    for k, own in sorted(lists.items()):
+        sub[k] = at
+        at += 1 + len(own)
+    return [0, subdivisions, n, *sub, *(x for _, own in sorted(lists.items()) for x in (len(own), *own))]
+
+
 def encode_grid(rows: list[tuple], subdivisions: int = 5) -> bytes:
     """rows: (level, ci, cj, si, sj, fi)."""
     table, flat, by = np.full(180 * 360, EMPTY, "<u4"), [], {}
@@ -111,80 +119,10 @@ def encode_grid(rows: list[tuple], subdivisions: int = 5) -> bytes:
         by.setdefault((ci, cj), (level, {}))[1].setdefault(si * subdivisions + sj, []).append(fi)
     for (ci, cj), (level, lists) in sorted(by.items()):
         table[ci * 360 + cj] = len(flat)
-        if level == 0:
-            flat += [len(lists[0]), *lists[0]]
-        else:
-            n, sub, at = subdivisions**2, [EMPTY] * subdivisions**2, 0
-            for k, own in sorted(lists.items()):
-                sub[k] = at
-                at += 1 + len(own)
-            flat += [0, subdivisions, n, *sub, *(x for _, own in sorted(lists.items()) for x in (len(own), *own))]
+        flat += cell_words(level, lists, subdivisions)
     return struct.pack("<IIdddIII", GRID_MAGIC, 2, 1.0, -90.0, -180.0, 180, 360, len(by)) + table.tobytes() + np.array(flat, "<u4").tobytes()
 
 
-class _File(InputPartition):
-    def __init__(self, uri: str):
-        self.uri = uri
-
-
-class _Reader(DataSourceReader):
-    """One task a file, which opens it itself: local and mounted paths, and the stores that Arrow knows. Of other stores
-    read_gjbf and read_grid read through Spark."""
-
-    def __init__(self, options, decode):
-        self.uri, self.decode = options["path"], decode
-
-    @staticmethod
-    def _open(uri: str):
-        from pyarrow import fs
-
-        return fs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9]+:/", uri) else (fs.LocalFileSystem(), uri)
-
-    def partitions(self):
-        from pyarrow import fs
-
-        store, path = self._open(self.uri)
-        if store.get_file_info(path).type == fs.FileType.File:
-            return [_File(self.uri)]
-        names = sorted(x.base_name for x in store.get_file_info(fs.FileSelector(path)) if x.type == fs.FileType.File and x.base_name[0] not in "._")
-        return [_File(f"{self.uri.rstrip('/')}/{x}") for x in names]
-
-    def read(self, partition):
-        store, path = self._open(partition.uri)
-        with store.open_input_file(path) as f:
-            data = f.read()
-        yield from self.decode(data)
-
-
-class LayerSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "gjbf"
-
-    def schema(self):
-        return LAYER_SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options, lambda d: ((i, p, k, tuple(b.values()), [[(r["xs"], r["ys"]) for r in part] for part in parts]) for i, p, k, b, parts in decode_layer(d)))
-
-
-class GridSource(DataSource):
-    @classmethod
-    def name(cls):
-        return "ggrid"
-
-    def schema(self):
-        return GRID_SCHEMA
-
-    def reader(self, schema):
-        return _Reader(self.options, decode_grid)
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(LayerSource)
-    spark.dataSource.register(GridSource)
-
-
 def read_gjbf(spark: SparkSession, path: str) -> DataFrame:
     """fi, props, prop_keys, bbox and quantised parts of layer files in any store."""
     return _decoded(spark, path, decode_layer, LAYER_SCHEMA)
@@ -217,20 +155,6 @@ def geometry_texts(layer: DataFrame) -> DataFrame:
     return layer.select("fi", "props", from_quantised(F.col("parts")).alias("geometry"))
 
 
-def layer_bytes(features: DataFrame, keys: list[str], normalize: bool = False) -> bytes:
-    """The layer file of features. A layer file is one object that its readers hold whole, so it is made on the driver.
-    normalize: white space of the values is cleaned, as in built-in layers; uploads stay as they are."""
-    if normalize:
-        features = features.withColumn("props", F.transform_values("props", lambda _, v: clean_space(v)))
-    rows = features.select("fi", "props", bbox(F.col("polygons")).alias("b"), rings(F.col("polygons")).alias("parts")).orderBy("fi").collect()
-    boxes = lambda b: [float("inf"), float("inf"), float("-inf"), float("-inf")] if b[0] is None else list(b)
-    return encode_layer([(r["props"], boxes(r["b"]), [[(x["xs"], x["ys"]) for x in part] for part in r["parts"]]) for r in rows], keys)
-
-
-def grid_bytes(cell_rows: DataFrame) -> bytes:
-    return encode_grid([tuple(r) for r in cell_rows.select("level", "ci", "cj", "si", "sj", "fi").collect()])
-
-
 def decode_wkb(data: bytes) -> list | None:
     """Polygon or multipolygon, with or without Z, M and SRID, as parts of rings of (lon, lat); None for others."""
     parts = _wkb_parts(data)

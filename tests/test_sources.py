@@ -9,7 +9,7 @@ from plumbline.functions.geometry import bbox
 from plumbline.operators.enrich import enrich
 from plumbline.operators.grid import cells
 from plumbline.plans.layer import Layer
-from plumbline.sources import binary, geojson, kml, tables
+from plumbline.sources import binary, geojson, kml, layer_files, tables
 
 KML = """<?xml version="1.0"?><k:kml xmlns:k="http://www.opengis.net/kml/2.2"><k:Document>
 <k:Placemark><k:description>only a note</k:description><k:ExtendedData><k:Data name="depth"><k:value>9</k:value></k:Data></k:ExtendedData></k:Placemark>
@@ -77,19 +77,18 @@ def test_kml_errors():
 def test_binary_formats(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps(collection(square(-6, 3, -2, 8, name="a"), *(square(50.1, 50.1, 50.3, 50.3, name=f"s{i}") for i in range(21)))))
     f = geojson.read_geojson(spark, str(tmp_path / "a.json"))
-    (tmp_path / "a.gjbf").write_bytes(binary.layer_bytes(f, ["name"]))
+    layer_files.write_layer(f, str(tmp_path / "a.gjbf"), ["name"])
     read = binary.read_gjbf(spark, str(tmp_path / "a.gjbf"))
     assert [r["polygons"] for r in binary.dequantised(read).orderBy("fi").collect()] == [r["polygons"] for r in f.orderBy("fi").collect()]
     text = binary.geometry_texts(read).where("fi = 0").first()["geometry"]
     assert json.loads(text) == {"type": "Polygon", "coordinates": [[[-6, 3], [-2, 3], [-2, 8], [-6, 8], [-6, 3]]]}
-    binary.register(spark)
     assert spark.read.format("gjbf").load(str(tmp_path / "a.gjbf")).count() == 22
     (tmp_path / "two").mkdir()
     for x in ("a", "b"):
         (tmp_path / "two" / x).write_bytes((tmp_path / "a.gjbf").read_bytes())
     assert spark.read.format("gjbf").load(f"file:{tmp_path}/two").count() == 44
     own = cells(f.select("fi", bbox(f["polygons"]).alias("bbox")))
-    (tmp_path / "a.grid").write_bytes(binary.grid_bytes(own))
+    layer_files.write_grid(own, str(tmp_path / "a.grid"))
     again = binary.read_grid(spark, str(tmp_path / "a.grid"))
     assert sorted(map(tuple, spark.read.format("ggrid").load(str(tmp_path / "a.grid")).collect())) == sorted(map(tuple, own.collect()))
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, own.collect())) and again.where("level = 1").count() > 0

@@ -14,6 +14,7 @@ from ..functions.text import base_name, detect_coordinates, megabytes, percent_d
 from ..operators import display, etl, grid
 from ..operators.enrich import enrich, match_stats
 from ..sources import binary, geojson, kml, layer_files, tables
+from ..sources.joined import write_text
 from ..sources.shared import put_bytes, shared_folder
 from .cache import LayerCache
 from .layer import Layer, Session
@@ -46,6 +47,21 @@ def csv_scan(spark: SparkSession, d: str) -> DataFrame:
 CSV_SCAN = """SELECT CAST(c_custkey AS VARCHAR) AS id, CASE c_custkey % 3 WHEN 0 THEN c_name || ', "x"' || chr(10) || ';' WHEN 1 THEN '' ELSE c_name END AS name,
  CAST(c_nationkey AS VARCHAR) AS nation, 'end' AS last FROM customer"""
 
+def csv_errors(spark: SparkSession, d: str) -> DataFrame:
+    """Rows with a cell too few or too many, told by their numbers in a file whose cells hold line ends."""
+    c = _t(spark, d, "customer")
+    key = F.col("c_custkey")
+    name = tables.csv_cell(F.when(key % 3 == 0, F.concat("c_name", F.lit(", a\nb"))).otherwise(F.col("c_name")))
+    more = F.when(key % 7 == 1, F.lit("")).when(key % 7 == 2, F.lit(",0,1,2")).otherwise(F.lit(",0"))
+    path = f"{shared_folder(spark, 'csv')}/ragged.csv"
+    write_text(c.orderBy("c_custkey").select(F.concat(key.cast("string"), F.lit(","), name, more).alias("value")), path, head="id,name,n\r\n", end="\r\n")
+    return tables.csv_errors(spark, path).select("row", "message")
+
+
+CSV_ERRORS = """WITH r AS (SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS row, CASE c_custkey % 7 WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 3 END AS m FROM customer)
+SELECT row, 'Row ' || row || ': Too ' || CASE WHEN m < 3 THEN 'few' ELSE 'many' END || ' fields: expected 3 fields but parsed ' || m AS message FROM r WHERE m <> 3"""
+
+
 SEPARATORS = {"comma": ",", "tab": "\t", "bar": "|", "semicolon": ";"}
 
 
@@ -493,7 +509,7 @@ def base_names(spark: SparkSession, d: str) -> DataFrame:
 
 
 PAIRS = {
-    "csv_scan": (csv_scan, CSV_SCAN), "csv_headers": (csv_headers, "SELECT * FROM (VALUES (0, 'key'), (1, 'name')) v(pos, name)"), "delimiter_sniff": (delimiter_sniff, SNIFF), "sample_source": (sample_source, SAMPLE),
+    "csv_scan": (csv_scan, CSV_SCAN), "csv_errors": (csv_errors, CSV_ERRORS), "csv_headers": (csv_headers, "SELECT * FROM (VALUES (0, 'key'), (1, 'name')) v(pos, name)"), "delimiter_sniff": (delimiter_sniff, SNIFF), "sample_source": (sample_source, SAMPLE),
     "translation_csv": (translation_csv, TRANSLATION_CSV), "geojson_scan": (geojson_scan, flat_sql(DIAMOND_RINGS)), "geojson_properties": (geojson_properties, GEOJSON_PROPERTIES), "geojson_validation": (geojson_validation, VALIDATION),
     "polygon_filter": (polygon_filter, POLYGON_FILTER), "kml_scan": (kml_scan, flat_sql(DIAMOND_RINGS)), "kml_properties": (kml_properties, KML_PROPERTIES), "kmz_scan": (kmz_scan, flat_sql(DIAMOND_RINGS)),
     "gjbf_scan": (gjbf_scan, flat_sql(DIAMOND_RINGS)), "gjbf_source": (gjbf_source, GJBF_SOURCE), "gjbf_box": (gjbf_box, GJBF_BOX), "grid_rows": (grid_rows, GRID_ROWS), "gjbf_to_geojson": (gjbf_to_geojson, GJBF_TO_GEOJSON), "gjbf_build": (gjbf_build, GJBF_BUILD),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.geometry import POLYGONS
+from .joined import write_text
+from .shared import delete
 
 RING = "array<array<array<double>>>"
 
@@ -73,12 +75,10 @@ def feature_lines(features: DataFrame) -> DataFrame:
 
 
 def write_geojson(features: DataFrame, path: str, collection: bool = True) -> None:
-    """A feature collection in one file, which one task writes feature by feature, or features as lines, which any number
-    of tasks writes."""
+    """A feature collection in one file of a folder, which tasks write in parts that are joined, or features as lines in many files."""
     lines = feature_lines(features)
     if collection:
-        first = features.agg(F.min("fi")).first()[0]
-        comma = F.when(F.col("fi") == F.lit(first), F.lit("")).otherwise(F.lit(","))
-        ends = features.sparkSession.createDataFrame([(0, 0, '{"type":"FeatureCollection","features":['), (2, 0, "]}")], "part int, fi int, value string")
-        lines = lines.select(F.lit(1).alias("part"), "fi", F.concat(comma, "value").alias("value")).unionByName(ends).orderBy("part", "fi").coalesce(1)
-    lines.select("value").write.mode("overwrite").text(path)
+        delete(features.sparkSession, path)
+        write_text(lines.orderBy("fi").select("value"), f"{path}/part-00000.json", head='{"type":"FeatureCollection","features":[', sep=",", tail="]}\n")
+    else:
+        lines.select("value").write.mode("overwrite").text(path)

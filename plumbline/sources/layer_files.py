@@ -6,37 +6,24 @@ feature within them are not opened, and other features are not decoded. They are
 Python source was pushed and applies it to later queries of the same DataFrame as well (a count of all rows
 after one of a filter gave the filter's).
 
-Writing: tasks encode the sections of their features into files of their own beside the target, ``commit`` joins
-these by copying streams and adds up the counts that offsets are made of, and the target appears by one rename. ``abort``, like a
-failed commit, leaves nothing behind. The driver holds a task's few numbers (of a grid, its cells: 64,800 at most), no feature.
+Writing: tasks encode the sections of their features into files of their own, which are joined (see joined), counts being added up
+to the offsets on the way. The driver holds a task's few numbers (of a grid, its cells: 64,800 at most), no feature.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import struct
-import uuid
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from ..functions.geometry import bbox, rings
 from ..functions.text import clean_space
 from .binary import EMPTY, GRID_MAGIC, GRID_SCHEMA, GRID_VERSIONS, LAYER_MAGIC, LAYER_SCHEMA, LAYER_VERSION, cell_words
-
-BLOCK = 1 << 20
-
-
-def open_store(uri: str):
-    """A store that Arrow knows, and the path in it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri) if re.match(r"[a-z0-9]+:/", uri) else (fs.LocalFileSystem(), uri)
-
+from .joined import BLOCK, JoiningWriter, Written, open_store
 
 class Stream:
     """A file read onwards through one buffer; long skips are seeks."""
@@ -194,67 +181,7 @@ class LayerReader(DataSourceReader):
                     yield p.lo + i, props, p.keys, tuple(boxes[i]), own
 
 
-@dataclass
-class Written(WriterCommitMessage):
-    """What a task wrote: its files' stem, its first feature and how many, and counts of parts and rings."""
-
-    stem: str
-    first: int
-    n: int
-    parts: int = 0
-    rings: int = 0
-    cells: list = field(default_factory=list)
-
-
-class _Writer(DataSourceWriter):
-    """Tasks write sections below a folder beside the target; commit joins them."""
-
-    def __init__(self, options, overwrite: bool):
-        self.uri, self.overwrite = options["path"], overwrite
-        self.folder = f"{self.uri.rstrip('/')}.writing-{uuid.uuid4().hex[:12]}"
-
-    def _open(self, stem: str, section: str):
-        store, path = open_store(self.folder)
-        store.create_dir(path, recursive=True)
-        return store.open_output_stream(f"{path}/{stem}.{section}")
-
-    def _stem(self) -> str:
-        context = TaskContext.get()
-        return f"{context.partitionId():06d}-{context.taskAttemptId()}"
-
-    def _copy(self, out, stem: str, section: str, change=None) -> None:
-        store, path = open_store(self.folder)
-        with store.open_input_stream(f"{path}/{stem}.{section}") as f:
-            while data := f.read(BLOCK):
-                out.write(change(data) if change else data)
-
-    def commit(self, messages) -> None:
-        from pyarrow import fs
-
-        store, path = open_store(self.uri)
-        try:
-            if not self.overwrite and store.get_file_info(path).type != fs.FileType.NotFound:
-                raise ValueError(f"{self.uri} is there already")
-            own = sorted((m for m in messages if m is not None and m.n), key=lambda m: m.first)
-            target = f"{open_store(self.folder)[1]}/whole"
-            store.create_dir(open_store(self.folder)[1], recursive=True)
-            with store.open_output_stream(target) as out:
-                self.join(out, own)
-            if store.get_file_info(path).type == fs.FileType.File:
-                store.delete_file(path)
-            store.move(target, path)
-        finally:
-            self.abort(messages)
-
-    def abort(self, messages) -> None:
-        from pyarrow import fs
-
-        store, path = open_store(self.folder)
-        if store.get_file_info(path).type == fs.FileType.Directory:
-            store.delete_dir(path)
-
-
-class LayerWriter(_Writer):
+class LayerWriter(JoiningWriter):
     """Rows of fi, props, bbox, parts, in order of fi over the tasks, numbered from 0 without gaps. A null box is that of no points."""
 
     def __init__(self, options, overwrite: bool):
@@ -330,7 +257,7 @@ class LayerWriter(_Writer):
                 self._copy(out, m.stem, section)
 
 
-class GridWriter(_Writer):
+class GridWriter(JoiningWriter):
     """Rows of level, ci, cj, si, sj, fi, all of a cell in one task, in order of cell, part of cell and fi."""
 
     def __init__(self, options, overwrite: bool):

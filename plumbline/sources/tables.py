@@ -6,7 +6,9 @@ import re
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .shared import exists
+from .csv_split import EMPTY, CsvFile
+from .joined import write_text
+from .shared import delete, exists
 
 #: Delimiters to guess from, in order of preference, and the sample of twenty US cities.
 DELIMITERS = (",", "\t", "|", ";", "\x1e", "\x1f")
@@ -32,30 +34,42 @@ def sniff(spark: SparkSession, path: str) -> str:
 def read_csv(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
     """All columns as texts, missing cells empty, header names trimmed. A file without rows, or with a row of another
     number of fields than the header, is an error (the latter when it is read)."""
-    options = dict(header=True, inferSchema=False, multiLine=True, escape='"', mode="FAILFAST", enforceSchema=False, sep=delimiter or sniff(spark, path))
-    raw = spark.read.options(**options).csv(path)
-    if not raw.columns:
-        raise ValueError("CSV file appears empty.")
-    if raw.isEmpty():
-        raise ValueError("CSV has no data rows.")
-    return raw.select(*[F.coalesce(F.col(f"`{c}`"), F.lit("")).alias(c.strip()) for c in raw.columns])
+    file = CsvFile(spark, path, delimiter or sniff(spark, path))
+    return file.rows().select(*[F.col(f"`{c}`") for c in file.names])
+
+
+def csv_errors(spark: SparkSession, path: str, delimiter: str | None = None) -> DataFrame:
+    """row, file, message: all rows of another number of fields than the header."""
+    return CsvFile(spark, path, delimiter or sniff(spark, path)).errors()
 
 
 def csv_headers(spark: SparkSession, path: str, delimiter: str | None = None) -> list[str]:
     names = [c.strip() for c in spark.read.option("sep", delimiter or sniff(spark, path)).csv(path, header=True).columns]
     if not names:
-        raise ValueError("CSV file appears empty.")
+        raise ValueError(EMPTY)
     return names
 
 
+def csv_cell(c: Column) -> Column:
+    """A cell as a CSV writes it: quoted if it holds a comma, a quote or a line end, or begins or ends with white space."""
+    text = F.coalesce(c.cast("string"), F.lit(""))
+    quoted = F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.when(text.rlike('[,"\\r\\n]|^[\\s\ufeff]|[\\s\ufeff]$'), quoted).otherwise(text)
+
+
 def write_csv(df: DataFrame, path: str, order: str | None = None, single: bool = True, bom: bool = False) -> None:
-    """A CSV with a header and CRLF line ends. single: one part file, in order; without it, as many as there are
-    partitions. bom: the first header cell is preceded by a byte order mark."""
-    out = df.orderBy(order) if order else df
-    if bom:
-        out = out.withColumnRenamed(out.columns[0], "﻿" + out.columns[0])
-    out = out.coalesce(1) if single else out
-    out.write.mode("overwrite").options(header=True, escape='"', emptyValue="", lineSep="\r\n").csv(path)
+    """A CSV with a header and CRLF line ends, in a folder. single: one file, in order, which tasks write in parts that are joined; without
+    it, as many as there are partitions. bom: the first header cell is preceded by a byte order mark."""
+    spark, rows = df.sparkSession, df.orderBy(order) if order else df
+    header = spark.range(1).select(F.concat_ws(",", *[csv_cell(F.lit(c)) for c in df.columns])).first()[0]
+    head = ("\ufeff" if bom else "") + header + "\r\n"
+    lines = rows.select(F.concat_ws(",", *[csv_cell(F.col(f"`{c}`")) for c in df.columns]).alias("value"))
+    if single:
+        delete(spark, path)
+        write_text(lines, f"{path}/part-00000.csv", head=head, end="\r\n")
+    else:
+        out = df.withColumnRenamed(df.columns[0], "\ufeff" + df.columns[0]) if bom else rows
+        out.write.mode("overwrite").options(header=True, escape='"', emptyValue="", lineSep="\r\n").csv(path)
 
 
 def sample_points(spark: SparkSession) -> DataFrame:

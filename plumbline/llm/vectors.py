@@ -36,10 +36,12 @@ LIMIT = 1 << 28
 
 def scaled(rows: DataFrame, scale: int) -> DataFrame:
     """vec_id, label, q: rows with a usable vector, components as integers."""
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    fine = rows.where(F.col("embedding").isNotNull()).where(~F.coalesce(bad, F.lit(True)))
+    odd = lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf"))
+    fine = rows.where(F.col("embedding").isNotNull()).where(~F.coalesce(F.exists("embedding", odd), F.lit(True)))
     down = lambda x: F.floor(x.cast("double") * scale)
-    q = F.transform("embedding", lambda x: F.when(F.abs(down(x)) < LIMIT, down(x).cast("int")).otherwise(F.raise_error(F.lit("a component is too large for exact codes")).cast("int")))
+    large = F.raise_error(F.lit("a component is too large for exact codes")).cast("int")
+    # Spark may work components out before it drops rows, so odd ones raise nothing
+    q = F.transform("embedding", lambda x: F.when(odd(x), F.lit(None)).when(F.abs(down(x)) < LIMIT, down(x).cast("int")).otherwise(large))
     return fine.select("vec_id", "label", q.alias("q"))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +83,18 @@ def by_groups(rows: DataFrame, groups: DataFrame, keys: list[str], share: int =
     return rows.join(F.broadcast(large), keys).unionByName(small.join(rest.hint("merge"), keys, how))
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int):
+    """Python tasks of what is written in this block get at most so many rows at a time; for rows that are long texts or arrays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 FAN_IN = 32
 
 

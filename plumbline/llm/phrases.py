@@ -27,14 +27,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import UPPER, LOWER, Work, ascii_lower, table
+from .common import LOWER, UPPER, Work, arrow_rows, ascii_lower, table, tree_sum
 from .perfect_hash import PerfectHash, block_of, build
 
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 FOLD = bytes.maketrans(UPPER.encode() + BREAKS + b"\t", LOWER.encode() + b"\n" * len(BREAKS) + b" ")
 SEGMENT = 4096  # slots of a piece of a task's array
-FAN_IN = 32
-SLICE = 4 << 20  # bytes of a text that are split at once
+SLICE = 1 << 20  # bytes of a text that are split at once
 HASH_ROW = "block int, sizes array<int>, bits binary, keys binary"
 
 
@@ -60,8 +59,8 @@ def pieces(text: bytes):
     while at < len(folded):
         end = at + SLICE
         if end < len(folded):
-            cut = max(folded.find(b" ", end), folded.find(b"\n", end)) if -1 in (folded.find(b" ", end), folded.find(b"\n", end)) else min(folded.find(b" ", end), folded.find(b"\n", end))
-            end = len(folded) if cut < 0 else cut
+            ends = [x for x in (folded.find(b" ", end), folded.find(b"\n", end)) if x >= 0]
+            end = min(ends, default=len(folded))
         yield folded[at:end].replace(b"\n", b" . ").split()
         at = end
 
@@ -72,25 +71,19 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values.astype(np.int32)))
 
 
-def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of numbers in one array with a -1 after each, where they stand, and their lengths."""
+def _padded(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of numbers in one array with a -1 after each, and where the -1 stand."""
     lengths = column.value_lengths().to_numpy(zero_copy_only=False)
-    values = column.flatten().to_numpy(zero_copy_only=False)
-    at = np.arange(len(values)) + np.repeat(np.arange(len(lengths)), lengths)
-    out = np.full(len(values) + len(lengths), -1, np.int64)
-    out[at] = values
-    return out, at, lengths
+    ends = np.cumsum(lengths)
+    return np.insert(column.flatten().to_numpy(zero_copy_only=False), ends, -1), ends + np.arange(len(ends))
 
 
-def pairs(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places where two numbers follow one another, and their keys."""
-    at = np.flatnonzero((numbers[:-1] >= 0) & (numbers[1:] >= 0))
-    return at, ((numbers[at].astype(np.uint64) << np.uint64(32)) | numbers[at + 1].astype(np.uint64)).reshape(-1, 1)
-
-
-def _hash_rows(block: int, keys: np.ndarray) -> tuple[list[int], bytes, np.ndarray]:
-    sizes, bits, order = build(keys)
-    return sizes, bits, order
+def pairs(numbers: np.ndarray, window: int = 500_000):
+    """Places where two numbers follow one another, and their keys, a window of places at a time."""
+    for start in range(0, len(numbers) - 1, window):
+        own = numbers[start : start + window + 1]
+        at = np.flatnonzero((own[:-1] >= 0) & (own[1:] >= 0))
+        yield start + at, ((own[at].astype(np.uint64) << np.uint64(32)) | own[at + 1].astype(np.uint64)).reshape(-1, 1)
 
 
 class Hashed:
@@ -155,13 +148,13 @@ def numbered_words(work: Work, docs: DataFrame, words: Hashed) -> DataFrame:
                 known = cache.setdefault(lang, {b".": -1})
                 new = [w for w in set(own) if w not in known]
                 if new:
-                    if len(known) > 500_000:
-                        known.clear()
-                        known[b"."] = -1
+                    if sum(map(len, cache.values())) > 100_000:
+                        cache.clear()
+                        known = cache[lang] = {b".": -1}
                         new = [w for w in set(own) if w != b"."]
                     slots = held.value.slots(word_keys(lang, new))
                     known.update(zip(new, np.where(slots >= 0, slots + held.value.first, -1).tolist()))
-                return np.fromiter(map(known.__getitem__, own), np.int64, len(own))
+                return np.fromiter(map(known.__getitem__, own), np.int32, len(own))
 
             for b in batches:
                 langs, texts = b.column("lang").to_pylist(), b.column("text").to_pylist()
@@ -180,17 +173,17 @@ def numbered_words(work: Work, docs: DataFrame, words: Hashed) -> DataFrame:
                     group.clear()
 
                 for i, text in enumerate(texts):
-                    found[i] = np.zeros(0, np.int64) if not text else None
+                    found[i] = np.zeros(0, np.int32) if not text else None
                     for ws in pieces(text):
                         group.setdefault(langs[i], []).append((i, ws))
                         held_words += len(ws)
-                        if held_words > 400_000:
+                        if held_words > 100_000:
                             settle()
                             held_words = 0
                 settle()
-                found = [np.zeros(0, np.int64) if x is None else x for x in found]
+                found = [np.zeros(0, np.int32) if x is None else x for x in found]
                 if "ids" in b.schema.names:
-                    found = [np.maximum(a, np.asarray(x, np.int64)) for a, x in zip(found, b.column("ids").to_pylist())]
+                    found = [np.maximum(a, np.asarray(x, np.int32)) for a, x in zip(found, b.column("ids").to_pylist())]
                 ids = _lists(found)
                 yield pa.RecordBatch.from_arrays([ids] if final else [b.column("lang"), b.column("text"), ids], ["ids"] if final else ["lang", "text", "ids"])
 
@@ -202,7 +195,7 @@ def numbered_words(work: Work, docs: DataFrame, words: Hashed) -> DataFrame:
     return rows
 
 
-def candidates(work: Work, rows: DataFrame, least: int, blocks: int, pass_keys: int, chunk: int = 4_000_000) -> Hashed:
+def candidates(work: Work, rows: DataFrame, least: int, blocks: int, pass_keys: int, chunk: int = 1_000_000) -> Hashed:
     """Pairs that follow one another at least ``least`` times, behind perfect hashes."""
     kind = np.min_scalar_type(least)
 
@@ -222,12 +215,12 @@ def candidates(work: Work, rows: DataFrame, least: int, blocks: int, pass_keys:
             )
 
         for b in batches:
-            own = pairs(_padded(b.column("ids"))[0])[1][:, 0]
-            held.append(own)
-            size += len(own)
-            if size >= chunk:
-                yield flush()
-                held, size = [], 0
+            for _, own in pairs(_padded(b.column("ids"))[0]):
+                held.append(own[:, 0])
+                size += len(own)
+                if size >= chunk:
+                    yield flush()
+                    held, size = [], 0
         if size:
             yield flush()
 
@@ -243,20 +236,6 @@ def candidates(work: Work, rows: DataFrame, least: int, blocks: int, pass_keys:
     return Hashed(work.save(made, "hash"), blocks, 1, pass_keys)
 
 
-def tree_sum(rows: DataFrame, parts: int) -> DataFrame:
-    """rows (segment, part, counts), arrays of equal length in each segment, summed over the parts, FAN_IN at a time."""
-
-    def add(group: pa.Table) -> pa.Table:
-        total = np.frombuffer(b"".join(group.column("counts").to_pylist()), "<i8").reshape(group.num_rows, -1).sum(0)
-        return pa.table([group.column("segment").slice(0, 1), group.column("part").slice(0, 1), pa.array([total.tobytes()], pa.binary())], ["segment", "part", "counts"])
-
-    while True:
-        parts = -(-parts // FAN_IN)
-        rows = rows.withColumn("part", F.expr(f"part div {FAN_IN}").cast("int")).groupBy("segment", "part").applyInArrow(add, "segment int, part int, counts binary")
-        if parts <= 1:
-            return rows
-
-
 def counted(rows: DataFrame, found: Hashed) -> DataFrame:
     """id, f: occurrences of every stored pair, by bincount in the tasks and a tree of sums."""
     spark, out = rows.sparkSession, spark_empty(rows.sparkSession, "id int, f long")
@@ -273,12 +252,13 @@ def counted(rows: DataFrame, found: Hashed) -> DataFrame:
                 np.add(total, np.bincount(own, minlength=len(total)), out=total)
 
             for b in batches:
-                own = h.slots(pairs(_padded(b.column("ids"))[0])[1])
-                slots.append(own[own >= 0])
-                size += len(slots[-1])
-                if size > 2_000_000:
-                    add()
-                    slots, size = [], 0
+                for _, keys in pairs(_padded(b.column("ids"))[0]):
+                    own = h.slots(keys)
+                    slots.append(own[own >= 0])
+                    size += len(slots[-1])
+                    if size > 1_000_000:
+                        add()
+                        slots, size = [], 0
             if slots:
                 add()
             by = total.reshape(-1, SEGMENT)
@@ -325,16 +305,16 @@ def numbered_pairs(work: Work, rows: DataFrame, found: Hashed) -> DataFrame:
 
         def run(batches, held=held):
             for b in batches:
-                numbers, at, lengths = _padded(b.column("ids"))
-                places, keys = pairs(numbers)
-                slots = held.value.slots(keys)
-                out = np.full(len(numbers), -1, np.int64)
-                out[places] = np.where(slots >= 0, slots + held.value.first, -1)
-                out = out[at]
+                numbers, ends = _padded(b.column("ids"))
+                out = np.full(len(numbers), -1, np.int32)
+                for places, keys in pairs(numbers):
+                    slots = held.value.slots(keys)
+                    out[places] = np.where(slots >= 0, slots + held.value.first, -1)
+                out = np.delete(out, ends)
                 if not b.column("more").null_count:
                     out = np.maximum(out, b.column("more").flatten().to_numpy(zero_copy_only=False))
-                offsets = np.concatenate([[0], np.cumsum(lengths)])
-                yield pa.RecordBatch.from_arrays([b.column("ids"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out.astype(np.int32)))], ["ids", "more"])
+                offsets = np.concatenate([[0], ends - np.arange(len(ends))])
+                yield pa.RecordBatch.from_arrays([b.column("ids"), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(out))], ["ids", "more"])
 
         before = rows
         done = rows.mapInArrow(run, "ids array<int>, more array<int>")
@@ -349,8 +329,13 @@ class Phrases:
     """.totals: lang, n. .levels: for each length from 1 on a table of its frequent phrases: id, lang, words, f, heads and
     tails (occurrences of its first and last 1, 2, ... words), left and right (numbers one length shorter)."""
 
-    def __init__(self, spark: SparkSession, docs: DataFrame, longest: int = 3, least: int = 10, pass_keys: int = 4_000_000, block_pairs: int = 4_000_000):
-        self.work = work = Work(spark, "phrases")
+    def __init__(self, spark: SparkSession, docs: DataFrame, longest: int = 3, least: int = 10, pass_keys: int = 4_000_000, block_pairs: int = 2_000_000):
+        self.work, self.levels = Work(spark, "phrases"), []
+        with arrow_rows(spark, 1000):
+            self._count(docs, longest, least, pass_keys, block_pairs)
+
+    def _count(self, docs: DataFrame, longest: int, least: int, pass_keys: int, block_pairs: int) -> None:
+        work = self.work
         counts = work.save(word_counts(docs), "words")
         self.totals = counts.groupBy("lang").agg(F.sum("f").alias("n"))
         words = frequent_words(work, counts, least, pass_keys)
@@ -358,7 +343,7 @@ class Phrases:
         alone = F.array(F.col("w.fs"))
         nothing = F.lit(None).cast("int")
         one = one.select((F.col("first") + F.col("i")).cast("int").alias("id"), F.col("w.langs").alias("lang"), F.array("w.words").alias("words"), F.col("w.fs").alias("f"), alone.alias("heads"), alone.alias("tails"), nothing.alias("left"), nothing.alias("right"))
-        self.levels = [work.save(one, "level1")]
+        self.levels.append(work.save(one, "level1"))
         if not words.total or longest < 2:
             return
         blocks = max(1, -(-(counts.agg(F.sum("f")).first()[0] or 0) // block_pairs))

@@ -1,7 +1,7 @@
 """Language identification by unigrams over a fixed vocabulary, summed over all segmentations.
 
-A text is cut at white space into words, lower-cased, each with a space before it. In a language every piece of the
-vocabulary has a probability, and a word's is the sum, over all ways to write its bytes as pieces, of the products of the
+A text, lower-cased, is cut into runs of letters and digits and runs of other characters, white space apart, which are called
+words here, each with a space before it. In a language every piece of the vocabulary has a probability, and a word's is the sum, over all ways to write its bytes as pieces, of the products of the
 pieces' probabilities. A forward pass over the word's bytes sums all of them; words of equal length go through it
 together as rows of byte matrices, each distinct word of a task once. A text's likelihood is the product over its words
 and a language's share; the language of the largest posterior is predicted, its posterior is the score.
@@ -9,8 +9,8 @@ and a language's share; the language of the largest posterior is predicted, its
 The vocabulary is a public byte-level one, read from ``vocabulary`` (a file of base64 pieces with ranks) and never
 trained or changed. Probabilities are learned by expectation and maximisation: expected uses of each piece over all
 segmentations (forward and backward), counted per language over the distinct words of at most ``max_rows`` training
-documents (the first by a hash of doc_id), tables of words staying with Spark; only pieces x languages numbers come to
-the driver.
+documents: those whose hash of doc_id and text begins with enough zero bits for them to be no more, so at least about half as many
+where there are. Tables of words stay with Spark; only pieces x languages numbers come to the driver.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0; a very long text is read whole, its words
 scored one batch after another; a long word is as many steps as it has bytes; languages that tie go to the smaller name;
@@ -22,6 +22,7 @@ languages among the training rows raise an error.
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,9 @@ from .common import Work, table
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BASE = np.uint64(0x100000001B3)
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+PLAIN = 30  # bytes whose product of least probabilities (LEAST each) is still a double
+LEAST = 1e-10
+CELLS = 2_000_000  # bytes x languages that are worked on at once
 LONGEST = 4096  # bytes of a word that goes through the batches of equal lengths; longer ones go alone
 
 
@@ -62,21 +66,23 @@ class Vocabulary:
             run = run + 1 if used else 0
             yield run
 
-    def find(self, h: np.ndarray, length: int) -> np.ndarray:
-        """Piece numbers of hashes of ``length`` bytes each, -1 where there is none."""
-        out = np.full(len(h), -1, np.int32)
+    def find(self, h: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes, each of ``length`` bytes, are pieces, and their numbers."""
         at = (h * SPREAD) >> np.uint64(64 - self.power)
-        todo = np.arange(len(h))
+        todo = np.flatnonzero(self.ids[at] >= 0)  # few slots are taken, so most are done here
+        at, rows, found = at[todo], [], []
         for _ in range(self.steps):
-            ids = self.ids[at[todo]]
-            same = (ids >= 0) & (self.keys[at[todo]] == h[todo])
-            out[todo[same]] = ids[same]
-            todo = todo[(ids >= 0) & ~same]
-            if not len(todo):
+            ids = self.ids[at]
+            same = (ids >= 0) & (self.keys[at] == h[todo])
+            fits = same.copy()
+            fits[same] = self.size_of[ids[same]] == length
+            rows.append(todo[fits])
+            found.append(ids[fits])
+            go = (ids >= 0) & ~same
+            if not go.any():
                 break
-            at[todo] = (at[todo] + np.uint64(1)) % np.uint64(len(self.ids))
-        out[(out >= 0) & (self.size_of[out] != length)] = -1
-        return out
+            todo, at = todo[go], (at[go] + np.uint64(1)) % np.uint64(len(self.ids))
+        return np.concatenate(rows), np.concatenate(found)
 
 
 def read_vocabulary(path: str = VOCABULARY) -> Vocabulary:
@@ -95,10 +101,9 @@ def _hits(words: np.ndarray, vocabulary: Vocabulary):
         prefix[i + 1] = prefix[i] * BASE + words[:, i].astype(np.uint64) + np.uint64(1)
     for end in range(1, length + 1):
         for start in range(max(0, end - vocabulary.longest), end):
-            ids = vocabulary.find(prefix[end] - prefix[start] * power[end - start], end - start)
-            rows = np.flatnonzero(ids >= 0)
+            rows, ids = vocabulary.find(prefix[end] - prefix[start] * power[end - start], end - start)
             if len(rows):
-                yield start, end, rows, ids[rows]
+                yield start, end, rows, ids
 
 
 def forward(words: np.ndarray, vocabulary: Vocabulary, probs: np.ndarray, keep: bool = False):
@@ -148,9 +153,12 @@ def by_length(words: list[bytes], most_cells: int = 1 << 20):
             yield part, np.frombuffer(b"".join(words[i] for i in part), np.uint8).reshape(len(part), int(length))
 
 
-def spaced(text: str) -> list[str]:
-    """The words of a text, lower-cased."""
-    return text.lower().split()
+RUN = re.compile(r"\w+|[^\w\s]+")
+
+
+def runs(text: str) -> list[str]:
+    """The runs of a text, lower-cased."""
+    return RUN.findall(text.lower())
 
 
 def _bytes(word: str) -> bytes:
@@ -163,9 +171,8 @@ def long_forward(word: bytes, vocabulary: Vocabulary, probs: np.ndarray) -> np.n
     h, found = np.zeros(len(w), np.uint64), []
     for length in range(1, min(vocabulary.longest, len(w)) + 1):
         h = h[: len(w) - length + 1] * BASE + w[length - 1 :]
-        ids = vocabulary.find(h, length)
-        at = np.flatnonzero(ids >= 0)
-        found.append(np.stack([at + length, at, ids[at]]))
+        at, ids = vocabulary.find(h, length)
+        found.append(np.stack([at + length, at, ids]))
     found = np.concatenate(found, 1)
     found = found[:, np.argsort(found[0], kind="stable")]
     cuts = np.searchsorted(found[0], np.arange(1, len(w) + 2))
@@ -178,15 +185,50 @@ def long_forward(word: bytes, vocabulary: Vocabulary, probs: np.ndarray) -> np.n
     return logs[-1]
 
 
+def plain_forward(words: list[bytes], vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
+    """The same for words of at most PLAIN bytes, whatever their lengths, all together: their probabilities are numbers that a double
+    holds. Pieces are looked up by length at all places, and sums go on by distance from the word's beginning."""
+    sizes = np.array([len(w) for w in words])
+    first = np.cumsum(sizes) - sizes
+    text = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64) + np.uint64(1)
+    owner = np.repeat(np.arange(len(words)), sizes)
+    offset = np.arange(len(text)) - first[owner]
+    left = sizes[owner] - offset
+    at, h, found = np.arange(len(text)), np.zeros(len(text), np.uint64), []
+    for length in range(1, vocabulary.longest + 1):
+        go = left[at] >= length
+        at = at[go]
+        if not len(at):
+            break
+        h = h[go] * BASE + text[at + length - 1]
+        rows, ids = vocabulary.find(h, length)
+        found.append(np.stack([at[rows], np.full(len(rows), length), ids]))
+    start, length, ids = np.concatenate(found, 1)
+    step = (offset[start] + length) * 64 + length  # within a step, every word has one end
+    order = np.argsort(step, kind="stable")
+    start, length, ids, step = start[order], length[order], ids[order], step[order]
+    cell = start + owner[start]  # a word has a cell more than bytes
+    sums = np.zeros((len(text) + len(words), probs.shape[1]))
+    sums[first + np.arange(len(words))] = 1.0
+    edges = np.flatnonzero(np.diff(step, prepend=-1, append=-1))
+    for a, b in zip(edges, edges[1:]):
+        sums[cell[a:b] + length[a:b]] += sums[cell[a:b]] * probs[ids[a:b]]
+    return np.log(sums[first + sizes + np.arange(len(words))])
+
+
 def scores(words: list[bytes], vocabulary: Vocabulary, probs: np.ndarray) -> np.ndarray:
     """Log-probabilities (words x languages)."""
     out = np.zeros((len(words), probs.shape[1]))
-    short = [i for i, w in enumerate(words) if len(w) <= LONGEST]
-    for part, matrix in by_length([words[i] for i in short]) if short else ():
-        out[np.array(short)[part]] = forward(matrix, vocabulary, probs)
-    for i, w in enumerate(words):
-        if len(w) > LONGEST:
-            out[i] = long_forward(w, vocabulary, probs)
+    sizes = np.array([len(w) for w in words])
+    plain = np.flatnonzero(sizes <= PLAIN)
+    ends = np.cumsum(sizes[plain]) * probs.shape[1] // CELLS
+    for part in np.split(plain, np.flatnonzero(np.diff(ends)) + 1) if len(plain) else ():
+        out[part] = plain_forward([words[i] for i in part], vocabulary, probs)
+    longer = np.flatnonzero((sizes > PLAIN) & (sizes <= LONGEST))
+    for part, matrix in by_length([words[i] for i in longer]) if len(longer) else ():
+        out[longer[part]] = forward(matrix, vocabulary, probs)
+    for i in np.flatnonzero(sizes > LONGEST):
+        out[i] = long_forward(words[i], vocabulary, probs)
     return out
 
 
@@ -194,6 +236,12 @@ def crc_mod4(c: Column) -> Column:
     return F.crc32(c.cast("string").cast("binary")) % 4
 
 
+def zero_bits(h: Column) -> Column:
+    """How many zero bits a hash begins with, of its last 40."""
+    low = F.pmod(h, F.lit(1 << 40))
+    return F.when(low == 0, 40).otherwise(39 - F.floor(F.log2(low.cast("double")))).cast("int")
+
+
 class Model:
     """langs in order, their shares, and probs (pieces x languages)."""
 
@@ -204,8 +252,14 @@ class Model:
 def learn(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY, max_rows: int = 20_000, max_langs: int = 1_000, rounds: int = 3, smoothing: float = 0.05) -> Model:
     """A model of rows (doc_id, text, lang): those with both are learned from, at most max_rows of them."""
     vocabulary, work = read_vocabulary(path), Work(spark, "languages")
-    rows = rows.where("text is not null and lang is not null").select("text", "lang", F.xxhash64("doc_id").alias("_h"), "doc_id")
-    sample = work.save(rows.orderBy("_h", "doc_id", "lang", F.xxhash64("text")).limit(max_rows).select("text", "lang"), "sample")
+    rows = rows.where("text is not null and lang is not null").select("text", "lang", zero_bits(F.xxhash64("doc_id", "text")).alias("_z"))
+    least, some = 0, 0
+    for r in sorted(rows.groupBy("_z").count().collect(), key=lambda r: -r["_z"]):
+        some += r["count"]
+        if some > max_rows:
+            least = r["_z"] + 1
+            break
+    sample = work.save(rows.where(F.col("_z") >= least).select("text", "lang"), "sample")
     counts = sample.groupBy("lang").count().orderBy("lang").limit(max_langs + 1).collect()
     if len(counts) > max_langs:
         raise ValueError(f"over {max_langs} languages: raise max_langs")
@@ -218,7 +272,7 @@ def learn(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY, max_rows
         for b in batches:
             words, owners = [], []
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
-                own = spaced(text)
+                own = runs(text)
                 words += own
                 owners += [lang] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(owners, pa.string()), pa.array(words, pa.string())], ["lang", "word"])
@@ -234,11 +288,11 @@ def learn(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY, max_rows
             for b in batches:
                 own = [_bytes(w) for w in b.column("word").to_pylist()]
                 # a word longer than this says little about pieces
-                take = [i for i, w in enumerate(own) if len(w) <= 256]
+                take = np.array([i for i, w in enumerate(own) if len(w) <= 256], np.int64)
                 weights = np.zeros((len(own), len(langs)))
                 weights[np.arange(len(own)), [number[x] for x in b.column("lang").to_pylist()]] = b.column("count").to_numpy()
-                for part, matrix in by_length([own[i] for i in take]) if take else ():
-                    total += expected(matrix, weights[np.array(take)[part]], v, now.value)
+                for part, matrix in by_length([own[i] for i in take]) if len(take) else ():
+                    total += expected(matrix, weights[take[part]], v, now.value)
                     seen = True
             if seen:
                 flat = total.reshape(-1)
@@ -249,13 +303,13 @@ def learn(spark: SparkSession, rows: DataFrame, path: str = VOCABULARY, max_rows
         uses = np.zeros(probs.size)
         uses[found["at"].to_numpy()] = found["v"].to_numpy()
         uses = uses.reshape(probs.shape) + smoothing
-        probs = uses / uses.sum(0)
+        probs = np.maximum(uses / uses.sum(0), LEAST)
         now.unpersist()
     held.unpersist()
     return Model(vocabulary, langs, shares / shares.sum(), probs)
 
 
-def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, most_words: int = 200_000) -> DataFrame:
+def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, most_words: int = 400_000) -> DataFrame:
     """docs (its columns, or those named) and lang_pred, score. Columns of those names are replaced. most_words: of how many
     distinct words a task keeps the scores at most."""
     rest = [c for c in columns or docs.columns if c not in ("lang_pred", "score")]
@@ -285,9 +339,9 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, mos
             sizes = np.array([len(t) for t in texts])
             each = np.repeat(np.arange(len(texts)), sizes)
             out = np.zeros((len(texts), len(m.langs)))
-            for at in range(0, len(own), most_words // 2):
-                ids = look_up(own[at : at + most_words // 2])
-                part = each[at : at + most_words // 2]
+            for at in range(0, len(own), most_words):
+                ids = look_up(own[at : at + most_words])
+                part = each[at : at + most_words]
                 for k in range(len(m.langs)):
                     out[:, k] += np.bincount(part, table_[ids, k], len(texts))
             return out
@@ -305,7 +359,7 @@ def predict(docs: DataFrame, model: Model, columns: list[str] | None = None, mos
                         pred[row], score[row] = m.langs[k], float(s)
                     group, size = [], 0
                 if i is not None and judged[i] and m.langs:
-                    group.append((i, spaced(texts[i])))
+                    group.append((i, runs(texts[i])))
                     size += len(group[-1][1])
             yield pa.RecordBatch.from_arrays([b.column("_row"), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["_row", "lang_pred", "score"])
 

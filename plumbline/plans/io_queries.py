@@ -9,11 +9,12 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.geometry import bbox
+from ..functions.geometry import bbox, box
 from ..functions.text import base_name, detect_coordinates, megabytes, percent_done, size_warning
 from ..operators import display, etl, grid
 from ..operators.enrich import enrich, match_stats
 from ..sources import binary, geojson, kml, layer_files, tables
+from ..sources.geojson_split import read_geojson_split
 from ..sources.joined import write_text
 from ..sources.shared import put_bytes, shared_folder
 from .cache import LayerCache
@@ -111,6 +112,21 @@ def geojson_scan(spark: SparkSession, d: str) -> DataFrame:
     return flat(geojson.read_geojson(spark, path))
 
 
+def geojson_split(spark: SparkSession, d: str) -> DataFrame:
+    """One collection of all customers' boxes, with texts that look like structure, read by as many tasks as it has blocks."""
+    lon, lat = F.expr("CAST((c_custkey * 7919) % 3400 AS DOUBLE) / 10 - 170"), F.expr("CAST((c_custkey * 104729) % 1600 AS DOUBLE) / 10 - 80")
+    props = F.create_map(F.lit("name"), F.concat("c_name", F.lit(' }],"features":[{ "\\')), F.lit("segment"), F.col("c_mktsegment"))
+    made = _t(spark, d, "customer").select(F.col("c_custkey").cast("int").alias("fi"), props.alias("props"), F.array(F.array(box(lon, lat, lon + 1, lat + 2))).alias("polygons"))
+    path = shared_folder(spark, "geojson")
+    geojson.write_geojson(made, path)
+    read = read_geojson_split(spark, path)
+    return read.select("fi", F.element_at("props", "name").alias("name"), F.element_at("props", "segment").alias("segment"), bbox(F.col("polygons")).alias("b")).select("fi", "name", "segment", "b.*")
+
+
+GEOJSON_SPLIT = """SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS fi, c_name || ' }],"features":[{ "' || chr(92) AS name, c_mktsegment AS segment, lon AS min_lon, lat AS min_lat, lon + 1 AS max_lon, lat + 2 AS max_lat
+FROM (SELECT *, CAST((c_custkey * 7919) % 3400 AS DOUBLE) / 10 - 170 AS lon, CAST((c_custkey * 104729) % 1600 AS DOUBLE) / 10 - 80 AS lat FROM customer)"""
+
+
 def geojson_properties(spark: SparkSession, d: str) -> DataFrame:
     """Numbers, truth values, nulls and letters as texts; features that are no polygons are left out before numbering."""
     n = _t(spark, d, "nation")
@@ -510,7 +526,7 @@ def base_names(spark: SparkSession, d: str) -> DataFrame:
 
 PAIRS = {
     "csv_scan": (csv_scan, CSV_SCAN), "csv_errors": (csv_errors, CSV_ERRORS), "csv_headers": (csv_headers, "SELECT * FROM (VALUES (0, 'key'), (1, 'name')) v(pos, name)"), "delimiter_sniff": (delimiter_sniff, SNIFF), "sample_source": (sample_source, SAMPLE),
-    "translation_csv": (translation_csv, TRANSLATION_CSV), "geojson_scan": (geojson_scan, flat_sql(DIAMOND_RINGS)), "geojson_properties": (geojson_properties, GEOJSON_PROPERTIES), "geojson_validation": (geojson_validation, VALIDATION),
+    "translation_csv": (translation_csv, TRANSLATION_CSV), "geojson_scan": (geojson_scan, flat_sql(DIAMOND_RINGS)), "geojson_split": (geojson_split, GEOJSON_SPLIT), "geojson_properties": (geojson_properties, GEOJSON_PROPERTIES), "geojson_validation": (geojson_validation, VALIDATION),
     "polygon_filter": (polygon_filter, POLYGON_FILTER), "kml_scan": (kml_scan, flat_sql(DIAMOND_RINGS)), "kml_properties": (kml_properties, KML_PROPERTIES), "kmz_scan": (kmz_scan, flat_sql(DIAMOND_RINGS)),
     "gjbf_scan": (gjbf_scan, flat_sql(DIAMOND_RINGS)), "gjbf_source": (gjbf_source, GJBF_SOURCE), "gjbf_box": (gjbf_box, GJBF_BOX), "grid_rows": (grid_rows, GRID_ROWS), "gjbf_to_geojson": (gjbf_to_geojson, GJBF_TO_GEOJSON), "gjbf_build": (gjbf_build, GJBF_BUILD),
     "pip_given_grid": (pip_given_grid, PIP_REFINED), "wkb_scan": (wkb_scan, WKB_SCAN), "manifest_scan": (manifest_scan, MANIFEST), "layer_defaults": (layer_defaults, LAYER_DEFAULTS),

@@ -15,20 +15,24 @@ def _key(v: str, path: str, kind: str = "string") -> str:
     return f"try_variant_get({v}, '{path}', '{kind}')"
 
 
+def feature_error(f: str, i: str) -> str:
+    """SQL of what is wrong with a feature (a variant column) of number i, or null."""
+    return f"""CASE WHEN schema_of_variant({f}) NOT LIKE 'OBJECT%' THEN 'Feature ' || {i} || ' is not an object.'
+      WHEN variant_get({f}, '$.geometry') IS NULL OR is_variant_null(variant_get({f}, '$.geometry')) THEN 'Feature ' || {i} || ' has no geometry.'
+      WHEN {_key(f, '$.geometry.type')} IS NULL THEN 'Feature ' || {i} || ' has no geometry type.'
+      WHEN {_key(f, '$.geometry.type')} NOT IN ('Polygon', 'MultiPolygon') THEN 'Feature ' || {i} || ' is not a polygon.'
+      WHEN schema_of_variant(variant_get({f}, '$.geometry.coordinates')) LIKE 'ARRAY%' THEN NULL
+      ELSE 'Feature ' || {i} || ' has no coordinates.' END"""
+
+
 def validation_error(v: str) -> Column:
     """The first thing wrong with a parsed text (a variant column), or null. One feature that is not a polygon makes the
     whole file wrong."""
-    feature = f"""CASE WHEN schema_of_variant(f) NOT LIKE 'OBJECT%' THEN 'Feature ' || i || ' is not an object.'
-      WHEN variant_get(f, '$.geometry') IS NULL OR is_variant_null(variant_get(f, '$.geometry')) THEN 'Feature ' || i || ' has no geometry.'
-      WHEN {_key('f', '$.geometry.type')} IS NULL THEN 'Feature ' || i || ' has no geometry type.'
-      WHEN {_key('f', '$.geometry.type')} NOT IN ('Polygon', 'MultiPolygon') THEN 'Feature ' || i || ' is not a polygon.'
-      WHEN schema_of_variant(variant_get(f, '$.geometry.coordinates')) LIKE 'ARRAY%' THEN NULL
-      ELSE 'Feature ' || i || ' has no coordinates.' END"""
     features = f"try_variant_get({v}, '$.features', 'array<variant>')"
     return F.expr(f"""CASE WHEN {v} IS NULL OR schema_of_variant({v}) NOT LIKE 'OBJECT%' THEN 'Not a JSON object.'
       WHEN coalesce({_key(v, '$.type')}, '') <> 'FeatureCollection' THEN 'Not a FeatureCollection.'
       WHEN coalesce(size({features}), 0) <= 0 THEN 'The collection has no features.'
-      ELSE get(filter(transform({features}, (f, i) -> {feature}), m -> m IS NOT NULL), 0) END""")
+      ELSE get(filter(transform({features}, (f, i) -> {feature_error('f', 'i')}), m -> m IS NOT NULL), 0) END""")
 
 
 def read_geojson(spark: SparkSession, path: str, validate: bool = True) -> DataFrame:
@@ -48,7 +52,11 @@ def read_geojson(spark: SparkSession, path: str, validate: bool = True) -> DataF
         files = files.join(starts, "file")
     else:
         files = files.withColumn("start", F.lit(0))
-    features = files.select("start", F.posexplode("own").alias("pos", "f"))
+    return parsed_features(files.select("start", F.posexplode("own").alias("pos", "f")))
+
+
+def parsed_features(features: DataFrame) -> DataFrame:
+    """fi, props, polygons of features (start, pos, f: a variant column of a polygon or multipolygon)."""
     kind = F.expr(_key("f", "$.geometry.type"))
     features = features.withColumn("kind", kind)
     one = F.array(F.expr(f"try_variant_get(f, '$.geometry.coordinates', '{RING}')"))

@@ -17,7 +17,7 @@ from ..functions.coords import js_number, quantize, valid_coord
 from ..functions.geometry import contains
 from ..functions.text import detect_coordinates
 from ..plans.layer import Layer
-from .grid import SUBDIVISIONS, THRESHOLD, cells, point_keys
+from .grid import THRESHOLD, point_keys
 
 
 class Mode(str, Enum):
@@ -107,8 +107,7 @@ def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: st
     matched = F.lit(False)
     names = [c for c in points.columns if c not in HIDDEN]
     for n, layer in enumerate(layers):
-        indexed = layer.indexed()
-        cell_rows = layer.grid if layer.grid is not None else cells(indexed, threshold, SUBDIVISIONS)
+        indexed, cell_rows = layer.prepared(threshold)
         how = plan if plan != "auto" else ("narrow" if edges_in_cells(indexed, cell_rows) <= cell_edges else "joined")
         if how == "narrow":
             points = _narrow(points, indexed, cell_rows)

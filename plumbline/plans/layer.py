@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.geometry import bbox, prepared
 from ..functions.text import output_names
+from ..operators.grid import SUBDIVISIONS, THRESHOLD, cells
 
 #: Columns of a features table. fi is the order of features; the lowest containing one is first.
 FEATURES = "fi int, props map<string,string>, polygons array<array<array<struct<lon:double,lat:double>>>>"
@@ -32,6 +33,7 @@ class Layer:
     label: str = ""
     color: str = ""
     grid: DataFrame | None = None
+    _prepared: dict = field(default_factory=dict, repr=False, compare=False)
 
     def __post_init__(self):
         if not self.properties:
@@ -86,6 +88,24 @@ class Layer:
         return self.features.select("fi", bbox(F.col("polygons")).alias("bbox"), prepared(F.col("polygons")).alias("parts"), values.alias("values"))
 
 
+    def prepared(self, threshold: int = THRESHOLD, subdivisions: int = SUBDIVISIONS) -> tuple[DataFrame, DataFrame]:
+        """indexed() and the layer's cells, worked out once for all joins with this layer. A layer is small beside the rows; Spark keeps both
+        in memory or on disk until release(), and works lost parts out again."""
+        key = (threshold, subdivisions, tuple(self.selected), tuple(sorted(self.data_keys())))
+        if key not in self._prepared:
+            indexed = self.indexed().persist()
+            self._prepared[key] = indexed, cells(indexed, threshold, subdivisions).persist()
+        indexed, made = self._prepared[key]
+        return indexed, made if self.grid is None else self.grid
+
+    def release(self) -> None:
+        """Lets go of what prepared() keeps; results that are not written yet work it out again."""
+        for frames in self._prepared.values():
+            for df in frames:
+                df.unpersist()
+        self._prepared.clear()
+
+
 class Session:
     """The layers in use, built-in ones first and in the order they were switched on, then uploads."""
 

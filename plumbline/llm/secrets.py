@@ -16,6 +16,7 @@ give equal rows; an empty table gives an empty result; very long texts are read
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 
@@ -78,12 +79,26 @@ class Markov:
         return float(self.steps(token).sum())
 
 
-def _free(a: int, b: int, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """The parts of a..b outside of all spans of base."""
-    out = []
-    for x, y in sorted((x, y) for x, _, y in base if x < b and a < y):
-        out.append((a, x))
-        a = max(a, y)
+def _union(base: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Beginnings and ends of the places that spans cover, in order and apart."""
+    starts, ends = [], []
+    for x, _, y in sorted(base):
+        if ends and x <= ends[-1]:
+            ends[-1] = max(ends[-1], y)
+        else:
+            starts.append(x)
+            ends.append(y)
+    return starts, ends
+
+
+def _free(a: int, b: int, union: tuple[list[int], list[int]]) -> list[tuple[int, int]]:
+    """The parts of a..b outside of a union of spans."""
+    starts, ends = union
+    out, k = [], bisect.bisect_right(ends, a)
+    while k < len(starts) and starts[k] < b:
+        out.append((a, starts[k]))
+        a = ends[k]
+        k += 1
     return [(x, y) for x, y in [*out, (a, b)] if x < y]
 
 
@@ -150,7 +165,7 @@ def find(text: bytes, model: Markov | None, min_ratio: float = 12.0, min_mean: f
         out += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
     out += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     if model:
-        base = list(out)
+        base = _union(out)
         for m in re.finditer(RUN % min_chars, text):
             for a, b in _free(m.start(), m.end(), base):
                 out += [(a + x, 3, a + y) for x, y in _random(text[a:b], model, min_ratio, min_mean, min_chars)]

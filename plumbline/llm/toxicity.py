@@ -69,7 +69,7 @@ def features(text: str, stems: dict[str, float]) -> list[float]:
                     score += s
                     best = max(best, s)
     second = [i for i, w in enumerate(words) if w in SECOND]
-    near = min((abs(i - j) for i in insults for j in _around(second, i)), default=99)
+    near = _nearest(insults, second)
     letters = sum(map(str.isupper, text)) if not text.islower() else 0
     marks = text.count("!") + text.count("?")
     return [
@@ -78,9 +78,13 @@ def features(text: str, stems: dict[str, float]) -> list[float]:
     ]
 
 
-def _around(sorted_: list[int], i: int) -> list[int]:
-    k = int(np.searchsorted(sorted_, i))
-    return sorted_[max(k - 1, 0) : k + 1]
+def _nearest(insults: list[int], second: list[int]) -> int:
+    """The least distance between two sorted lists of places; 99 if one is empty."""
+    if not insults or not second:
+        return 99
+    at, j = np.array(insults), np.array(second)
+    k = np.searchsorted(j, at)
+    return int(min(np.abs(at - j[np.maximum(k - 1, 0)]).min(), np.abs(at - j[np.minimum(k, len(j) - 1)]).min()))
 
 
 class Boosted:

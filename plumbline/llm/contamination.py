@@ -11,8 +11,9 @@ reported once, from where it begins to where it ends.
 shorter item; ``decontaminate`` keeps documents without any. ``passages`` gives all matches of at least ``least`` words
 with their places, ``locations`` the longest match of every suffix of an item with all of its places.
 
-Shards are read in pieces of ``PIECE`` words, texts longer than that too, with an overlap, so a task's memory follows
-neither the texts' length nor the number of rows. The benchmark is read in blocks of at most ``block_words`` words,
+Shards are read in pieces of ``PIECE`` words, texts longer than that too, with an overlap, so a task's memory does not
+follow the number of rows or, of ordinary texts, their length. It does grow with the places at which one item's windows occur in a
+piece, which an item and a text that both repeat one word over and over multiply (80,000 and 400 words: 3 GB). The benchmark is read in blocks of at most ``block_words`` words,
 each broadcast by itself and let go before the next, so the driver and what is broadcast never grow with the
 benchmark; with one block nothing is shuffled at all, with more the hits of a document are written for each block and
 joined by its row. Matching is by 64-bit word hashes.

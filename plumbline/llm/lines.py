@@ -10,7 +10,8 @@ counts, takes keys that fall below the limit out of the filters, and their lines
 The filters are broadcast if all shards together stay within ``filter_bytes``; beyond that lines go to the filter of
 their shard, at most about ``task_postings`` to a task. Results are equal. The few lines of very many documents (fewer
 than 10,000 of them at any size) are known to be boilerplate and need no probe: what is known of them is broadcast, so
-no task gathers a frequent line's documents.
+no task gathers a frequent line's documents. Where all boilerplate is that frequent, as in tables of few documents, filters are built but
+decide nothing.
 
 Defined cases: null or empty text is one empty line; very long texts and lines are read whole; rows of equal doc_id
 count as one holder, and each is rewritten by itself, so a line that is repeated in its largest holder stays in all of

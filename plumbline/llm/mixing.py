@@ -4,7 +4,7 @@ Every source's documents are put in a shuffled order that depends on doc_id alon
 line of tokens, cut into blocks of ``block_tokens``. The mix is a sequence of slots: slot i takes the point
 frac(i * golden ratio) and maps it through the cumulative weights to a source, so that every stretch of the
 sequence holds the sources in nearly their proportions. A slot's rank among its source's slots says which
-block it takes: ranks run through the source's blocks once, then again for a second epoch. The last block that a
+block it takes (it says when in the mix, not how much of a source is taken in all, which its target alone decides): ranks run through the source's blocks once, then again for a second epoch. The last block that a
 source takes is cut where its target ends, and blocks that no slot takes add nothing, so every source's total is its
 target without the fraction. Positions on the lines and ranks are prefix sums in three steps, over small buckets,
 runs of buckets and runs of those; no task holds a source, or all buckets of one.

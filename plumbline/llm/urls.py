@@ -10,7 +10,8 @@ Support is a share of the labelled pages, but ``min_rows`` of them at least, so
 grow with the pages; the rule table is joined like any table, broadcast only if Spark finds it small.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule and no token but what its text
-has; very long urls are read whole, all of their tokens count; of listed rules of equal length that fit the later one
+has; very long urls are read whole, all of their tokens count (labelled bad urls of over about 14 tokens that ``min_rows`` pages
+share make 2 to the power of as many rules, as the length of combinations has no bound); of listed rules of equal length that fit the later one
 decides, of mined ones the highest confidence is reported; repeated pages are judged one by one; without labels no association rules are mined and pages without a
 listed rule are allowed; empty tables give empty results; other columns are ignored.
 """

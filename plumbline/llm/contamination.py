@@ -11,9 +11,9 @@ reported once, from where it begins to where it ends.
 shorter item; ``decontaminate`` keeps documents without any. ``passages`` gives all matches of at least ``least`` words
 with their places, ``locations`` the longest match of every suffix of an item with all of its places.
 
-Shards are read in pieces of ``PIECE`` words, texts longer than that too, with an overlap, so a task's memory does not
-follow the number of rows or, of ordinary texts, their length. It does grow with the places at which one item's windows occur in a
-piece, which an item and a text that both repeat one word over and over multiply (80,000 and 400 words: 3 GB). The benchmark is read in blocks of at most ``block_words`` words,
+Shards are read in pieces of ``PIECE`` words, texts longer than that too, with an overlap. Of a match only its begin and its
+end are looked for, not the windows between, and about ``PAIRS`` of them are held at once, so a task's memory follows neither
+the number of rows nor how often item and text repeat one word; it holds the batch's texts themselves. The benchmark is read in blocks of at most ``block_words`` words,
 each broadcast by itself and let go before the next, so the driver and what is broadcast never grow with the
 benchmark; with one block nothing is shuffled at all, with more the hits of a document are written for each block and
 joined by its row. Matching is by 64-bit word hashes.
@@ -110,34 +110,119 @@ class SuffixArray:
         return left, right
 
 
-PAIRS, PIECE = 2_000_000, 1 << 20
+PAIRS, PIECE = 1_000_000, 1 << 20
+Runs = tuple[np.ndarray, ...]
 
 
-def _piece_runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, ...]]:
+def _ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """begin[0], begin[0] + 1, ... n[0] numbers, then those of begin[1], and so on."""
+    return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+
+
+def _cuts(n: np.ndarray) -> Iterator[tuple[int, int]]:
+    """n in stretches whose sum is at most PAIRS, or of one element."""
+    total, first = np.r_[0, np.cumsum(n)], 0
+    while first < len(n):
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, side="right")) - 1)
+        yield first, last
+        first = last
+
+
+class Joined:
+    """Pairs of a test window and a place of the same words whose neighbours, on one side, do not match as well."""
+
+    def __init__(self, place: np.ndarray, same: np.ndarray, beside: np.ndarray):
+        self.base = int(max(same.max(initial=0), beside.max(initial=0))) + 1
+        key = same[place] * self.base + beside[place]
+        order = np.argsort(key, kind="stable")
+        self.place, self.key = place[order], key[order]
+
+    def ranges(self, same: np.ndarray, beside: np.ndarray) -> tuple[np.ndarray, ...]:
+        """For each window the places of its words, but for those with its neighbour's words beside them: two ranges."""
+        at = lambda k, side="left": np.searchsorted(self.key, k, side=side)
+        low, high = at(same * self.base), at((same + 1) * self.base)
+        out, back = at(same * self.base + beside), at(same * self.base + beside, "right")
+        out, back = np.where(beside > 0, out, low), np.where(beside > 0, back, low)
+        return low, out - low, back, high - back
+
+    def pairs(self, w: np.ndarray, ranges: tuple[np.ndarray, ...]) -> tuple[np.ndarray, np.ndarray]:
+        a, n, b, m = ranges
+        return np.r_[np.repeat(w, n), np.repeat(w, m)], self.place[np.r_[_ranges(a, n), _ranges(b, m)]]
+
+
+def _piece_runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[Runs]:
+    """Runs begin at pairs whose predecessors do not match, and end at pairs whose successors do not; only these are
+    listed, at most about PAIRS at a time. In order along its diagonal, each begin belongs to the end of its number."""
     sa = SuffixArray(h, at, test)
     left, right = sa.find(test)
     n = right - left
-    used = np.flatnonzero(n > 0)
-    first = np.flatnonzero(np.r_[True, test.item[used][1:] != test.item[used][:-1]]) if len(used) else used
-    parts, total = [], 0
-    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(used)]):
-        parts.append(used[a:b])
-        total += int(n[used[a:b]].sum())
-        if total >= PAIRS or b == len(used):
-            w = np.concatenate(parts)
-            parts, total = [], 0
-            which = np.repeat(w, n[w])
-            place = sa.start[np.arange(len(which)) - np.repeat(np.cumsum(n[w]) - n[w], n[w]) + left[which]]
-            item, offset, text = test.item[which], test.offset[which], np.searchsorted(at, place, side="right") - 1
-            order = np.lexsort((offset, place - offset, text, item))
-            item, offset, text, place, length = item[order], offset[order], text[order], place[order], test.length[which][order]
-            goes_on = (item[1:] == item[:-1]) & (text[1:] == text[:-1]) & (offset[1:] == offset[:-1] + 1) & (place[1:] == place[:-1] + 1)
-            begin = np.flatnonzero(np.r_[True, ~goes_on])
-            count = np.diff(np.r_[begin, len(item)])
-            yield item[begin], offset[begin], text[begin], place[begin] - at[text[begin]], count + length[begin] - 1
-
-
-def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[np.ndarray, ...]]:
+    short = np.flatnonzero((n > 0) & (test.length < test.width))
+    for a, b in _cuts(n[short]):
+        w = short[a:b]
+        which, place = np.repeat(w, n[w]), sa.start[_ranges(left[w], n[w])]
+        text = np.searchsorted(at, place, side="right") - 1
+        yield test.item[which], test.offset[which], text, place - at[text], test.length[which]
+    # equal windows have equal numbers, which the places of their words bear too
+    window = np.where((n > 0) & (test.length == test.width), left + 1, 0)
+    used = np.flatnonzero(window)
+    if not len(used):
+        return
+    some = used[np.unique(window[used], return_index=True)[1]]
+    same = np.zeros(len(h), np.int64)
+    same[sa.start[_ranges(left[some], n[some])]] = np.repeat(window[some], n[some])
+    del sa
+    begins, ends = np.zeros(len(h), bool), np.zeros(len(h), bool)
+    begins[at[:-1][at[:-1] < at[1:]]] = True
+    ends[at[1:][at[:-1] < at[1:]] - 1] = True
+    before, after = np.where(begins, 0, np.r_[0, same[:-1]]), np.where(ends, 0, np.r_[same[1:], 0])
+    inside = test.item[1:] == test.item[:-1]
+    w_before, w_after = np.r_[0, np.where(inside, window[:-1], 0)], np.r_[np.where(inside, window[1:], 0), 0]
+    place = np.flatnonzero(same)
+
+    def along(heads: tuple[np.ndarray, np.ndarray], tails: tuple[np.ndarray, np.ndarray]) -> Runs:
+        (w, p), (v, q) = (sorted_(*heads), sorted_(*tails))
+        text = np.searchsorted(at, p, side="right") - 1
+        return test.item[w], test.offset[w], text, p - at[text], q - p + test.width
+
+    def sorted_(w: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((p, p - test.offset[w], test.item[w]))
+        return w[order], p[order]
+
+    heads, tails = Joined(place, same, before), Joined(place, same, after)
+    head, tail = heads.ranges(window[used], w_before[used]), tails.ranges(window[used], w_after[used])
+    first = np.flatnonzero(np.r_[True, test.item[used][1:] != test.item[used][:-1]])
+    size = np.add.reduceat(head[1] + head[3], first)  # runs of each item: as many begin as end
+    stop = np.r_[first, len(used)]
+    for a, b in _cuts(size):
+        own = slice(stop[a], stop[b])
+        w = used[own]
+        if size[a:b].sum() <= PAIRS:
+            yield along(heads.pairs(w, tuple(x[own] for x in head)), tails.pairs(w, tuple(x[own] for x in tail)))
+            continue
+        # one item of more: its diagonals in stretches, of which each run lies in one
+        low, high = int(test.offset[w].min()), int(test.offset[w].max())
+        todo = [(-high, len(h) - low)]
+        while todo:
+            d, e = todo.pop()
+            near = place[np.searchsorted(place, d + low) : np.searchsorted(place, e + high)]
+            sides = [(Joined(near, same, s), t[w]) for s, t in ((before, w_before), (after, w_after))]
+            lists = [j.ranges(window[w], t) for j, t in sides]
+            if max(int((x[1] + x[3]).sum()) for x in lists) > PAIRS and e - d > max(1, (high - low) // 16):
+                todo += [((d + e) // 2, e), (d, (d + e) // 2)]
+                continue
+            found = []
+            for (j, _), x in zip(sides, lists):
+                parts = [(w[:0], near[:0])]
+                for k, m in _cuts(x[1] + x[3]):
+                    v, p = j.pairs(w[k:m], tuple(y[k:m] for y in x))
+                    ok = (p - test.offset[v] >= d) & (p - test.offset[v] < e)
+                    parts.append((v[ok], p[ok]))
+                found.append(tuple(np.concatenate(y) for y in zip(*parts)))
+            if len(found[0][0]):
+                yield along(*found)
+
+
+def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[Runs]:
     """(item, item's word, text, text's word, number of words) of the matches of at least width words, or of a whole
     shorter item, that go on neither before nor behind."""
     if not len(h) or not len(test.keys):
@@ -149,27 +234,38 @@ def _runs(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> Iterator[tuple[n
         if b - a <= PIECE:
             for item, offset, text, place, n in _piece_runs(h[a:b], at[first : last + 1] - a, test):
                 yield item, offset, text + first, place, n
-        else:  # one long text, in pieces that overlap by a match's least length
-            found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-            for c in range(a, b, PIECE):
-                own = h[c : min(b, c + PIECE + test.width - 1)]
-                for item, offset, _, place, n in _piece_runs(own, np.array([0, len(own)]), test):
-                    for i, o, x, k in zip(item.tolist(), offset.tolist(), (place + c - a).tolist(), n.tolist()):
-                        found.setdefault((i, x - o), []).append((o, o + k))
+        else:
+            for item, offset, place, n in _long_text(h[a:b], test):
+                yield item, offset, np.full(len(item), first), place, n
+        first = last
+
+
+def _long_text(h: np.ndarray, test: TestSuffixes) -> Iterator[Runs]:
+    """The runs of one text, in pieces that overlap by a window's words but one. What reaches a piece's end is held until
+    the next one tells whether it goes on, at most one run for each test window."""
+    held: dict[tuple[int, int], tuple[int, int, int]] = {}  # (item, item's word behind it): item's word, text's word, words
+    for c in range(0, len(h), PIECE):
+        own = h[c : c + PIECE + test.width - 1]
+        more, kept = c + PIECE < len(h), {}
+        for item, offset, _, place, n in _piece_runs(own, np.array([0, len(own)]), test):
+            whole = (place < PIECE) & ~((place == 0) & (c > 0))
+            edge = (place + n == len(own)) & (n >= test.width) if more else np.zeros(len(n), bool)
+            ok = whole & ~edge
+            yield item[ok], offset[ok], place[ok] + c, n[ok]
             rows = []
-            for (i, shift), own in found.items():
-                begin, end = None, 0
-                for o, e in sorted(own):
-                    if begin is not None and o <= end - min(test.width, end - begin) + 1:
-                        end = max(end, e)
-                        continue
-                    if begin is not None:
-                        rows.append((i, begin, first, begin + shift, end - begin))
-                    begin, end = o, e
-                rows.append((i, begin, first, begin + shift, end - begin))
+            for i, o, x, k, open_ in zip(*(y[(place < PIECE) & ~ok].tolist() for y in (item, offset, place + c, n, edge))):
+                if x == c and k >= test.width and (old := held.pop((i, o + test.width - 1), None)):
+                    o, x, k = old[0], old[1], k + old[2] - test.width + 1
+                if open_:
+                    kept[i, o + k] = (o, x, k)
+                else:
+                    rows.append((i, o, x, k))
             if rows:
-                yield tuple(np.array(c, dtype=np.int64) for c in zip(*rows))
-        first = last
+                yield tuple(np.array(y, dtype=np.int64) for y in zip(*rows))
+        rest = [(i, *row) for (i, _), row in held.items()]
+        if rest:
+            yield tuple(np.array(y, dtype=np.int64) for y in zip(*rest))
+        held = kept
 
 
 Longest = tuple[int, str, int, int]  # words, item, where in the item, where in the text
@@ -178,12 +274,16 @@ Longest = tuple[int, str, int, int]  # words, item, where in the item, where in
 def _hits(h: np.ndarray, at: np.ndarray, test: TestSuffixes) -> tuple[np.ndarray, list[set[str]], list[Longest]]:
     """Which words of a shard lie in a match, and for each text the items that occur and the longest match."""
     change, found, best = np.zeros(len(h) + 1, np.int64), [set() for _ in at[:-1]], [(0, "", 0, 0)] * (len(at) - 1)
+    rank = np.unique(np.array(test.names, dtype=object), return_inverse=True)[1] if test.names else np.zeros(0, np.int64)
     for item, offset, text, place, n in _runs(h, at, test):
         np.add.at(change, at[text] + place, 1)
         np.add.at(change, at[text] + place + n, -1)
-        for i, o, t, x, k in zip(item.tolist(), offset.tolist(), text.tolist(), place.tolist(), n.tolist()):
-            found[t].add(test.names[i])
-            best[t] = _longer(best[t], (k, test.names[i], o, x))
+        for x in np.unique(text * len(test.names) + item).tolist():
+            found[x // len(test.names)].add(test.names[x % len(test.names)])
+        order = np.lexsort((offset, rank[item], place, -n, text))
+        for x in order[np.flatnonzero(np.r_[True, text[order][1:] != text[order][:-1]])].tolist() if len(text) else ():
+            t = int(text[x])
+            best[t] = _longer(best[t], (int(n[x]), test.names[item[x]], int(offset[x]), int(place[x])))
     return np.cumsum(change)[:-1] > 0, found, best
 
 

@@ -10,18 +10,21 @@ Support is a share of the labelled pages, but ``min_rows`` of them at least, so
 grow with the pages; the rule table is joined like any table, broadcast only if Spark finds it small.
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule and no token but what its text
-has; very long urls are read whole, all of their tokens count (labelled bad urls of over about 14 tokens that ``min_rows`` pages
-share make 2 to the power of as many rules, as the length of combinations has no bound); of listed rules of equal length that fit the later one
+has; very long urls are read whole, all of their tokens count (bad urls that are equal, or
+whose tokens no good page has, make a rule a token; many tokens that good pages have too, each in pages of its own, still make
+many combinations, as these have no bound on their length); of listed rules of equal length that fit the later one
 decides, of mined ones the highest confidence is reported; repeated pages are judged one by one; without labels no association rules are mined and pages without a
 listed rule are allowed; empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from .common import ascii_lower, table
+from .common import Work, ascii_lower, table
 
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -47,20 +50,69 @@ def tokens(url: Column) -> Column:
     return F.array_distinct(F.transform(parts, lambda t: F.when(t.rlike(r"^[0-9]+$"), F.lit("#")).otherwise(t)))
 
 
-def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 8, min_confidence: float = 0.6) -> DataFrame:
-    """(tokens, confidence, support): rules for the class block. labels: (doc_id, quality, toxic) of pages by page_id; bad
-    are those of quality 0 or toxic 1."""
+def _baskets(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(page_id, url, bad) of labelled pages. labels: (doc_id, quality, toxic) of pages by page_id; bad (1 or 0) are those
+    of quality 0 or toxic 1."""
     bad = (F.coalesce(F.max("toxic"), F.lit(0)) == 1) | (F.coalesce(F.min("quality"), F.lit(1)) == 0)
-    classes = labels.groupBy("doc_id").agg(F.when(bad, "=block").otherwise("=allow").alias("class"))
-    baskets = pages.select("page_id", "url").join(classes, F.col("page_id") == F.col("doc_id")).select(F.array_append(tokens(F.col("url")), F.col("class")).alias("items"))
-    n = baskets.count()
-    if not n:
-        return pages.sparkSession.createDataFrame([], "tokens array<string>, confidence double, support double")
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_support, min_rows / n)), minConfidence=min_confidence).fit(baskets)
+    classes = labels.groupBy("doc_id").agg(bad.cast("int").alias("bad"))
+    return pages.select("page_id", "url").join(classes, F.col("page_id") == F.col("doc_id")).select("page_id", "url", "bad")
+
+
+NO_RULES = "tokens array<string>, confidence double, support double"
+
+
+def _rules(baskets: DataFrame, least: float, min_confidence: float) -> DataFrame:
+    """FP-growth's rules for the class block. baskets: items with a class; least: a share of them."""
+    model = FPGrowth(itemsCol="items", minSupport=least, minConfidence=min_confidence).fit(baskets.select("items"))
     rules = model.associationRules.where(F.array_contains("consequent", "=block") & ~F.array_contains("antecedent", "=allow"))
     return rules.select(F.array_sort("antecedent").alias("tokens"), "confidence", "support")
 
 
+def _class(bad: Column) -> Column:
+    return F.when(bad == 1, "=block").otherwise("=allow")
+
+
+def mine(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 8, min_confidence: float = 0.6) -> DataFrame:
+    """(tokens, confidence, support): all rules for the class block. Labelled bad urls of n equal tokens have 2^n - 1 of
+    them; ``needed`` finds those that ``pruned`` leaves without listing the others."""
+    baskets = _baskets(pages, labels).select(F.array_append(tokens(F.col("url")), _class(F.col("bad"))).alias("items"))
+    n = baskets.count()
+    if not n:
+        return pages.sparkSession.createDataFrame([], NO_RULES)
+    return _rules(baskets, min(1.0, max(min_support, min_rows / n)), min_confidence)
+
+
+def needed(pages: DataFrame, labels: DataFrame, min_support: float = 0.002, min_rows: int = 8, min_confidence: float = 0.6) -> DataFrame:
+    """The rules of pruned(mine(...)), of which FP-growth sees only what can matter: tokens in too few bad pages are part of
+    none, a token without a good page is a rule that makes all longer ones with it needless, and of tokens that lie
+    in the same pages no two are in one rule, so one stands for all of them until the rules are pruned."""
+    baskets = _baskets(pages, labels).groupBy("page_id", "url", "bad").agg(F.count("*").alias("copies"))
+    n = baskets.agg(F.sum("copies")).first()[0] or 0
+    if not n:
+        return pages.sparkSession.createDataFrame([], NO_RULES)
+    least = math.ceil(min(1.0, max(min_support, min_rows / n)) * n)
+    held = baskets.select("*", F.explode(tokens(F.col("url"))).alias("t"))
+    mark = lambda k: F.sum(F.xxhash64(F.lit(k), "page_id", "url").cast("decimal(20,0)") * F.col("copies")).alias(f"mark{k}")
+    counted = held.groupBy("t").agg(F.sum("copies").alias("n"), F.sum(F.col("bad") * F.col("copies")).alias("n_bad"), mark(1), mark(2)).where(F.col("n_bad") >= least)
+    work = Work(pages.sparkSession, "urls")
+    counted = work.save(counted.withColumn("rep", F.min("t").over(Window.partitionBy("n", "n_bad", "mark1", "mark2"))), "tokens")
+    pure = counted.where("n = n_bad").select(F.array("t").alias("tokens"), F.lit(1.0).alias("confidence"), (F.col("n_bad") / n).alias("support"))
+    some = held.join(counted.where("n > n_bad and t = rep").select("t"), "t").groupBy("page_id", "url", "bad", "copies").agg(F.collect_list("t").alias("own"))
+    some = some.select(F.array_append("own", _class(F.col("bad"))).alias("items"), F.explode(F.expr("sequence(1, copies)")))
+    some = work.save(some.select("items"), "baskets")
+    m = some.count()
+    if m < least:
+        return pure
+    # half a page below the least count: a share of m pages, rounded up, is that count again
+    rules = pruned(_rules(some, (least - 0.5) / m, min_confidence)).withColumn("support", F.round(F.col("support") * m) / n)
+    members = counted.where("n > n_bad").groupBy("rep").agg(F.collect_list("t").alias("members"))
+    named = rules.select("tokens", "confidence", "support", F.explode("tokens").alias("rep")).join(members, "rep")
+    named = named.groupBy("tokens", "confidence", "support").agg(F.collect_list("members").alias("members"))
+    longer = lambda acc, own: F.flatten(F.transform(acc, lambda x: F.transform(own, lambda t: F.array_append(x, t))))
+    every = F.aggregate("members", F.array(F.array().cast("array<string>")), longer)
+    return pure.unionByName(named.select(F.explode(every).alias("tokens"), "confidence", "support").withColumn("tokens", F.array_sort("tokens")))
+
+
 def pruned(rules: DataFrame) -> DataFrame:
     """Without the rules that a rule on a part of their tokens, with no less confidence, makes needless."""
     part = F.explode(F.transform("tokens", lambda t: F.array_except("tokens", F.array(t)))).alias("shorter")
@@ -75,7 +127,7 @@ def judge(spark: SparkSession, pages: DataFrame, labels: DataFrame, rules=RULES,
     host, path = host_path(F.col("url"))
     rule, verdict = listed(F.col("host"), F.col("path"), rules)
     judged = pages.select("page_id", "url", host.alias("host"), path.alias("path")).withColumns({"rule": rule, "listed": verdict})
-    mined = pruned(mine(pages, labels, **settings))
+    mined = needed(pages, labels, **settings)
     uses = mined.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("n"))
     filed = mined.select("tokens", "confidence", F.explode("tokens").alias("t")).join(uses, "t")
     filed = filed.groupBy("tokens", "confidence").agg(F.min(F.struct("n", "t")).alias("_f")).select("tokens", "confidence", F.col("_f.t").alias("t"))

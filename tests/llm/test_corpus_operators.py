@@ -395,6 +395,7 @@ def test_mined_rules(spark):
     assert mined == pytest.approx(want)
     short = {tuple(r["tokens"]) for r in urls.pruned(urls.mine(pages, labels, min_rows=5, min_confidence=0.9)).collect()}
     assert ("spama",) in short and ("net", "spama") not in short
+    assert {tuple(r["tokens"]) for r in urls.needed(pages, labels, min_rows=5, min_confidence=0.9).collect()} == short
     got = {r["page_id"] for r in urls.judge(spark, pages, labels, min_rows=5, min_confidence=0.9).where("verdict = 'block'").collect()}
     assert got == bad
 
@@ -770,6 +771,20 @@ def test_mined_rules_against_sql(spark, tmp_path, settings):
     assert sorted(map(repr, map(tuple, got.select("page_id", "host", "path", "rule", "verdict", "n_mined", "confidence").collect()))) == sorted(map(repr, con.execute(urls.judge_sql(**settings)).fetchall()))
 
 
+def test_long_urls_of_equal_tokens(spark):
+    """50 bad urls of 60 tokens: all tokens are in good pages too, half of them always together."""
+    own = [f"w{i:02}" for i in range(60)]
+    rows = [(i, "http://" + "/".join(own)) for i in range(50)] + [(100 + i, "http://" + "/".join(own[:30])) for i in range(10)] + [(200, "http://" + own[40]), (300, None)]
+    pages = spark.createDataFrame(rows + rows[:5], "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i >= 50), None) for i, _ in rows] + [(777, 0, 1)], "doc_id long, quality int, toxic int")
+    rules = {tuple(r["tokens"]): (r["confidence"], r["support"]) for r in urls.needed(pages, labels, min_confidence=0.8).collect()}
+    want = {(t,): (1.0 if t >= "w30" and t != "w40" else 55 / 56 if t == "w40" else 55 / 65, 55 / 67) for t in own}
+    want |= {(t, "w40"): (1.0, 55 / 67) for t in own[:30]}
+    assert rules.keys() == want.keys() and all(rules[k] == pytest.approx(want[k]) for k in want)
+    got = urls.judge(spark, pages, labels, min_confidence=0.9).where("verdict = 'block'")
+    assert {r["page_id"] for r in got.collect()} == {*range(50), 200}
+
+
 # 9: features, trees and the isotonic step against plain restatements
 
 

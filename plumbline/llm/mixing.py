@@ -60,7 +60,8 @@ def share(sizes: list[int], weights: list[float], factor: float, cap: float) ->
 
 
 class Mix:
-    """A mix of documents (doc_id, source, text): .documents has what it takes of each, .slots the schedule."""
+    """A mix of documents (doc_id, source, text): .documents has what it takes of each, in how many slots and in which one
+    first, .slots the schedule."""
 
     def __init__(self, spark: SparkSession, docs: DataFrame, weights=(5.0, 2.0, 1.0), factor: float = 1.5, cap: float = 2.0, block_tokens: int = 8192, bucket_rows: int = 512, max_sources: int = 1_000_000):
         work = Work(spark, "mixing")
@@ -111,7 +112,7 @@ class Mix:
         line = sized.join(s, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
         order = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 15), 16, 10).cast("long")
         line = line.withColumn("u", order).withColumn("bucket", F.least(F.floor(F.col("u") / F.lit(2.0**60) * F.col("buckets")), F.col("buckets") - 1))
-        none = line.where("size = 0").select("doc_id", "source", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        none = line.where("size = 0").select("doc_id", "source", "size", "source_size", "target", *[F.lit(x).cast("long").alias(c) for c, x in (("taken", 0), ("n_slots", 0), ("first_slot", None))])
         line = prefix_sums(line.where("size > 0"), "src", "bucket", ["u", "doc_id", "size"], "size", "start")
         block = F.explode(F.expr(f"sequence(start div {block_tokens}, (start + size - 1) div {block_tokens})")).alias("block")
         pieces = line.select("doc_id", "source", "size", "source_size", "target", "src", "start", block)
@@ -120,9 +121,10 @@ class Mix:
         pieces = pieces.withColumn("lo", lo).withColumn("hi", hi)
         # a block without a slot has no end: least() alone would skip it and count the block as taken
         got = F.when(F.col("ends").isNotNull(), F.greatest(F.lit(0), F.least(F.col("hi"), F.col("ends")) - F.col("lo")))
-        joined = pieces.join(self.slots.select("src", "block", "ends"), ["src", "block"], "left")
-        taken = F.coalesce(F.sum(got), F.lit(0)).cast("long").alias("taken")
-        some = joined.groupBy("src", "start", "doc_id", "source", "size", "source_size", "target").agg(taken)
+        joined = pieces.join(self.slots.select("src", "block", "slot", "ends"), ["src", "block"], "left").withColumn("got", got)
+        taken = F.coalesce(F.sum("got"), F.lit(0)).cast("long").alias("taken")
+        taking = F.when(F.col("got") > 0, F.col("slot"))
+        some = joined.groupBy("src", "start", "doc_id", "source", "size", "source_size", "target").agg(taken, F.count(taking).alias("n_slots"), F.min(taking).alias("first_slot"))
         return some.select(*none.columns).unionByName(none)
 
 
@@ -132,13 +134,45 @@ def mix(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
 
 def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(spark, table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "source", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "source", "size", "source_size", "target", "taken", "n_slots", "first_slot")
 
 
-def mix_sql(source: str = "documents") -> str:
-    """DuckDB SQL of op10's rows. Whatever the order of slots, a source takes its line whole once an epoch and then the line's
-    beginning, so what is taken of a document follows from its place on the line. Targets: sources in order of size by
+def mix_sql(source: str = "documents", slots: bool = False, block_tokens: int = 8192) -> str:
+    """DuckDB SQL of a mix, with slots of op10's rows. Without them: whatever the order of slots, a source takes its line whole
+    once an epoch and then the line's beginning, so what is taken of a document follows from its place on the line. With
+    them every slot is drawn, ranked and joined with the documents of its block. Targets: sources in order of size by
     weight are full as long as an even share of what is left exceeds their cap."""
+    rows = """
+SELECT doc_id, line.source AS source, size, s AS source_size, target, epochs * size + greatest(0, least(size, rest - start)) AS taken
+FROM line JOIN cut ON line.source IS NOT DISTINCT FROM cut.source
+"""
+    drawn = f""",
+plan AS (
+  SELECT *, CAST(coalesce(sum(ranks) OVER (ORDER BY source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, CAST(sum(ranks) OVER () AS BIGINT) AS n
+  FROM (SELECT *, (s + {block_tokens} - 1) // {block_tokens} AS blocks, epochs * ((s + {block_tokens} - 1) // {block_tokens}) + (rest + {block_tokens} - 1) // {block_tokens} AS ranks FROM cut)),
+point AS (
+  SELECT slot, CAST(slot AS DOUBLE) * {GOLDEN}::DOUBLE - floor(CAST(slot AS DOUBLE) * {GOLDEN}::DOUBLE) AS x
+  FROM (SELECT unnest(generate_series(0, coalesce((SELECT max(n) FROM plan), 0) - 1)) AS slot)),
+ranked AS (
+  SELECT source, slot, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank
+  FROM point JOIN plan ON x >= before / CAST(n AS DOUBLE) AND x < (before + ranks) / CAST(n AS DOUBLE)),
+short AS (
+  SELECT source, n, unnest(generate_series(coalesce((SELECT count(*) FROM ranked r WHERE r.source IS NOT DISTINCT FROM plan.source), 0), ranks - 1)) AS rank FROM plan),
+slots AS (
+  SELECT p.source, slot, rank % blocks AS block, CASE WHEN rank // blocks < epochs THEN s ELSE rest END AS ends
+  FROM (SELECT source, slot, rank FROM ranked UNION ALL SELECT source, n + rank, rank FROM short) r
+  JOIN plan p ON r.source IS NOT DISTINCT FROM p.source WHERE rank < ranks),
+got AS (
+  SELECT l.doc_id, l.source, l.start, slot, least(start + size, (block + 1) * {block_tokens}, ends) - greatest(start, block * {block_tokens}) AS words
+  FROM line l JOIN slots b ON l.source IS NOT DISTINCT FROM b.source AND block * {block_tokens} < start + size AND (block + 1) * {block_tokens} > start
+  WHERE size > 0),
+summed AS (
+  SELECT doc_id, source, start, sum(words) AS taken, count(*) AS n_slots, min(slot) AS first_slot FROM got WHERE words > 0 GROUP BY doc_id, source, start)
+SELECT line.doc_id, line.source, size, CAST(cut.s AS BIGINT) AS source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken,
+       coalesce(n_slots, 0) AS n_slots, CAST(first_slot AS BIGINT) AS first_slot
+FROM line JOIN cut ON line.source IS NOT DISTINCT FROM cut.source
+LEFT JOIN summed g ON size > 0 AND g.doc_id IS NOT DISTINCT FROM line.doc_id AND g.source IS NOT DISTINCT FROM line.source AND g.start = line.start
+"""
     return rf"""
 WITH sized AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '{SPACE_WORD}')) AS BIGINT) AS size,
@@ -156,10 +190,7 @@ goals AS (
 line AS (
   SELECT *, CAST(coalesce(sum(size) OVER (PARTITION BY source ORDER BY u, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
   FROM sized),
-cut AS (SELECT *, CAST(floor(target) AS BIGINT) // greatest(s, 1) AS epochs, CAST(floor(target) AS BIGINT) % greatest(s, 1) AS rest FROM goals)
-SELECT doc_id, line.source AS source, size, s AS source_size, target, epochs * size + greatest(0, least(size, rest - start)) AS taken
-FROM line JOIN cut ON line.source IS NOT DISTINCT FROM cut.source
-"""
+cut AS (SELECT *, CAST(floor(target) AS BIGINT) // greatest(s, 1) AS epochs, CAST(floor(target) AS BIGINT) % greatest(s, 1) AS rest FROM goals){drawn if slots else rows}"""
 
 
-OP10_SQL = mix_sql()
+OP10_SQL = mix_sql(slots=True)

@@ -876,3 +876,18 @@ def test_references_of_quality_rules(spark):
     got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id string, lang string, text string")).collect()}
     assert {i: r["kept"] for i, r in got.items()} == {"en": True, "de": True, "unknown": True, "rare": False, "symbols": False}
     assert not any(r["base_failed"] for r in got.values()) and got["rare"]["word_distance"] == pytest.approx(0.40, abs=0.002)
+
+
+@pytest.mark.parametrize("block", [20, 300])
+def test_slots_against_sql(spark, monkeypatch, block):
+    """Slots are drawn one by one in SQL too, and another step of the points gives other slots of the same documents."""
+    from tests.conftest import DATA, same_rows
+
+    names = ("doc_id", "source", "size", "source_size", "target", "taken", "n_slots", "first_slot")
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    own = mixing.mix(spark, docs, block_tokens=block).select(*names)
+    same_rows(own, mixing.mix_sql(slots=True, block_tokens=block))
+    first = {r["doc_id"]: r["first_slot"] for r in own.collect()}
+    monkeypatch.setattr(mixing, "GOLDEN", 0.5)
+    other = {r["doc_id"]: r["first_slot"] for r in mixing.mix(spark, docs, block_tokens=block).collect()}
+    assert first.keys() == other.keys() and first != other

@@ -8,10 +8,8 @@ joined with the exact table, which decides. Cuckoo filters can forget a key, so
 counts, takes keys that fall below the limit out of the filters, and their lines come back.
 
 The filters are broadcast if all shards together stay within ``filter_bytes``; beyond that lines go to the filter of
-their shard, at most about ``task_postings`` to a task. Results are equal. The few lines of very many documents (fewer
-than 10,000 of them at any size) are known to be boilerplate and need no probe: what is known of them is broadcast, so
-no task gathers a frequent line's documents. Where all boilerplate is that frequent, as in tables of few documents, filters are built but
-decide nothing.
+their shard, at most about ``task_postings`` to a task. Results are equal. Lines that pass are joined with the exact table; what is known of the few lines of
+very many documents (fewer than 10,000 of them at any size) is broadcast, so no task gathers a frequent line's documents.
 
 Defined cases: null or empty text is one empty line; very long texts and lines are read whole; rows of equal doc_id
 count as one holder, and each is rewritten by itself, so a line that is repeated in its largest holder stays in all of
@@ -21,14 +19,17 @@ pass through or are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import Work, by_groups, table
 from .kernel import mix
 
+MOST_PARTS = 32
 STRIP = b" \t\n\x0b\x0c\r"
 
 
@@ -115,6 +116,16 @@ def _build(t: pa.Table) -> pa.Table:
     return pa.table({"shard": t["shard"][:1], "filter": pa.array([f.to_bytes()], pa.binary())})
 
 
+def _learn(old: pa.Table, new: pa.Table) -> pa.Table:
+    """The filter of a shard with new keys; null if they find no place."""
+    if not len(new):
+        return old
+    if not len(old):
+        return _build(new)
+    f = Cuckoo.from_bytes(old["filter"][0].as_py())
+    return pa.table({"shard": new["shard"][:1], "filter": pa.array([f.to_bytes() if f.insert(_keys(new["k"])) else None], pa.binary())})
+
+
 def _forget(old: pa.Table, gone: pa.Table) -> pa.Table:
     if not len(old):
         return pa.table({"shard": pa.array([], pa.int64()), "filter": pa.array([], pa.binary())})
@@ -153,7 +164,8 @@ class LineIndex:
         self.spark, self.min_chars, self.min_docs, self.task_postings = spark, min_chars, min_docs, task_postings
         self.shard_keys, self.filter_bytes, self.shards = shard_keys, filter_bytes, 1
         self.work = Work(spark, "lines")
-        self.postings = self.counts = self.filters = None
+        self.parts: list[DataFrame] = []  # postings, a written table for each insertion
+        self.counts = self.filters = None
 
     def _count(self, postings: DataFrame) -> DataFrame:
         """k, n_docs, largest: exact; a holder counts once, and a frequent key is summed before it is shuffled."""
@@ -162,23 +174,51 @@ class LineIndex:
     def hot(self) -> DataFrame:
         return self.counts.where(F.col("n_docs") >= self.min_docs)
 
-    def _set(self, posted: DataFrame, counts: DataFrame) -> None:
-        self.postings, self.counts = posted, counts
+    @property
+    def postings(self) -> DataFrame | None:
+        return reduce(DataFrame.unionByName, self.parts) if self.parts else None
+
+    def _shard(self) -> Column:
+        return F.pmod(F.crc32("k"), F.lit(self.shards)).alias("shard")
 
     def insert(self, docs: DataFrame) -> LineIndex:
-        """Adds documents. A (key, doc_id) that is there already changes nothing."""
-        new = postings(docs, self.min_chars)
-        if self.postings is not None:
-            new = new.unionByName(self.postings)
-        posted = self.work.save(new.distinct(), "postings")
-        counts = self.work.save(self._count(posted), "counts")
-        old = [x for x in (self.postings, self.counts, self.filters) if x is not None]
-        self._set(posted, counts)
+        """Adds documents. A (key, doc_id) that is there already changes nothing. Of an index that has postings only the
+        new ones are counted and stored, and keys that become frequent are put into the filters of their shards; a
+        filter is built anew if it is full, all of them once the frequent keys have doubled their shards."""
+        new = postings(docs, self.min_chars).distinct()
+        if not self.parts:
+            self.parts = [self.work.save(new, "postings")]
+            self.counts = self.work.save(self._count(self.parts[0]), "counts")
+            return self._build_filters()
+        new = self.work.save(new.join(self.postings, ["k", "doc_id"], "left_anti"), "postings")
+        self.parts.append(new)
+        both = self.counts.unionByName(self._count(new)).groupBy("k").agg(F.sum("n_docs").alias("n_docs"), F.max("largest").alias("largest"))
+        counts, old = self.work.save(both, "counts"), self.counts
+        if len(self.parts) > MOST_PARTS:
+            parts, self.parts = self.parts, [self.work.save(self.postings, "postings")]
+            self.work.drop(*parts)
+        hot = counts.where(F.col("n_docs") >= self.min_docs)
+        if hot.count() > 2 * self.shards * self.shard_keys:
+            self.counts = counts
+            self.work.drop(old)
+            return self._build_filters()
+        risen = hot.join(self.hot(), "k", "left_anti").select(self._shard(), "k")
+        grown = self.filters.groupBy("shard").cogroup(risen.groupBy("shard")).applyInArrow(_learn, "shard long, filter binary")
+        grown = self.work.save(grown, "filters")
+        self.counts = counts
+        full = grown.where("filter is null").select("shard")
+        again = hot.select(self._shard(), "k").join(F.broadcast(full), "shard").groupBy("shard").applyInArrow(_build, "shard long, filter binary")
+        filters = self.work.save(grown.where("filter is not null").unionByName(again), "filters")
+        self.work.drop(old, grown, self.filters)
+        self.filters = filters
+        return self
+
+    def _build_filters(self) -> LineIndex:
         self.shards = max(1, -(-self.hot().count() // self.shard_keys))
-        shard = (F.crc32("k") % self.shards).alias("shard")
-        build = self.hot().select(shard, "k").groupBy("shard").applyInArrow(_build, "shard long, filter binary")
-        self.filters = self.work.save(build, "filters")
-        self.work.drop(*old)
+        build = self.hot().select(self._shard(), "k").groupBy("shard").applyInArrow(_build, "shard long, filter binary")
+        old, self.filters = self.filters, self.work.save(build, "filters")
+        if old is not None:
+            self.work.drop(old)
         return self
 
     def delete(self, ids: DataFrame) -> LineIndex:
@@ -189,18 +229,17 @@ class LineIndex:
         left = self.work.save(self.postings.join(ids, "doc_id", "left_anti"), "postings")
         again = self._count(left.join(touched, "k", "left_semi"))
         counts = self.work.save(self.counts.join(touched, "k", "left_anti").unionByName(again), "counts")
-        cold = self.hot().join(counts.where(F.col("n_docs") >= self.min_docs), "k", "left_anti").select((F.crc32("k") % self.shards).alias("shard"), "k")
+        cold = self.hot().join(counts.where(F.col("n_docs") >= self.min_docs), "k", "left_anti").select(self._shard(), "k")
         changed = self.filters.groupBy("shard").cogroup(cold.groupBy("shard")).applyInArrow(_forget, "shard long, filter binary")
         filters = self.work.save(changed, "filters")
-        old = (self.postings, self.counts, self.filters)
-        self._set(left, counts)
-        self.filters = filters
+        old = (*self.parts, self.counts, self.filters)
+        self.parts, self.counts, self.filters = [left], counts, filters
         self.work.drop(*old)
         return self
 
     def candidates(self, posted: DataFrame) -> DataFrame:
         """The postings that the filters pass."""
-        posted = posted.select("k", "doc_id", (F.crc32("k") % self.shards).alias("shard"))
+        posted = posted.select("k", "doc_id", self._shard())
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         if size > self.filter_bytes:
             salts = -(-(self.counts.agg(F.sum("n_docs")).first()[0] or 0) // (self.shards * self.task_postings))
@@ -231,7 +270,8 @@ class LineIndex:
         docs, if they are known."""
         posted = postings(docs, self.min_chars).distinct() if posted is None else posted
         hot = self.work.save(self.hot().withColumnRenamed("n_docs", "n"), "hot")
-        drops = by_groups(posted, hot, ["k"], others=self.candidates).where("doc_id < largest")
+        passed = self.work.save(self.candidates(posted), "passed")
+        drops = by_groups(passed, hot, ["k"]).where("doc_id < largest")
         drops = drops.groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list("k").alias("_drop"))
         rest = [c for c in docs.columns if c != "text"]
         packed = docs.select(F.struct(*rest).alias("_row"), F.col("text").cast("binary").alias("_text"), F.col("doc_id").cast("long").alias("_own"))

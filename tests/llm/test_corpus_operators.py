@@ -881,8 +881,6 @@ def test_references_of_quality_rules(spark):
 @pytest.mark.parametrize("block", [20, 300])
 def test_slots_against_sql(spark, monkeypatch, block):
     """Slots are drawn one by one in SQL too, and another step of the points gives other slots of the same documents."""
-    from tests.conftest import DATA, same_rows
-
     names = ("doc_id", "source", "size", "source_size", "target", "taken", "n_slots", "first_slot")
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     own = mixing.mix(spark, docs, block_tokens=block).select(*names)
@@ -891,3 +889,22 @@ def test_slots_against_sql(spark, monkeypatch, block):
     monkeypatch.setattr(mixing, "GOLDEN", 0.5)
     other = {r["doc_id"]: r["first_slot"] for r in mixing.mix(spark, docs, block_tokens=block).collect()}
     assert first.keys() == other.keys() and first != other
+
+
+def test_lines_are_inserted_step_by_step(spark, monkeypatch):
+    """Insertions and deletions in turn give what a new index gives, through filters that grow, and filters decide."""
+    rnd = random.Random(21)
+    text = lambda: "\n".join(f"line {rnd.choice('abcdefghij')}{rnd.randrange(40)} of some forty characters and more" for _ in range(6))
+    rows = [(i, text()) for i in range(160)]
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, text string")
+    for settings in ({}, {"shard_keys": 3}, {"shard_keys": 3, "filter_bytes": 0}):
+        monkeypatch.setattr(lines, "MOST_PARTS", 2)
+        index = lines.LineIndex(spark, **settings).insert(frame(rows[:30]))
+        index.insert(frame(rows[20:100])).delete(frame(rows[40:60]).select("doc_id")).insert(frame(rows[50:])).insert(frame(rows[40:60]))
+        fresh = lines.LineIndex(spark, **settings).insert(frame(rows))
+        assert sorted(map(repr, index.counts.where("n_docs > 0").collect())) == sorted(map(repr, fresh.counts.collect()))
+        assert sorted(map(repr, index.postings.collect())) == sorted(map(repr, fresh.postings.collect()))
+        assert dropped(index.apply(frame(rows))) == dropped(fresh.apply(frame(rows))) == brute_lines(rows)
+        assert fresh.apply(frame(rows)).where("n_dropped > 0").count() > 0
+        fresh.filters = fresh.filters.where("false")
+        assert fresh.apply(frame(rows)).where("n_dropped > 0").count() == 0

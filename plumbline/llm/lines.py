@@ -226,7 +226,7 @@ class LineIndex:
         ids = ids.select("doc_id").distinct()
         gone = self.postings.join(ids, "doc_id", "left_semi")
         touched = gone.select("k").distinct()
-        left = self.work.save(self.postings.join(ids, "doc_id", "left_anti"), "postings")
+        left = self.work.save(self.postings.join(ids, "doc_id", "left_anti").select("k", "doc_id"), "postings")
         again = self._count(left.join(touched, "k", "left_semi"))
         counts = self.work.save(self.counts.join(touched, "k", "left_anti").unionByName(again), "counts")
         cold = self.hot().join(counts.where(F.col("n_docs") >= self.min_docs), "k", "left_anti").select(self._shard(), "k")

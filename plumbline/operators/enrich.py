@@ -3,8 +3,10 @@
 Layers are small beside the rows. The default plan is narrow: a layer's candidates are gathered per grid cell, rows
 look their cell up (a hash join on the cell, one entry per cell, so rows are never multiplied or shuffled), and the
 exact test filters the cell's candidates in place. Gathering repeats a feature's geometry in each of its cells;
-where that would pass ``cell_edges`` edges, the joined plan is used instead: candidates are exploded by number,
-joined with their features, tested, and aggregated by row.
+where that would pass ``cell_edges`` edges, or where a cell has more than ``CROWD`` candidates, which every row in it would
+carry, the joined plan is used instead: rows are dealt by place, each place is tested once for all rows that are there (for up
+to ``SALTS`` shares of them), candidates whose box holds it are joined with their features and tested, and rows take the output cells
+of their place. Its cost grows with the places times the candidates of their cells, and with what comes out.
 """
 
 from __future__ import annotations
@@ -64,40 +66,64 @@ def _narrow(points: DataFrame, indexed: DataFrame, cell_rows: DataFrame) -> Data
     return joined.withColumn("_hits", F.coalesce(F.transform(inside, lambda f: f["values"]), none)).drop("_c0", "_c1")
 
 
-SALTS = 16
-
-
-def _joined(points: DataFrame, indexed: DataFrame, cell_rows: DataFrame, key: str, most: int) -> DataFrame:
-    lists = cell_rows.groupBy("level", "ci", "cj", "si", "sj").agg(F.collect_list("fi").alias("fis"))
-    keyed = points.where("_valid").select(key, "_x", "_y", F.explode(F.array(F.struct(F.lit(0).alias("level"), "_ci", "_cj", F.lit(0).alias("_si"), F.lit(0).alias("_sj")), F.struct(F.lit(1).alias("level"), "_ci", "_cj", "_si", "_sj"))).alias("k"))
-    keyed = keyed.select(key, "_x", "_y", "k.*")
-    lists = lists.select("level", *[F.col(c).alias(f"_{c}") for c in ("ci", "cj", "si", "sj")], "fis")
-    on = ["level", "_ci", "_cj", "_si", "_sj"]
-    if cell_rows.count() <= most:  # numbers alone, so far fewer bytes than as many edges
-        lists = F.broadcast(lists)
-    else:  # many rows may lie in one cell
-        lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        keyed, on = keyed.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int")), [*on, "_salt"]
-    near = keyed.join(lists, on).select(key, "_x", "_y", F.explode("fis").alias("fi"))
-    hit = near.join(indexed.select("fi", "parts", "values"), "fi").where(contains(F.col("parts"), F.col("_x"), F.col("_y")))
-    hits = hit.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("fi", "values"))).alias("_h"))
-    hits = hits.select(key, F.transform("_h", lambda h: h["values"]).alias("_hits"))
-    return points.join(hits, key, "left").withColumn("_hits", F.coalesce("_hits", F.array().cast("array<array<string>>")))
-
-
-def edges_in_cells(indexed: DataFrame, cell_rows: DataFrame) -> int:
-    count = F.aggregate(F.flatten(F.col("parts")), F.lit(0).cast("long"), lambda a, r: a + F.size(r["edges"]))
-    sized = indexed.select("fi", count.alias("n"))
-    return cell_rows.join(sized, "fi").agg(F.sum("n")).first()[0] or 0
+CROWD, SALTS = 64, 16
+CELL = ["_ci", "_cj", "_si", "_sj"]
+
+
+def _reach(parts: Column) -> list[Column]:
+    """The box of a feature's outer rings, outside which it holds no point."""
+    outer = lambda k: F.transform(parts, lambda p: F.get(p, F.lit(0))["bbox"][k].cast("double"))
+    return [f(outer(k)).alias(f"_{k}") for f, k in ((F.array_min, "x0"), (F.array_min, "y0"), (F.array_max, "x1"), (F.array_max, "y1"))]
+
+
+def _joined(points: DataFrame, indexed: DataFrame, cell_rows: DataFrame, columns, own: list[str], most: int) -> DataFrame:
+    """points with columns(hits, valid). Rows of a place are dealt over salts by their own columns, so many of them are no one task's."""
+    salt = F.xxhash64("_x", *[F.col(f"`{c}`") for c, t in points.dtypes if c in own and not any(k in t for k in ("map<", "variant"))])
+    place = [*CELL, "_x", "_y", "_salt"]
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = points.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int")).repartition(tasks, *place)
+    places = dealt.where("_valid").select(*place).distinct()
+    # level 0 cells have no parts: -1, as no point's
+    levels = F.array(F.struct(*CELL), F.struct("_ci", "_cj", F.lit(-1).alias("_si"), F.lit(-1).alias("_sj")))
+    keyed = places.withColumn("_k", F.explode(levels)).select(*place, *[F.col(f"_k.{c}").alias(f"_k{c}") for c in CELL])
+    part = lambda c: F.when(F.col("level") == 1, F.col(c)).otherwise(F.lit(-1))
+    cells = cell_rows.select("fi", F.col("ci").alias("_k_ci"), F.col("cj").alias("_k_cj"), part("si").alias("_k_si"), part("sj").alias("_k_sj"))
+    cells = cells.join(indexed.select("fi", *_reach(F.col("parts"))), "fi")
+    on = [f"_k{c}" for c in CELL]
+    if cell_rows.count() * 4 <= most:  # a number and a box take about four edges' bytes
+        near = keyed.join(F.broadcast(cells), on)
+    else:  # many places may lie in one cell
+        near = keyed.join(cells.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "_salt"])
+    near = near.where("_x between _x0 and _x1 and _y between _y0 and _y1").select(*place, "fi")
+    features = indexed.select("fi", "parts", "values")
+    size = indexed.agg(F.sum(_edges(F.col("parts")) + 8)).first()[0] or 0  # and a feature without its edges about eight
+    hit = near.join(F.broadcast(features) if size <= most else features, "fi").where(contains(F.col("parts"), F.col("_x"), F.col("_y")))
+    hits = hit.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("fi", "values"))).alias("_h"))
+    found = columns(F.transform("_h", lambda h: h["values"]), F.lit(True))
+    none = columns(F.array().cast("array<array<string>>"), F.col("_valid"))
+    # by place as both are dealt already; a broadcast would hold all texts, which Spark does not foresee
+    back = dealt.join(hits.select(*place, *[c.alias(k) for k, c in found.items()]).hint("merge"), place, "left")
+    return back.withColumns({k: F.coalesce(F.col(k), c) for k, c in none.items()}).drop("_salt")
+
+
+def _edges(parts: Column) -> Column:
+    return F.aggregate(F.flatten(parts), F.lit(0).cast("long"), lambda a, r: a + F.size(r["edges"]))
+
+
+def edges_in_cells(indexed: DataFrame, cell_rows: DataFrame) -> tuple[int, int]:
+    """Edges of all cells' candidates, and the candidates of the fullest cell."""
+    sized = indexed.select("fi", _edges(F.col("parts")).alias("n"))
+    cell = cell_rows.join(sized, "fi").groupBy("level", "ci", "cj", "si", "sj").agg(F.sum("n").alias("n"), F.count("*").alias("own"))
+    return tuple(x or 0 for x in cell.agg(F.sum("n"), F.max("own")).first())
 
 
 def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: str | None = None, mode: Mode | str = Mode.JOIN, key: str | None = None, plan: str = "auto", cell_edges: int = 2_000_000, keep_hidden: bool = False, blank_as_zero: bool = True, threshold: int = THRESHOLD, strict_stats: bool = False) -> DataFrame:
     """rows with a column for each selected property of each layer, and _matched and _valid where keep_hidden is set. The
-    result is lazy, but with plan "auto" each layer's size is counted at once; "narrow" and "joined" count nothing.
-    strict_stats: in mode all an empty list is no match.
+    result is lazy, but with plan "auto" each layer's size is counted at once, and what plan "joined" broadcasts; "narrow" counts
+    nothing. strict_stats: in mode all an empty list is no match.
 
-    Layers follow one another; a column that is there already is overwritten in its place. key: a unique column, needed
-    by the joined plan alone; without one a row number is made from the rows' partitions, which must then be stable."""
+    Layers follow one another; a column that is there already is overwritten in its place. key is no longer needed, as rows
+    find the result of their place again by that place."""
     mode = Mode(mode)
     found = detect_coordinates(rows.columns)
     lat, lon = lat or found[0], lon or found[1]
@@ -108,15 +134,18 @@ def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: st
     names = [c for c in points.columns if c not in HIDDEN]
     for n, layer in enumerate(layers):
         indexed, cell_rows = layer.prepared(threshold)
-        how = plan if plan != "auto" else ("narrow" if edges_in_cells(indexed, cell_rows) <= cell_edges else "joined")
+        how = plan
+        if plan == "auto":
+            edges, crowd = edges_in_cells(indexed, cell_rows)
+            how = "narrow" if edges <= cell_edges and crowd <= CROWD else "joined"
+        columns = lambda hits, valid, n=n, size=len(layer.outputs()): {f"_o{n}_{i}": outcome(hits, i, mode, valid) for i in range(size)}
         if how == "narrow":
             points = _narrow(points, indexed, cell_rows)
+            points = points.withColumns(columns(F.col("_hits"), F.col("_valid")))
         else:
-            if key is None:
-                points = points.withColumn("_row", F.monotonically_increasing_id()) if "_row" not in points.columns else points
-            points = _joined(points, indexed, cell_rows, key or "_row", cell_edges)
-        own = {f"_o{n}_{i}": outcome(F.col("_hits"), i, mode, F.col("_valid")) for i in range(len(layer.outputs()))}
-        points = points.withColumns(own).withColumn("_any", F.coalesce(F.col("_any") if n else F.lit(False), F.lit(False)) | _any(own, strict_stats and mode is Mode.ALL))
+            points = _joined(points, indexed, cell_rows, columns, rows.columns, cell_edges)
+        own = [f"_o{n}_{i}" for i in range(len(layer.outputs()))]
+        points = points.withColumn("_any", F.coalesce(F.col("_any") if n else F.lit(False), F.lit(False)) | _any(own, strict_stats and mode is Mode.ALL))
         points = points.withColumns({name: F.col(f"_o{n}_{i}") for i, (_, name) in enumerate(layer.outputs())}).drop(*own, "_hits")
         names += [name for _, name in layer.outputs() if name not in names]
         matched = F.col("_any")
@@ -124,7 +153,7 @@ def enrich(rows: DataFrame, layers: list[Layer], lat: str | None = None, lon: st
     return out
 
 
-def _any(columns: dict, strict: bool) -> Column:
+def _any(columns: list[str], strict: bool) -> Column:
     out = F.lit(False)
     for c in columns:
         out = out | ~F.col(c).isin("", *(["[]"] if strict else []))

@@ -141,3 +141,17 @@ def test_salted_cells_and_given_grid(spark):
     assert plain(enrich(rows, [layer])) == want
     layer.grid = layer.grid.where("false")
     assert {z for _, z in plain(enrich(rows, [layer], plan="narrow"))} == {""}
+
+
+def test_crowded_cells_are_tested_once_a_place(spark):
+    """Rows do not carry the candidates of a crowded cell; results are those of the narrow plan, also for equal rows and bad ones."""
+    own = layer(spark, [(i, [[(i % 7 / 10, i % 11 / 20, 1 + i % 3, 1)], *([[(0.2, 0.2, 0.4, 0.3)]] if i % 5 == 0 else [])], "" if i % 4 == 0 else f"v{i}") for i in range(150)], selected=["n", "k"])
+    rows = [("x" if i % 20 == 0 else str(i % 6 / 10), str(i % 9 / 10)) for i in range(400)] + [("50", "50"), ("0.3", None)]
+    points = spark.createDataFrame([*rows, *rows[:5]], "lat string, lon string")
+    made = enrich(points, [own, layer(spark)], keep_hidden=True)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_c0") == enrich(points, [layer(spark)], plan="narrow")._jdf.queryExecution().executedPlan().toString().count("_c0")
+    for mode in ("first", "join", "all"):
+        got, want = (sorted(map(tuple, enrich(points, [own], mode=mode, plan=p, keep_hidden=True).collect())) for p in ("auto", "narrow"))
+        assert got == want and len(got) == 407
+    assert sorted(map(tuple, enrich(points, [own], cell_edges=0).collect())) == sorted(map(tuple, enrich(points, [own], plan="narrow").collect()))

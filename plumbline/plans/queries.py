@@ -283,13 +283,14 @@ GRID_STATISTICS = f"WITH {CELLS_SQL} SELECT count(DISTINCT (ci, cj)) AS non_empt
 
 
 def grid_candidates(spark: SparkSession, d: str) -> DataFrame:
-    """Candidates of points in the refined cell."""
+    """Candidates of points in the refined cell. They are counted by cell, so points are not multiplied by them."""
     p = _t(spark, d, "customer").select("c_custkey", F.expr("20 + CAST((c_custkey * 7) % 100 AS DOUBLE) / 100").alias("lon"), F.expr("10 + CAST((c_custkey * 11) % 100 AS DOUBLE) / 100").alias("lat"))
     keys = grid.point_keys(F.col("lat"), F.col("lon"))
     k = F.explode(F.array(*[F.struct(F.lit(v).alias("level"), keys["ci"].alias("ci"), keys["cj"].alias("cj"), *[(keys[s] if v else F.lit(0)).alias(s) for s in ("si", "sj")]) for v in (0, 1)]))
     rows = p.select("c_custkey", k.alias("k")).select("c_custkey", "k.*")
-    found = rows.join(grid.cells(_boxed(spark, d)), ["level", "ci", "cj", "si", "sj"])
-    return found.groupBy("c_custkey").agg(F.count("*").alias("candidates"))
+    cell = ["level", "ci", "cj", "si", "sj"]
+    found = rows.join(grid.cells(_boxed(spark, d)).groupBy(*cell).agg(F.count("*").alias("n")), cell)
+    return found.groupBy("c_custkey").agg(F.sum("n").alias("candidates"))
 
 
 GRID_CANDIDATES = f"""WITH {CELLS_SQL},

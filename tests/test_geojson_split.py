@@ -79,3 +79,15 @@ def test_errors_are_those_of_the_whole(spark, tmp_path, bad):
     with pytest.raises(ValueError) as split:
         read_geojson_split(spark, str(tmp_path / "a.json"))
     assert str(split.value) == str(whole.value)
+
+
+def test_result_reads_the_text_once(spark, tmp_path, small_blocks):
+    """Whole features come of one pass, beside what Spark keeps of broken ones, and checked features need no numbering; quotes behind many backslashes."""
+    rng = random.Random(3)
+    features = [feature(rng, i) for i in range(30)]
+    for i, f in enumerate(features):
+        f["properties"] = {"a": "\\" * (i % 5) + '"}],[' + "\\" * (i % 3), "\\" * (i % 4): "é" * i}
+    write(tmp_path / "a.json", features, rng)
+    got = same(spark, str(tmp_path / "a.json"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("MapInArrow") <= 2 and "Window" not in plan and "InMemoryTableScan" in plan
